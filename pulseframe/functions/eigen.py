@@ -1,118 +1,120 @@
-"""Closed-form eigen decomposition of a symmetric 3x3 matrix as Columns.
+"""Closed-form eigen decomposition of a symmetric 3x3 matrix as SQL expressions.
 
 Everything stays inside generated JVM code.  Eigenvalues come from the
 trigonometric solution of the characteristic cubic, eigenvectors from the
 longest cross product of two rows of ``A - lambda I``.
+
+A *stage* is a list of ``expression AS name`` texts evaluated together.  Each
+function returns its stages in order, so that several matrices (one per
+radius) can share one projection per stage.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+Stages = list[list[str]]
+
+
+def _norm2(v) -> str:
+    return f"({v[0]}*{v[0]} + {v[1]}*{v[1]} + {v[2]}*{v[2]})"
+
+
+def _cross(a, b):
+    return (f"({a[1]})*({b[2]}) - ({a[2]})*({b[1]})", f"({a[2]})*({b[0]}) - ({a[0]})*({b[2]})",
+            f"({a[0]})*({b[1]}) - ({a[1]})*({b[0]})")
+
+
+def _rows(c: str, lam: str):
+    return ((f"{c}xx - {lam}", f"{c}xy", f"{c}xz"), (f"{c}xy", f"{c}yy - {lam}", f"{c}yz"),
+            (f"{c}xz", f"{c}yz", f"{c}zz - {lam}"))
 
 
-def eigenvalues(df: DataFrame, prefix: str, out: str, valid: Column) -> DataFrame:
-    """Add ``{out}1 >= {out}2 >= {out}3`` from ``{prefix}xx .. {prefix}zz``.
+def eigenvalue_stages(c: str, lam: str, valid: str) -> Stages:
+    """Stages that add ``{lam}1 >= {lam}2 >= {lam}3`` for the matrix ``{c}xx .. {c}zz``.
 
     Values are clamped at zero (a covariance has no negative ones) and NULL
     where ``valid`` does not hold.
     """
-    xx, xy, xz, yy, yz, zz = (F.col(prefix + s) for s in ("xx", "xy", "xz", "yy", "yz", "zz"))
-    df = df.withColumn("_m", F.when(valid, (xx + yy + zz) / 3.0))
-    m = F.col("_m")
-    df = df.withColumn("_p", F.sqrt(
-        ((xx - m) * (xx - m) + (yy - m) * (yy - m) + (zz - m) * (zz - m)
-         + 2.0 * (xy * xy + xz * xz + yz * yz)) / 6.0))
-    p = F.col("_p")
-    det = ((xx - m) * ((yy - m) * (zz - m) - yz * yz)
-           - xy * (xy * (zz - m) - yz * xz)
-           + xz * (xy * yz - (yy - m) * xz))
-    half = F.when(p > 0, det / (2.0 * p * p * p)).otherwise(0.0)
-    df = df.withColumn("_phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3.0)
-    phi = F.col("_phi")
-    zero = F.lit(0.0)
-    df = df.withColumn(out + "1", F.greatest(zero, m + 2.0 * p * F.cos(phi)))
-    df = df.withColumn(out + "3", F.greatest(zero, m + 2.0 * p * F.cos(phi + 2.0 * math.pi / 3.0)))
-    # When the spread is zero or the rounding is at its worst the middle value
-    # still has to lie between the other two.
-    middle = 3.0 * m - F.col(out + "1") - F.col(out + "3")
-    df = df.withColumn(out + "2", F.greatest(F.col(out + "3"), F.least(F.col(out + "1"), middle)))
-    # NULLs are skipped by greatest/least: restore them.
-    for i in "123":
-        df = df.withColumn(out + i, F.when(m.isNotNull(), F.col(out + i)))
-    return df.drop("_m", "_p", "_phi")
+    m, p, h = f"{lam}m", f"{lam}p", f"{lam}h"
+    xx, yy, zz = f"({c}xx - {m})", f"({c}yy - {m})", f"({c}zz - {m})"
+    xy, xz, yz = f"{c}xy", f"{c}xz", f"{c}yz"
+    turn = repr(2.0 * math.pi / 3.0) + "D"
+    return [
+        [f"CASE WHEN {valid} THEN ({c}xx + {c}yy + {c}zz) / 3.0D END AS {m}"],
+        [f"sqrt(({xx}*{xx} + {yy}*{yy} + {zz}*{zz} + 2.0D*({xy}*{xy} + {xz}*{xz} + {yz}*{yz})) / 6.0D) AS {p}"],
+        [f"acos(greatest(-1.0D, least(1.0D, CASE WHEN {p} > 0 THEN ({xx}*({yy}*{zz} - {yz}*{yz})"
+         f" - {xy}*({xy}*{zz} - {yz}*{xz}) + {xz}*({xy}*{yz} - {yy}*{xz})) / (2.0D*{p}*{p}*{p}) ELSE 0.0D END)))"
+         f" / 3.0D AS {h}"],
+        [f"CASE WHEN {m} IS NOT NULL THEN greatest(0.0D, {m} + 2.0D*{p}*cos({h})) END AS {lam}1",
+         f"CASE WHEN {m} IS NOT NULL THEN greatest(0.0D, {m} + 2.0D*{p}*cos({h} + {turn})) END AS {lam}3"],
+        # Rounding may push the middle value outside; it lies between the others.
+        [f"CASE WHEN {m} IS NOT NULL THEN greatest({lam}3, least({lam}1, 3.0D*{m} - {lam}1 - {lam}3)) END AS {lam}2"],
+    ]
 
 
-def _cross(a, b):
-    return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+def _crosses(c: str, lam: str, tag: str) -> tuple[list[str], list[str]]:
+    """Texts of the three row cross products and of their squared lengths."""
+    rows = _rows(c, lam)
+    parts, norms = [], []
+    for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+        parts += [f"{text} AS {tag}{k}{axis}" for text, axis in zip(_cross(rows[a], rows[b]), "xyz")]
+        norms.append(f"{_norm2([f'{tag}{k}{axis}' for axis in 'xyz'])} AS {tag}{k}n")
+    return parts, norms
 
 
-def _norm2(v):
-    return v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+def normal_stages(c: str, lam: str, out: str) -> Stages:
+    """Stages that add ``{out}x, {out}y, {out}z``: unit vector of the smallest eigenvalue.
 
+    It points to +Z, then +Y, then +X.  For a repeated smallest eigenvalue any
+    perpendicular of the leading axis is an eigenvector; a fixed one is taken so
+    that results do not depend on row order.
+    """
+    t, v, l3 = f"{out}t", f"{out}v", f"{lam}3"
+    parts, norms = _crosses(c, l3, t)
+    rows = _rows(c, l3)
+    lengths = [f"{t}r{i}" for i in range(3)]
+    row_norms = [f"{_norm2(tuple(f'({e})' for e in r))} AS {n}" for r, n in zip(rows, lengths)]
+    best = f"greatest({t}0n, {t}1n, {t}2n)"
+    longest = f"greatest({', '.join(lengths)})"
+    axis = [f"CASE WHEN {lengths[0]} = {longest} THEN {rows[0][i]} WHEN {lengths[1]} = {longest} THEN {rows[1][i]}"
+            f" ELSE {rows[2][i]} END AS {t}a{x}" for i, x in enumerate("xyz")]
+    a = [f"{t}a{x}" for x in "xyz"]
+    # Project +Z off the axis unless the axis leans to +Z; then project +X.
+    upright = f"abs({a[2]}) <= greatest(abs({a[0]}), abs({a[1]}))"
+    dot = f"CASE WHEN {upright} THEN {a[2]} ELSE {a[0]} END"
+    fallback = [f"CASE WHEN {_norm2(a)} = 0 THEN {1.0 if x == 'z' else 0.0}D ELSE"
+                f" (CASE WHEN {upright} THEN {1.0 if x == 'z' else 0.0}D ELSE {1.0 if x == 'x' else 0.0}D END)"
+                f" * {_norm2(a)} - ({dot})*{t}a{x} END" for x in "xyz"]
+    chosen = [f"CASE WHEN {t}flat THEN {f} WHEN {t}0n = {t}best THEN {t}0{x} WHEN {t}1n = {t}best THEN {t}1{x}"
+              f" ELSE {t}2{x} END AS {v}{x}" for f, x in zip(fallback, "xyz")]
+    flip = f"({v}z < 0 OR ({v}z = 0 AND ({v}y < 0 OR ({v}y = 0 AND {v}x < 0))))"
+    return [
+        parts + row_norms,
+        norms + axis,
+        [f"{best} AS {t}best", f"{best} <= 1e-28D * pow({lam}1, 4) AS {t}flat"],
+        chosen,
+        [f"(CASE WHEN {flip} THEN -1.0D ELSE 1.0D END) / nullif(sqrt({_norm2([v + x for x in 'xyz'])}), 0.0D) AS {v}s"],
+        [f"CASE WHEN {l3} IS NOT NULL THEN {v}{x}*{v}s + 0.0D END AS {out}{x}" for x in "xyz"],
+    ]
 
-def normal_vector(df: DataFrame, prefix: str, lam: str, out: tuple[str, str, str]) -> DataFrame:
-    """Add the unit eigenvector of the smallest eigenvalue, pointing to +Z, +Y, +X.
 
-    For a repeated smallest eigenvalue any perpendicular of the leading axis is
-    an eigenvector; a fixed one is taken so that results do not depend on row order.
-    """
-    xx, xy, xz, yy, yz, zz = (F.col(prefix + s) for s in ("xx", "xy", "xz", "yy", "yz", "zz"))
-    l1, l3 = F.col(lam + "1"), F.col(lam + "3")
-    rows = ((xx - l3, xy, xz), (xy, yy - l3, yz), (xz, yz, zz - l3))
-    crosses = [_cross(rows[0], rows[1]), _cross(rows[0], rows[2]), _cross(rows[1], rows[2])]
-    for k, c in enumerate(crosses):
-        for axis, part in zip("xyz", c):
-            df = df.withColumn(f"_c{k}{axis}", part)
-    c = [tuple(F.col(f"_c{k}{axis}") for axis in "xyz") for k in range(3)]
-    for k in range(3):
-        df = df.withColumn(f"_n{k}", _norm2(c[k]))
-    n = [F.col(f"_n{k}") for k in range(3)]
-    best = F.greatest(*n)
-    flat = best <= F.lit(1e-28) * F.pow(l1, 4.0)
-    # Rank one or isotropic: rows are parallel to the leading axis (or all zero).
-    row = [_norm2(r) for r in rows]
-    longest = F.greatest(*row)
-    lead = [F.when(row[0] == longest, rows[0][i]).when(row[1] == longest, rows[1][i]).otherwise(rows[2][i])
-            for i in range(3)]
-    for axis, part in zip("xyz", lead):
-        df = df.withColumn(f"_a{axis}", part)
-    a = [F.col(f"_a{axis}") for axis in "xyz"]
-    upright = F.abs(a[2]) <= F.greatest(F.abs(a[0]), F.abs(a[1]))
-    # Project +Z off the axis unless the axis itself is close to +Z; then +X.
-    dot = F.when(upright, a[2]).otherwise(a[0])
-    a2 = _norm2(a)
-    fallback = [
-        F.when(a2 == 0, F.lit(1.0 if i == 2 else 0.0)).otherwise(
-            F.when(upright, F.lit(1.0 if i == 2 else 0.0)).otherwise(F.lit(1.0 if i == 0 else 0.0)) * a2 - dot * a[i])
-        for i in range(3)
+def leading_stages(c: str, lam: str, out: str) -> Stages:
+    """Stages that add a unit vector of the largest eigenvalue (sign not fixed)."""
+    t = f"{out}t"
+    parts, norms = _crosses(c, f"{lam}1", t)
+    return [
+        parts,
+        norms,
+        [f"greatest({t}0n, {t}1n, {t}2n) AS {t}best"],
+        [f"(CASE WHEN {t}0n = {t}best THEN {t}0{x} WHEN {t}1n = {t}best THEN {t}1{x} ELSE {t}2{x} END)"
+         f" / nullif(sqrt({t}best), 0.0D) AS {out}{x}" for x in "xyz"],
     ]
-    for i, axis in enumerate("xyz"):
-        df = df.withColumn(f"_v{axis}", F.when(flat, fallback[i])
-                           .when(n[0] == best, c[0][i]).when(n[1] == best, c[1][i]).otherwise(c[2][i]))
-    v = [F.col(f"_v{axis}") for axis in "xyz"]
-    flip = (v[2] < 0) | ((v[2] == 0) & (v[1] < 0)) | ((v[2] == 0) & (v[1] == 0) & (v[0] < 0))
-    df = df.withColumn("_s", F.when(flip, -1.0).otherwise(1.0) / F.nullif(F.sqrt(_norm2(v)), F.lit(0.0)))
-    for name, part in zip(out, v):
-        df = df.withColumn(name, F.when(l3.isNotNull(), part * F.col("_s") + 0.0))
-    scratch = [f"_c{k}{x}" for k in range(3) for x in "xyz"] + ["_n0", "_n1", "_n2", "_s"]
-    return df.drop(*scratch, "_ax", "_ay", "_az", "_vx", "_vy", "_vz")
-
-
-def leading_vector(df: DataFrame, prefix: str, lam: str, out: tuple[str, str, str]) -> DataFrame:
-    """Add a unit eigenvector of the largest eigenvalue (sign not fixed)."""
-    xx, xy, xz, yy, yz, zz = (F.col(prefix + s) for s in ("xx", "xy", "xz", "yy", "yz", "zz"))
-    l1 = F.col(lam + "1")
-    rows = ((xx - l1, xy, xz), (xy, yy - l1, yz), (xz, yz, zz - l1))
-    for k, c in enumerate([_cross(rows[0], rows[1]), _cross(rows[0], rows[2]), _cross(rows[1], rows[2])]):
-        for axis, part in zip("xyz", c):
-            df = df.withColumn(f"_c{k}{axis}", part)
-        df = df.withColumn(f"_n{k}", _norm2([F.col(f"_c{k}{axis}") for axis in "xyz"]))
-    n = [F.col(f"_n{k}") for k in range(3)]
-    best = F.greatest(*n)
-    norm = F.sqrt(F.nullif(best, F.lit(0.0)))
-    for name, axis in zip(out, "xyz"):
-        df = df.withColumn(name, F.when(n[0] == best, F.col(f"_c0{axis}"))
-                           .when(n[1] == best, F.col(f"_c1{axis}")).otherwise(F.col(f"_c2{axis}")) / norm)
-    return df.drop(*[f"_c{k}{x}" for k in range(3) for x in "xyz"], "_n0", "_n1", "_n2")
+
+
+def run_stages(df, stages: list[Stages]):
+    """Evaluate several stage lists side by side, one projection per depth."""
+    for depth in range(max((len(s) for s in stages), default=0)):
+        texts = [text for s in stages if depth < len(s) for text in s[depth]]
+        df = df.selectExpr("*", *texts)
+    return df
