@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from pulseframe.functions.scalar import finite_or_null
+from pulseframe.operators.features import quantile_text
 from pulseframe.operators.neighbours import cell_index, knn_join
 from pulseframe.operators.ranking import exact_quantiles, systematic_sample
 
@@ -132,17 +132,16 @@ def spacing(df: DataFrame, limit: int = 20_000, cell: float | None = None) -> Da
                   .where(F.col("point_id") != F.col("o_point_id")).select("point_id").distinct())
     table = (queries.select("point_id").join(nearest.select(F.col("q_id").alias("point_id"), F.sqrt("d2").alias("d")), "point_id", "left")
              .join(coincident.withColumn("dup", F.lit(1)), "point_id", "left"))
-    # The sample is bounded by ``limit``, so exact percentiles of it are too.
-    p = [0.1, 0.25, 0.5, 0.75, 0.9]
+    # At most ``limit`` distances: one short array gives every quantile and the dispersion.
     one = table.agg(
         F.count(F.lit(1)).alias("sampled"), F.count("dup").alias("duplicate_samples"),
-        F.count_if(F.col("d").isNull()).alias("unresolved_samples"), F.avg("d").alias("mean"), F.min("d").alias("minimum"),
-        F.percentile("d", F.array(*[F.lit(v) for v in p])).alias("q"), F.max("d").alias("maximum"))
-    spread = (table.crossJoin(F.broadcast(one.select(F.col("q")[2].alias("median")))) if False else
-              table.withColumn("median", F.percentile("d", F.lit(0.5)).over(Window.partitionBy(F.lit(1)))))
-    mad = spread.agg(F.percentile(F.abs(F.col("d") - F.col("median")), F.lit(0.5)).alias("median_absolute_deviation"))
-    names = ["percentile_10", "percentile_25", "median", "percentile_75", "percentile_90"]
-    out = one.select("sampled", "duplicate_samples", "unresolved_samples", "mean", "minimum",
-                     *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "maximum")
-    return (out.withColumn("_k", F.lit(1)).join(mad.withColumn("_k", F.lit(1)), "_k").drop("_k")
-            .withColumn("density_2d", F.when(F.col("median") > 0, math.log(2.0) / (math.pi * F.col("median") * F.col("median")))))
+        F.count_if(F.col("d").isNull()).alias("unresolved_samples"), F.avg("d").alias("mean"),
+        F.array_sort(F.collect_list("d")).alias("ds"))
+    names = {"percentile_10": 0.1, "percentile_25": 0.25, "median": 0.5, "percentile_75": 0.75, "percentile_90": 0.9}
+    one = one.selectExpr("*", "array_min(ds) AS minimum", "array_max(ds) AS maximum",
+                         *[f"{quantile_text('ds', p)} AS {n}" for n, p in names.items()])
+    one = one.selectExpr("*", "array_sort(transform(ds, v -> abs(v - median))) AS dev")
+    return one.selectExpr(
+        "sampled", "duplicate_samples", "unresolved_samples", "mean", "minimum", *names, "maximum",
+        f"{quantile_text('dev', 0.5)} AS median_absolute_deviation",
+        f"CASE WHEN median > 0 THEN {math.log(2.0) / math.pi!r}D / (median * median) END AS density_2d")
