@@ -201,7 +201,7 @@ def _merge_rings(grouped: DataFrame, keys, carried, rings: int, aggregates, sour
             out.append(F.col("zs").alias("zs_0"))
         for i, stats in enumerate(sources.values()):
             out += [F.col(f"v{i}_{s}").alias(f"v{i}_{s}_0") for s in ("n", "lo", "hi")]
-            out.append(F.struct(*[F.col(f"v{i}_{s}") for s in "nmv"]).alias(f"v{i}_ring0"))
+            out.append(F.struct(*[F.col(f"v{i}_{s}").alias(s) for s in "nmv"]).alias(f"v{i}_ring0"))
             if set(stats) & set(SOURCE_QUANTILES):
                 out.append(F.col(f"v{i}_l").alias(f"v{i}_l_0"))
         return grouped.select(*out)
@@ -221,7 +221,7 @@ def _merge_rings(grouped: DataFrame, keys, carried, rings: int, aggregates, sour
             per += [F.sum(inside(k, f"v{i}_n")).alias(f"v{i}_n_{k}"),
                     F.min(inside(k, f"v{i}_lo")).alias(f"v{i}_lo_{k}"),
                     F.max(inside(k, f"v{i}_hi")).alias(f"v{i}_hi_{k}"),
-                    F.max(F.when(F.col("ring") == k, F.struct(*[F.col(f"v{i}_{s}") for s in "nmv"]))).alias(f"v{i}_ring{k}")]
+                    F.max(F.when(F.col("ring") == k, F.struct(*[F.col(f"v{i}_{s}").alias(s) for s in "nmv"]))).alias(f"v{i}_ring{k}")]
             if set(stats) & set(SOURCE_QUANTILES):
                 per.append(F.flatten(F.collect_list(F.when(F.col("ring") == k, F.col(f"v{i}_l")))).alias(f"v{i}_l_{k}"))
     return grouped.groupBy(*keys).agg(*per)

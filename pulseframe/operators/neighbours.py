@@ -157,82 +157,86 @@ def candidate_guard(points: DataFrame, radius: float, limit: int = MAX_CANDIDATE
 
 
 def _place_queries(q: DataFrame, plan: NeighbourPlan) -> DataFrame:
-    """Add the unit key ``ux, uy, us`` to query rows that carry ``q_cx, q_cy``."""
-    bx, by = _floor_div(F.col("q_cx"), plan.block_cells), _floor_div(F.col("q_cy"), plan.block_cells)
+    """Add the unit key ``ux, uy, us`` to query rows that carry ``qcell_x, qcell_y``."""
+    bx, by = _floor_div(F.col("qcell_x"), plan.block_cells), _floor_div(F.col("qcell_y"), plan.block_cells)
     normal = q.withColumns({"ux": bx, "uy": by})
     if plan.hot_blocks is None:
         return normal
     normal = normal.withColumn("us", F.lit(-1))
     hot_key = [F.col("ux") == F.col("bx"), F.col("uy") == F.col("by")]
     normal = normal.join(plan.hot_blocks, hot_key, "left_anti")
-    cells = plan.hot_cells.select(F.col("cx").alias("q_cx"), F.col("cy").alias("q_cy"), "splits")
-    hot = (q.join(cells, ["q_cx", "q_cy"])
-           .withColumn("ux", F.col("q_cx")).withColumn("uy", F.col("q_cy"))
+    cells = plan.hot_cells.select(F.col("cx").alias("qcell_x"), F.col("cy").alias("qcell_y"), "splits")
+    hot = (q.join(cells, ["qcell_x", "qcell_y"])
+           .withColumn("ux", F.col("qcell_x")).withColumn("uy", F.col("qcell_y"))
            .withColumn("us", F.pmod(F.xxhash64("q_id"), F.col("splits")).cast("int")).drop("splits"))
     return normal.unionByName(hot)
 
 
 def _place_support(s: DataFrame, plan: NeighbourPlan) -> DataFrame:
-    """Copy support rows that carry ``s_cx, s_cy`` to every unit that may need them."""
+    """Copy support rows that carry ``scell_x, scell_y`` to every unit that may need them."""
     def lo(c):
         return _floor_div(F.col(c) - 1, plan.block_cells)
 
     def hi(c):
         return _floor_div(F.col(c) + 1, plan.block_cells)
 
-    normal = (s.withColumn("ux", F.explode(F.sequence(lo("s_cx"), hi("s_cx"))))
-              .withColumn("uy", F.explode(F.sequence(lo("s_cy"), hi("s_cy")))))
+    normal = (s.withColumn("ux", F.explode(F.sequence(lo("scell_x"), hi("scell_x"))))
+              .withColumn("uy", F.explode(F.sequence(lo("scell_y"), hi("scell_y")))))
     if plan.hot_blocks is None:
         return normal
     normal = normal.withColumn("us", F.lit(-1))
     normal = normal.join(plan.hot_blocks, [F.col("ux") == F.col("bx"), F.col("uy") == F.col("by")], "left_anti")
     cells = plan.hot_cells.select(F.col("cx").alias("ux"), F.col("cy").alias("uy"), "splits")
     hot = (s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8))))
-           .withColumn("ux", F.col("s_cx") + F.expr("k div 3") - 1)
-           .withColumn("uy", F.col("s_cy") + F.expr("k % 3") - 1)
+           .withColumn("ux", F.col("scell_x") + F.expr("k div 3") - 1)
+           .withColumn("uy", F.col("scell_y") + F.expr("k % 3") - 1)
            .join(cells, ["ux", "uy"])
            .withColumn("us", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
            .drop("k", "splits"))
     return normal.unionByName(hot)
 
 
-def paired(queries: DataFrame, support: DataFrame, plan: NeighbourPlan) -> DataFrame:
+def paired(queries: DataFrame, support: DataFrame, plan: NeighbourPlan, few_queries: bool = False) -> DataFrame:
     """All (query, support) rows within the radius, co-partitioned by unit.
 
+    ``few_queries`` first drops support rows of units without any query.
+
     ``queries`` needs ``q_id, q_x, q_y, q_z`` and ``support`` needs ``s_id, s_x,
     s_y, s_z``; further columns pass through.  A point meets itself: callers drop
     or discount the row where the ids are equal.  Adds ``dx, dy, dz, d2``.
     """
     side = plan.side
     axes = ("x", "y") if plan.dims == 2 else ("x", "y", "z")
-    queries = queries.withColumns({f"q_c{a}": cell_index(f"q_{a}", side) for a in axes})
-    support = support.withColumns({f"s_c{a}": cell_index(f"s_{a}", side) for a in axes})
-    queries = _place_queries(queries, plan).repartition(*plan.unit)
-    support = _place_support(support, plan).repartition(*plan.unit)
+    queries = queries.withColumns({f"qcell_{a}": cell_index(f"q_{a}", side) for a in axes})
+    support = support.withColumns({f"scell_{a}": cell_index(f"s_{a}", side) for a in axes})
+    queries, support = _place_queries(queries, plan), _place_support(support, plan)
+    if few_queries:
+        support = support.join(queries.select(*plan.unit).distinct(), list(plan.unit), "left_semi")
+    queries, support = queries.repartition(*plan.unit), support.repartition(*plan.unit)
     # Expansion after the shuffle: it stays inside the task.
     queries = queries.withColumn("_k", F.explode(F.array(*[F.lit(i) for i in range(3 ** len(axes))])))
-    queries = queries.withColumns({f"q_c{a}": F.expr(f"q_c{a} + (_k div {3 ** i}) % 3 - 1") for i, a in enumerate(axes)})
-    on = [queries[u] == support[u] for u in plan.unit] + [queries[f"q_c{a}"] == support[f"s_c{a}"] for a in axes]
+    queries = queries.withColumns({f"qcell_{a}": F.expr(f"qcell_{a} + (_k div {3 ** i}) % 3 - 1") for i, a in enumerate(axes)})
+    on = [queries[u] == support[u] for u in plan.unit] + [queries[f"qcell_{a}"] == support[f"scell_{a}"] for a in axes]
     dx, dy, dz = (F.col(f"s_{a}") - F.col(f"q_{a}") for a in "xyz")
     near = dx * dx + dy * dy + dz * dz <= F.lit(plan.radius * plan.radius)
     condition = on[0]
     for part in on[1:]:
         condition = condition & part
     joined = queries.join(support.hint("shuffle_hash"), condition & near)
-    keep = [queries[c] for c in queries.columns if c != "_k" and not c.startswith("q_c")]
-    keep += [support[c] for c in support.columns if c not in plan.unit and not c.startswith("s_c")]
+    keep = [queries[c] for c in queries.columns if c != "_k" and not c.startswith("qcell_")]
+    keep += [support[c] for c in support.columns if c not in plan.unit and not c.startswith("scell_")]
     out = joined.select(*keep, dx.alias("dx"), dy.alias("dy"), dz.alias("dz"))
     return out.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
 
 
 def as_queries(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("point_id").alias("q_id"), *[F.col(a).cast("double").alias(f"q_{a}") for a in "xyz"],
-                     *[F.col(c).alias(f"q_{c}") for c in extra])
+                     *[F.col(c).alias(f"q_{c}") for c in extra if c not in ("x", "y", "z")])
 
 
 def as_support(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("point_id").alias("s_id"), *[F.col(a).cast("double").alias(f"s_{a}") for a in "xyz"],
-                     *[F.col(c).alias(f"s_{c}") for c in extra])
+                     *[F.col(c).alias(f"s_{c}") for c in extra if c not in ("x", "y", "z")])
 
 
 def radius_join(queries: DataFrame, support: DataFrame, radius: float, *, dims: int | None = None,
@@ -278,7 +282,7 @@ def knn_join(queries: DataFrame, support: DataFrame, k: int, *, start_radius: fl
     found = None
     for _ in range(max_rounds):
         plan = plan_neighbourhood(support, radius, max_candidates=None)
-        pairs = paired(as_queries(todo), as_support(support.select("point_id", "x", "y", "z")), plan)
+        pairs = paired(as_queries(todo), as_support(support.select("point_id", "x", "y", "z")), plan, bool(done))
         pairs = pairs.where(F.col("q_id") != F.col("s_id"))
         if positive_only:
             pairs = pairs.where(F.col("d2") > 0)

@@ -44,8 +44,9 @@ def smallest_per_group(df: DataFrame, keys: list[str], order: str, tie: str, n:
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")
     plan = counts.withColumn("_before", before).where(F.col("_before") < n).withColumn(
         "_whole", F.col("_before") + F.col("_n") <= n).drop("_n")
-    on = [keyed[c].eqNullSafe(plan[c]) for c in keys + ["_b"]]
-    joined = keyed.join(plan, on).select(*[keyed[c] for c in keyed.columns], "_before", "_whole")
+    plan = plan.withColumnsRenamed({c: f"_p_{c}" for c in [*keys, "_b"]})
+    on = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in [*keys, "_b"]]
+    joined = keyed.join(plan, on).drop(*[f"_p_{c}" for c in [*keys, "_b"]])
     whole = joined.where("_whole")
     edge = joined.where(~F.col("_whole"))
     rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order, tie))
