@@ -114,12 +114,15 @@ def _curvature_kernel(radius: float):
 
 
 def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sources: dict[str, tuple[str, ...]] | None = None,
-                     core: Column | None = None, carry: tuple[str, ...] = (), dims: int | None = None,
+                     core: Column | None = None, support: DataFrame | None = None, carry: tuple[str, ...] = (),
+                     dims: int | None = None,
                      max_candidates: int | None = nb.MAX_CANDIDATES,
                      max_block_rows: int = nb.MAX_BLOCK_ROWS) -> DataFrame:
     """Features of every (core) point: one row per query, column ``<descriptor>_r<radius>``.
 
-    ``core`` restricts the queries while all rows stay support.  ``sources`` maps
+    ``core`` restricts the queries while all rows stay support.  ``support`` gives
+    the rows to search when ``points`` itself is costly to derive; it must hold
+    every queried point (and the source columns).  ``sources`` maps
     another column to the source statistics wanted of it.  ``carry`` columns come
     along unchanged, which saves joining the result back to the points.
     """
@@ -141,10 +144,11 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
     need_zrange = bool({"z_minimum", "z_maximum", "z_range", "z_above_minimum", "z_below_maximum"} & set(wanted))
     need_zlist = bool(set(wanted) & set(QUANTILES))
 
-    plan = nb.plan_neighbourhood(points, radii[-1], dims, max_candidates, max_block_rows)
+    support = points if support is None else support
+    plan = nb.plan_neighbourhood(support, radii[-1], dims, max_candidates, max_block_rows)
     carried = {f.name: f for f in points.schema.fields if f.name in carry and f.name not in ("point_id", "z")}
     queries = nb.as_queries(points if core is None else points.where(core), *carried)
-    pairs = nb.paired(queries, nb.as_support(points, *sources), plan)
+    pairs = nb.paired(queries, nb.as_support(support, *sources), plan)
     pairs = pairs.withColumn("other", F.col("q_id") != F.col("s_id"))
     if len(radii) > 1:
         inner = " ".join(f"WHEN d2 <= {r * r!r}D THEN {i}" for i, r in enumerate(radii[:-1]))
