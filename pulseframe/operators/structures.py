@@ -97,7 +97,7 @@ def components(cells: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     # Half of the 26 offsets; the other half is the same edge seen from its far end.
     half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
     steps = F.array(*[F.lit(i * ny * nz + j * nz + k).cast("long") for i, j, k in half])
-    far = nodes.select("u", (F.col("u") + F.explode(steps)).alias("v"))
+    far = nodes.select("u", F.explode(steps).alias("step")).select("u", (F.col("u") + F.col("step")).alias("v"))
     edges = cut_lineage(far.join(nodes.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v"))
     mark = None
     for _ in range(max_rounds):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulseframe.session import cut_lineage
 from pulseframe.sources.points import spread
 
 # Each order gives four returns on a sloping 20 m wide strip, about 20 per m2.
@@ -95,9 +96,13 @@ DUCK_SCENE = SCENE_SQL.format(gen="unnest([0,1,2,3])", orders="orders")
 
 
 def scene_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spatially coherent sites with measured columns, for the structure rules."""
-    return spark.sql(SCENE_SQL.format(gen="explode(array(0,1,2,3))", orders="{src_orders}"),
-                     src_orders=spread(table(spark, sf_dir, "orders").select("o_orderkey")))
+    """Spatially coherent sites with measured columns, for the structure rules.
+
+    Written once: the rules read it many times, and its long expressions would
+    otherwise be inlined into every filter.
+    """
+    return cut_lineage(spark.sql(SCENE_SQL.format(gen="explode(array(0,1,2,3))", orders="{src_orders}"),
+                     src_orders=spread(table(spark, sf_dir, "orders").select("o_orderkey"))))
 
 
 # Label columns that follow from the point number: truth, prediction, confidence, measured scales.
