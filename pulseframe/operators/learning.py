@@ -192,7 +192,7 @@ def train_classifier(train: DataFrame, features: list[str], kind: str = "random_
                                         impurity=criterion, seed=seed).fit(ready)
     elif kind == "boosted_trees":
         one = GBTClassifier(**common, maxIter=iterations, maxDepth=min(depth, 5), seed=seed)
-        fitted = OneVsRest(classifier=one, **common, rawPredictionCol="_raw").fit(ready)
+        fitted = OneVsRest(classifier=one, **common).fit(ready)
     else:
         wide = max(32, min(256, 4 * len(prep.columns)))
         layers = [len(prep.columns), *(hidden or (wide, wide // 2)), len(classes)]
@@ -220,7 +220,7 @@ def predict(model: TrainedModel, df: DataFrame, features: list[str] | None = Non
     vectors = VectorAssembler(inputCols=prep.columns, outputCol="_x").transform(ready)
     scored = model.model.transform(vectors)
     if model.kind == "boosted_trees":
-        raw = vector_to_array(F.col("_raw"))
+        raw = vector_to_array(F.col("rawPrediction"))
         sig = F.transform(raw, lambda v: 1.0 / (1.0 + F.exp(-2.0 * v)))
         scored = scored.withColumn("_s", sig)
         probs = F.transform("_s", lambda v: v / F.aggregate("_s", F.lit(0.0), lambda a, b: a + b))
