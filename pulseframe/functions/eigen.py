@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 
 Stages = list[list[str]]
+SIGN_FLOOR = 1e-10
 
 
 def _norm2(v) -> str:
@@ -30,26 +31,27 @@ def _rows(c: str, lam: str):
             (f"{c}xz", f"{c}yz", f"{c}zz - {lam}"))
 
 
-def eigenvalue_stages(c: str, lam: str, valid: str) -> Stages:
+def eigenvalue_stages(c: str, lam: str) -> Stages:
     """Stages that add ``{lam}1 >= {lam}2 >= {lam}3`` for the matrix ``{c}xx .. {c}zz``.
 
-    Values are clamped at zero (a covariance has no negative ones) and NULL
-    where ``valid`` does not hold.
+    Values are clamped at zero (a covariance has no negative ones).  Inputs must
+    not be NULL and neither are the results: arithmetic free of null checks makes
+    much shorter generated code.  Callers mask rows where the matrix has no meaning.
     """
     m, p, h = f"{lam}m", f"{lam}p", f"{lam}h"
     xx, yy, zz = f"({c}xx - {m})", f"({c}yy - {m})", f"({c}zz - {m})"
     xy, xz, yz = f"{c}xy", f"{c}xz", f"{c}yz"
     turn = repr(2.0 * math.pi / 3.0) + "D"
+    third, sixth = repr(1.0 / 3.0) + "D", repr(1.0 / 6.0) + "D"
     return [
-        [f"CASE WHEN {valid} THEN ({c}xx + {c}yy + {c}zz) / 3.0D END AS {m}"],
-        [f"sqrt(({xx}*{xx} + {yy}*{yy} + {zz}*{zz} + 2.0D*({xy}*{xy} + {xz}*{xz} + {yz}*{yz})) / 6.0D) AS {p}"],
-        [f"acos(greatest(-1.0D, least(1.0D, CASE WHEN {p} > 0 THEN ({xx}*({yy}*{zz} - {yz}*{yz})"
-         f" - {xy}*({xy}*{zz} - {yz}*{xz}) + {xz}*({xy}*{yz} - {yy}*{xz})) / (2.0D*{p}*{p}*{p}) ELSE 0.0D END)))"
-         f" / 3.0D AS {h}"],
-        [f"CASE WHEN {m} IS NOT NULL THEN greatest(0.0D, {m} + 2.0D*{p}*cos({h})) END AS {lam}1",
-         f"CASE WHEN {m} IS NOT NULL THEN greatest(0.0D, {m} + 2.0D*{p}*cos({h} + {turn})) END AS {lam}3"],
+        [f"({c}xx + {c}yy + {c}zz) * {third} AS {m}"],
+        [f"sqrt(({xx}*{xx} + {yy}*{yy} + {zz}*{zz} + 2.0D*({xy}*{xy} + {xz}*{xz} + {yz}*{yz})) * {sixth}) AS {p}"],
+        [f"acos(greatest(-1.0D, least(1.0D, coalesce(try_divide({xx}*({yy}*{zz} - {yz}*{yz})"
+         f" - {xy}*({xy}*{zz} - {yz}*{xz}) + {xz}*({xy}*{yz} - {yy}*{xz}), 2.0D*{p}*{p}*{p}), 0.0D))))"
+         f" * {third} AS {h}"],
+        [f"greatest(0.0D, {m} + 2.0D*{p}*cos({h})) AS {lam}1", f"greatest(0.0D, {m} + 2.0D*{p}*cos({h} + {turn})) AS {lam}3"],
         # Rounding may push the middle value outside; it lies between the others.
-        [f"CASE WHEN {m} IS NOT NULL THEN greatest({lam}3, least({lam}1, 3.0D*{m} - {lam}1 - {lam}3)) END AS {lam}2"],
+        [f"greatest({lam}3, least({lam}1, 3.0D*{m} - {lam}1 - {lam}3)) AS {lam}2"],
     ]
 
 
@@ -88,14 +90,19 @@ def normal_stages(c: str, lam: str, out: str) -> Stages:
                 f" * {_norm2(a)} - ({dot})*{t}a{x} END" for x in "xyz"]
     chosen = [f"CASE WHEN {t}flat THEN {f} WHEN {t}0n = {t}best THEN {t}0{x} WHEN {t}1n = {t}best THEN {t}1{x}"
               f" ELSE {t}2{x} END AS {v}{x}" for f, x in zip(fallback, "xyz")]
-    flip = f"({v}z < 0 OR ({v}z = 0 AND ({v}y < 0 OR ({v}y = 0 AND {v}x < 0))))"
+    # Components below the rounding of the cross product count as zero for the sign rule.
+    u = f"{out}u"
+    flip = (f"({u}z < -{SIGN_FLOOR}D OR (abs({u}z) <= {SIGN_FLOOR}D AND ({u}y < -{SIGN_FLOOR}D"
+            f" OR (abs({u}y) <= {SIGN_FLOOR}D AND {u}x < 0))))")
     return [
         parts + row_norms,
         norms + axis,
-        [f"{best} AS {t}best", f"{best} <= 1e-28D * pow({lam}1, 4) AS {t}flat"],
+        [f"{best} AS {t}best", f"{best} <= 1e-28D * {lam}1*{lam}1*{lam}1*{lam}1 AS {t}flat"],
         chosen,
-        [f"(CASE WHEN {flip} THEN -1.0D ELSE 1.0D END) / nullif(sqrt({_norm2([v + x for x in 'xyz'])}), 0.0D) AS {v}s"],
-        [f"CASE WHEN {l3} IS NOT NULL THEN {v}{x}*{v}s + 0.0D END AS {out}{x}" for x in "xyz"],
+        [f"coalesce(try_divide(1.0D, sqrt({_norm2([v + x for x in 'xyz'])})), 0.0D) AS {v}s"],
+        [f"{v}{x}*{v}s AS {u}{x}" for x in "xyz"],
+        [f"CASE WHEN {flip} THEN -1.0D ELSE 1.0D END AS {u}s"],
+        [f"{u}{x}*{u}s + 0.0D AS {out}{x}" for x in "xyz"],
     ]
 
 
@@ -107,8 +114,8 @@ def leading_stages(c: str, lam: str, out: str) -> Stages:
         parts,
         norms,
         [f"greatest({t}0n, {t}1n, {t}2n) AS {t}best"],
-        [f"(CASE WHEN {t}0n = {t}best THEN {t}0{x} WHEN {t}1n = {t}best THEN {t}1{x} ELSE {t}2{x} END)"
-         f" / nullif(sqrt({t}best), 0.0D) AS {out}{x}" for x in "xyz"],
+        [f"coalesce(try_divide(1.0D, sqrt({t}best)), 0.0D) AS {t}s"],
+        [f"(CASE WHEN {t}0n = {t}best THEN {t}0{x} WHEN {t}1n = {t}best THEN {t}1{x} ELSE {t}2{x} END) * {t}s AS {out}{x}" for x in "xyz"],
     ]
 
 

@@ -115,7 +115,7 @@ def _curvature_kernel(radius: float):
 
 def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sources: dict[str, tuple[str, ...]] | None = None,
                      core: Column | None = None, support: DataFrame | None = None, carry: tuple[str, ...] = (),
-                     dims: int | None = None,
+                     dims: int | None = None, plan: nb.NeighbourPlan | None = None,
                      max_candidates: int | None = nb.MAX_CANDIDATES,
                      max_block_rows: int = nb.MAX_BLOCK_ROWS) -> DataFrame:
     """Features of every (core) point: one row per query, column ``<descriptor>_r<radius>``.
@@ -124,7 +124,8 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
     the rows to search when ``points`` itself is costly to derive; it must hold
     every queried point (and the source columns).  ``sources`` maps
     another column to the source statistics wanted of it.  ``carry`` columns come
-    along unchanged, which saves joining the result back to the points.
+    along unchanged, which saves joining the result back to the points.  A ``plan``
+    made for the same support and largest radius saves the counting pass.
     """
     radii = sorted({float(r) for r in radii})
     wanted = list(dict.fromkeys(descriptors))
@@ -145,7 +146,7 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
     need_zlist = bool(set(wanted) & set(QUANTILES))
 
     support = points if support is None else support
-    plan = nb.plan_neighbourhood(support, radii[-1], dims, max_candidates, max_block_rows)
+    plan = plan or nb.plan_neighbourhood(support, radii[-1], dims, max_candidates, max_block_rows)
     carried = {f.name: f for f in points.schema.fields if f.name in carry and f.name not in ("point_id", "z")}
     queries = nb.as_queries(points if core is None else points.where(core), *carried)
     pairs = nb.paired(queries, nb.as_support(support, *sources), plan)
@@ -161,8 +162,8 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
     moments = (FIRST if need_first else ()) + (
         SECOND if need_pca else (("zz",) if "z_standard_deviation" in wanted else ())) + (QUADRIC if need_curve else ())
     other = F.col("other")
-    sums = [F.sum(F.when(other, 1).otherwise(0)).alias("n")]
-    sums += [F.sum(monomial(m)).alias("s_" + m) for m in moments]
+    sums = [F.coalesce(F.sum(F.when(other, 1).otherwise(0)), F.lit(0)).alias("n")]
+    sums += [F.coalesce(F.sum(monomial(m)), F.lit(0.0)).alias("s_" + m) for m in moments]
     if need_zrange:
         sums += [F.min(F.when(other, F.col("s_z"))).alias("zlo"), F.max(F.when(other, F.col("s_z"))).alias("zhi")]
     if need_zlist:
@@ -216,7 +217,7 @@ def _merge_rings(grouped: DataFrame, keys, carried, rings: int, aggregates, sour
     per = [F.max(c).alias(c) for c in carried]
     for k in range(rings):
         per.append(F.coalesce(F.sum(inside(k, "n")), F.lit(0)).alias(f"n_{k}"))
-        per += [F.sum(inside(k, "s_" + m)).alias(f"s{k}_{m}") for m in moments]
+        per += [F.coalesce(F.sum(F.when(F.col("ring") <= k, F.col("s_" + m)).otherwise(0.0)), F.lit(0.0)).alias(f"s{k}_{m}") for m in moments]
         if aggregates["zrange"]:
             per += [F.min(inside(k, "zlo")).alias(f"zlo_{k}"), F.max(inside(k, "zhi")).alias(f"zhi_{k}")]
         if aggregates["zlist"]:
@@ -247,12 +248,14 @@ def _describe(df: DataFrame, radii, wanted, named, need: _Needs) -> DataFrame:
     unit = repr(radii[-1] if need.curve else 1.0) + "D"  # monomials may be divided by the largest radius
     scale2 = f"({unit}*{unit})"
     count = range(len(radii))
+    # One division per radius; everything after it is free of NULLs until the descriptors are masked.
+    df = df.selectExpr("*", *[f"coalesce(try_divide(1.0D, n_{k}), 0.0D) AS w{k}" for k in count])
     if need.first:
-        df = df.selectExpr("*", *[f"s{k}_{a} / nullif(n_{k}, 0) * {unit} AS m{k}_{a}" for k in count for a in FIRST])
+        df = df.selectExpr("*", *[f"s{k}_{a} * w{k} * {unit} AS m{k}_{a}" for k in count for a in FIRST])
     if need.pca:
-        df = df.selectExpr("*", *[f"s{k}_{s} / nullif(n_{k}, 0) * {scale2} - m{k}_{s[0]}*m{k}_{s[1]} AS c{k}_{s}"
+        df = df.selectExpr("*", *[f"s{k}_{s} * w{k} * {scale2} - m{k}_{s[0]}*m{k}_{s[1]} AS c{k}_{s}"
                                   for k in count for s in SECOND])
-        df = run_stages(df, [eigenvalue_stages(f"c{k}_", f"l{k}_", f"n_{k} >= 3") for k in count])
+        df = run_stages(df, [eigenvalue_stages(f"c{k}_", f"l{k}_") for k in count])
         df = df.selectExpr("*", *[f"l{k}_1 + l{k}_2 + l{k}_3 AS sum{k}" for k in count])
     if need.normal:
         df = run_stages(df, [normal_stages(f"c{k}_", f"l{k}_", f"n{k}_") for k in count])
@@ -267,7 +270,7 @@ def _describe(df: DataFrame, radii, wanted, named, need: _Needs) -> DataFrame:
         kernel, sums = _curvature_kernel(radii[-1])
         curves = {}
         for k in count:
-            axis = F.expr(f"CASE WHEN n{k}_z IS NULL THEN NULL WHEN abs(n{k}_y) > greatest(abs(n{k}_x), abs(n{k}_z))"
+            axis = F.expr(f"CASE WHEN n_{k} < 6 THEN NULL WHEN abs(n{k}_y) > greatest(abs(n{k}_x), abs(n{k}_z))"
                           f" THEN 1 WHEN abs(n{k}_x) > abs(n{k}_z) THEN 0 ELSE 2 END")
             curves[f"curve{k}"] = kernel(F.struct(F.col(f"n_{k}").alias("n"), axis.alias("axis"),
                                                   *[F.col(f"s{k}_{m}").alias(m) for m in sums]))
@@ -293,7 +296,7 @@ def _descriptor_text(name: str, k: int, r: float, scale2: str) -> str:
 
     if name in QUANTILES:
         return quantile_text(f"zsort_{k}", QUANTILES[name])
-    return {
+    text = {
         "neighbor_count": f"double(n_{k})",
         "density_2d": f"n_{k} / {math.pi * r * r!r}D",
         "density_3d": f"n_{k} / {4.0 / 3.0 * math.pi * r ** 3!r}D",
@@ -302,11 +305,10 @@ def _descriptor_text(name: str, k: int, r: float, scale2: str) -> str:
         "linearity": ratio(f"{l1} - {l2}", l1), "planarity": ratio(f"{l2} - {l3}", l1),
         "sphericity": ratio(l3, l1), "anisotropy": ratio(f"{l1} - {l3}", l1),
         "omnivariance": f"cbrt({l1}*{l2}*{l3})",
-        "eigenentropy": f"CASE WHEN {l1} IS NOT NULL THEN -({entropy(l1)} + {entropy(l2)} + {entropy(l3)}) + 0.0D END",
+        "eigenentropy": f"-({entropy(l1)} + {entropy(l2)} + {entropy(l3)}) + 0.0D",
         "surface_variation": ratio(l3, total), "normal_change_rate": ratio(l3, total),
         "verticality": f"1.0D - abs(n{k}_z)", "normal_x": f"n{k}_x", "normal_y": f"n{k}_y", "normal_z": f"n{k}_z",
-        "normal_z_absolute": f"abs(n{k}_z)",
-        "dip": f"CASE WHEN n{k}_z IS NOT NULL THEN degrees(acos(least(1.0D, n{k}_z))) END",
+        "normal_z_absolute": f"abs(n{k}_z)", "dip": f"degrees(acos(least(1.0D, n{k}_z)))",
         "dip_direction": f"pmod(degrees(atan2(n{k}_x, n{k}_y)) + 360.0D, 360.0D)",
         "roughness": f"abs(off{k})", "signed_roughness": f"off{k}",
         "mean_curvature": f"curve{k}.mean", "gaussian_curvature": f"curve{k}.gauss",
@@ -314,10 +316,14 @@ def _descriptor_text(name: str, k: int, r: float, scale2: str) -> str:
         "barycenter_offset_ratio": f"sqrt(m{k}_x*m{k}_x + m{k}_y*m{k}_y + m{k}_z*m{k}_z) / {r!r}D",
         "z_minimum": f"zlo_{k}", "z_maximum": f"zhi_{k}", "z_range": f"zhi_{k} - zlo_{k}",
         "z_mean": f"q_z + m{k}_z", "z_relative_to_mean": f"-m{k}_z + 0.0D",
-        "z_standard_deviation": f"CASE WHEN n_{k} > 0 THEN sqrt(greatest(0.0D, s{k}_zz / nullif(n_{k}, 0) * {scale2}"
-                                f" - m{k}_z*m{k}_z)) END",
+        "z_standard_deviation": f"sqrt(greatest(0.0D, s{k}_zz * w{k} * {scale2} - m{k}_z*m{k}_z))",
         "z_above_minimum": f"q_z - zlo_{k}", "z_below_maximum": f"zhi_{k} - q_z",
     }[name]
+    if name in SHAPE or name in NORMAL or name == "moment_order_1":
+        return f"CASE WHEN n_{k} >= 3 THEN {text} END"
+    if name in HEIGHT or name == "barycenter_offset_ratio":
+        return f"CASE WHEN n_{k} > 0 THEN {text} END"
+    return text
 
 
 def _describe_sources(df: DataFrame, radii, sources) -> DataFrame:

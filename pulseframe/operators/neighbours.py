@@ -27,6 +27,8 @@ BLOCK_CELLS = (32, 16, 8, 4)
 MAX_BLOCK_ROWS = 2_000_000
 # Fixed value: a query whose cell cube holds more candidates is refused.
 MAX_CANDIDATES = 200_000
+# Points kept side by side in one cell row.
+CELL_ROW_POINTS = 16_384
 # A hot-cell list longer than this is shuffled instead of broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -60,6 +62,7 @@ class NeighbourPlan:
     rows: int
     max_candidates: int
     block_cells: int
+    pieces: int  # parts a cell's points are kept in, 1 unless a cell is very dense
     hot_cells: DataFrame | None  # cx, cy, splits: cells of over-full blocks
     hot_blocks: DataFrame | None  # bx, by
 
@@ -89,17 +92,18 @@ def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None
     spark = tune(points.sparkSession)
     side = cell_side(radius)
     base = BLOCK_CELLS[-1]
-    columns = (_count_cells(points, side).groupBy("cx", "cy")
-               .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"), F.max("n").alias("top")))
+    counts = _count_cells(points, side)
 
     def by_block(cells: int) -> DataFrame:
-        return columns.groupBy(_floor_div(F.col("cx"), cells).alias("bx"), _floor_div(F.col("cy"), cells).alias("by"))
+        return counts.groupBy(_floor_div(F.col("cx"), cells).alias("bx"), _floor_div(F.col("cy"), cells).alias("by"))
 
+    # Occupied columns of a small block fit in a bit mask: no second level of counting.
+    local = F.expr(f"shiftleft(1L, int(pmod(cx, {base}) * {base} + pmod(cy, {base})))")
+    n = F.col("n").cast("double")
     row = by_block(base).agg(
-        F.sum("n").alias("n"), F.sum("q").alias("q3"), F.max("top").alias("top3"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("q2")).agg(
+        F.sum("n").alias("n"), F.sum(n * n).alias("q3"), F.max("n").alias("top3"), F.bit_count(F.bit_or(local)).alias("columns")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("blocks"),
-        F.coalesce(F.sum("q2"), F.lit(0.0)).alias("q2"), F.coalesce(F.sum("q3").cast("double"), F.lit(0.0)).alias("q3"),
+        F.coalesce(F.sum(n * n / F.col("columns")), F.lit(0.0)).alias("q2"), F.coalesce(F.sum("q3"), F.lit(0.0)).alias("q3"),
         F.coalesce(F.max("n"), F.lit(0)).alias("top_block"), F.coalesce(F.max("top3"), F.lit(0)).alias("top3"),
     ).first()
     if dims is None:
@@ -122,13 +126,14 @@ def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None
     if hot:
         hot_blocks = blocks.select("bx", "by")
         unit = max(1, max_block_rows // 16)
-        hot_cells = (columns.withColumns({"bx": _floor_div(F.col("cx"), cells), "by": _floor_div(F.col("cy"), cells)})
+        hot_cells = (counts.groupBy("cx", "cy").agg(F.sum("n").alias("n")).withColumns({"bx": _floor_div(F.col("cx"), cells), "by": _floor_div(F.col("cy"), cells)})
                      .join(hot_blocks, ["bx", "by"], "left_semi")
                      .select("cx", "cy", F.ceil(F.col("n") / F.lit(float(unit))).cast("int").alias("splits")))
         hot_cells, hot_blocks = cut_lineage(hot_cells), cut_lineage(hot_blocks)
         if hot * cells * cells <= BROADCAST_ROWS:
             hot_cells, hot_blocks = F.broadcast(hot_cells), F.broadcast(hot_blocks)
-    return NeighbourPlan(radius, dims, row.n, bound, cells, hot_cells, hot_blocks)
+    pieces = max(1, math.ceil((row.top_block if dims == 2 else row.top3) / CELL_ROW_POINTS))
+    return NeighbourPlan(radius, dims, row.n, bound, cells, pieces, hot_cells, hot_blocks)
 
 
 def cell_candidates(points: DataFrame, radius: float, queries: DataFrame | None = None) -> DataFrame:
@@ -213,20 +218,30 @@ def paired(queries: DataFrame, support: DataFrame, plan: NeighbourPlan, few_quer
     if few_queries:
         support = support.join(queries.select(*plan.unit).distinct(), list(plan.unit), "left_semi")
     queries, support = queries.repartition(*plan.unit), support.repartition(*plan.unit)
-    # Expansion after the shuffle: it stays inside the task.
-    queries = queries.withColumn("_k", F.explode(F.array(*[F.lit(i) for i in range(3 ** len(axes))])))
+    # One row per occupied cell with its points side by side: a probe finds one row and
+    # walks contiguous memory.  Very dense cells are divided into bounded pieces.
+    cell = [f"scell_{a}" for a in axes]
+    if plan.pieces > 1:
+        support = support.withColumn("piece", F.pmod(F.xxhash64("s_id"), F.lit(plan.pieces)))
+        cell.append("piece")
+    columns = [c for c in support.columns if c not in plan.unit and c not in cell]
+    support = support.groupBy(*plan.unit, *cell).agg(F.collect_list(F.struct(*columns)).alias("_points"))
+    # Expansion after the shuffle: it stays inside the task.  Cells out of reach are skipped.
+    width = 3 ** len(axes)
+    queries = queries.withColumn("_k", F.explode(F.array(*[F.lit(i) for i in range(width)])))
     queries = queries.withColumns({f"qcell_{a}": F.expr(f"qcell_{a} + (_k div {3 ** i}) % 3 - 1") for i, a in enumerate(axes)})
+    gaps = [f"greatest(qcell_{a} * {side!r}D - q_{a}, q_{a} - (qcell_{a} + 1) * {side!r}D, 0.0D)" for a in axes]
+    queries = queries.where(" + ".join(f"{g} * {g}" for g in gaps) + f" <= {side * side!r}D")
     on = [queries[u] == support[u] for u in plan.unit] + [queries[f"qcell_{a}"] == support[f"scell_{a}"] for a in axes]
-    dx, dy, dz = (F.col(f"s_{a}") - F.col(f"q_{a}") for a in "xyz")
-    near = dx * dx + dy * dy + dz * dz <= F.lit(plan.radius * plan.radius)
     condition = on[0]
     for part in on[1:]:
         condition = condition & part
-    joined = queries.join(support.hint("shuffle_hash"), condition & near)
     keep = [queries[c] for c in queries.columns if c != "_k" and not c.startswith("qcell_")]
-    keep += [support[c] for c in support.columns if c not in plan.unit and not c.startswith("scell_")]
-    out = joined.select(*keep, dx.alias("dx"), dy.alias("dy"), dz.alias("dz"))
-    return out.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+    joined = queries.join(support.hint("shuffle_hash"), condition).select(*keep, "_points")
+    out = joined.select(*[c for c in joined.columns if c != "_points"], F.inline("_points"))
+    near = " + ".join(f"(s_{a} - q_{a}) * (s_{a} - q_{a})" for a in "xyz")
+    out = out.where(f"{near} <= {plan.radius * plan.radius!r}D")
+    return out.selectExpr("*", *[f"s_{a} - q_{a} AS d{a}" for a in "xyz"], f"{near} AS d2")
 
 
 def as_queries(df: DataFrame, *extra: str) -> DataFrame:
@@ -240,14 +255,15 @@ def as_support(df: DataFrame, *extra: str) -> DataFrame:
 
 
 def radius_join(queries: DataFrame, support: DataFrame, radius: float, *, dims: int | None = None,
-                q_columns: tuple[str, ...] = (), s_columns: tuple[str, ...] = (),
+                plan: NeighbourPlan | None = None, q_columns: tuple[str, ...] = (), s_columns: tuple[str, ...] = (),
                 max_candidates: int | None = MAX_CANDIDATES,
                 max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
     """Every pair with ``d2 <= r2``; a point never pairs with its own id, coincident ids do.
 
     Result: ``q_id, s_id, dx, dy, dz, d2`` and the requested ``q_*`` / ``s_*`` columns.
+    A ``plan`` made for the same support and radius saves the counting pass.
     """
-    plan = plan_neighbourhood(support, radius, dims, max_candidates, max_block_rows)
+    plan = plan or plan_neighbourhood(support, radius, dims, max_candidates, max_block_rows)
     pairs = paired(as_queries(queries, *q_columns), as_support(support, *s_columns), plan)
     return (pairs.where(F.col("q_id") != F.col("s_id"))
             .select("q_id", "s_id", "dx", "dy", "dz", "d2",

@@ -44,8 +44,9 @@ def duck_normals(name: str = "f") -> str:
 {name}n3 AS (SELECT *, CASE WHEN un >= vn AND un >= wn THEN ux WHEN vn >= wn THEN vx ELSE wx END AS gx,
   CASE WHEN un >= vn AND un >= wn THEN uy WHEN vn >= wn THEN vy ELSE wy END AS gy,
   CASE WHEN un >= vn AND un >= wn THEN uz WHEN vn >= wn THEN vz ELSE wz END AS gz FROM {name}n2),
-{name}n4 AS (SELECT *, CASE WHEN gz < 0 OR (gz = 0 AND (gy < 0 OR (gy = 0 AND gx < 0))) THEN -1 ELSE 1 END / sqrt(gx*gx+gy*gy+gz*gz) AS sg FROM {name}n3),
-{name}n AS (SELECT *, gx*sg AS nx, gy*sg AS ny, gz*sg AS nz, l2-l3 > 1e-3*l1 AS clear FROM {name}n4 WHERE l1 > 0)"""
+{name}n4 AS (SELECT *, 1e-10*sqrt(gx*gx+gy*gy+gz*gz) AS fl FROM {name}n3),
+{name}n5 AS (SELECT *, CASE WHEN gz < -fl OR (abs(gz) <= fl AND (gy < -fl OR (abs(gy) <= fl AND gx < 0))) THEN -1 ELSE 1 END / sqrt(gx*gx+gy*gy+gz*gz) AS sg FROM {name}n4),
+{name}n AS (SELECT *, gx*sg AS nx, gy*sg AS ny, gz*sg AS nz, l2-l3 > 1e-3*l1 AS clear FROM {name}n5 WHERE l1 > 0)"""
     return g
 
 

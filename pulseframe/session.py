@@ -18,6 +18,13 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# HotSpot leaves methods above 8,000 bytecodes interpreted.  Many descriptors at
+# many radii make one long projection, so compile those too.
+LAUNCH_CONF = {
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
@@ -31,7 +38,7 @@ def build_session(app: str = "pulseframe", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **LAUNCH_CONF, **conf}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
 
