@@ -166,21 +166,25 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
     sums += [F.coalesce(F.sum(monomial(m)), F.lit(0.0)).alias("s_" + m) for m in moments]
     if need_zrange:
         sums += [F.min(F.when(other, F.col("s_z"))).alias("zlo"), F.max(F.when(other, F.col("s_z"))).alias("zhi")]
-    if need_zlist:
-        sums.append(F.collect_list(F.when(other, F.col("s_z"))).alias("zs"))
+    lists = [F.collect_list(F.when(other, F.col("s_z"))).alias("zs")] if need_zlist else []
     for i, (column, stats) in enumerate(sources.items()):
         value = F.when(other, F.col("s_" + column).cast("double"))
         value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
         sums += [F.count(value).alias(f"v{i}_n"), F.avg(value).alias(f"v{i}_m"), F.var_pop(value).alias(f"v{i}_v"),
                  F.min(value).alias(f"v{i}_lo"), F.max(value).alias(f"v{i}_hi")]
         if set(stats) & set(SOURCE_QUANTILES):
-            sums.append(F.collect_list(value).alias(f"v{i}_l"))
+            lists.append(F.collect_list(value).alias(f"v{i}_l"))
     # Fixed-width carried columns ride in the aggregate, others in the key.
     in_key = [f"q_{n}" for n, f in carried.items() if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
     in_agg = ["q_z"] + [f"q_{n}" for n in carried if f"q_{n}" not in in_key]
     keys = [*plan.unit, "q_id", *in_key]
     ring_key = ["ring"] if len(radii) > 1 else []
     grouped = pairs.groupBy(*keys, *ring_key).agg(*sums, *[F.max(c).alias(c) for c in in_agg])
+    if lists:
+        # Lists are kept apart from the sums, which then stay in generated code.  Both
+        # sides have the partitioning of the pairs: the join moves nothing.
+        listed = pairs.groupBy(*keys, *ring_key).agg(*lists)
+        grouped = grouped.join(listed.hint("shuffle_hash"), [*keys, *ring_key])
 
     aggregates = {"first": moments, "zrange": need_zrange, "zlist": need_zlist}
     out = _merge_rings(grouped, keys, in_agg, len(radii), aggregates, sources)

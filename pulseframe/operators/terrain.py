@@ -14,6 +14,7 @@ from pulseframe.operators import neighbours as nb
 from pulseframe.operators.features import compute_features
 from pulseframe.operators.grid import densify, join_cells, opening
 from pulseframe.schema import feature_column
+from pulseframe.session import cut_lineage
 
 # Default steps of the ground filter and the raster limit.
 PMF_WINDOWS = (3.0, 6.0, 12.0, 20.0)
@@ -104,8 +105,9 @@ def pmf_ground(df: DataFrame, windows=PMF_WINDOWS, thresholds=PMF_THRESHOLDS, ce
             grid = grid.withColumn("first_opened", F.col("opened"))
         # A cell without survivors leaves the surface; the others are lowered onto it.
         grid = grid.withColumn("surface", F.when(stays, F.col("opened"))).drop("opened")
-    result = grid.where(F.col("first_opened").isNotNull()).select(
-        "col", "row", "first_opened", F.col("surface").isNotNull().alias("_alive"))
+    # At most ``MAX_PMF_CELLS`` rows: written once, however often the points are read.
+    result = cut_lineage(grid.where(F.col("first_opened").isNotNull()).select(
+        "col", "row", "first_opened", F.col("surface").isNotNull().alias("_alive")))
     joined = join_cells(indexed, result, raster.cells)
     ground = F.coalesce(F.col("_alive") & (F.col("z") - F.col("first_opened") < thresholds[0]), F.lit(False))
     return joined.withColumn(out, ground).drop("col", "row", "first_opened", "_alive")

@@ -351,9 +351,11 @@ def _(spark, sf):
  CASE WHEN confidence > 0.8 THEN 17 WHEN hag > 9 THEN 6 END AS trusted_class, CASE WHEN confidence > 0.8 OR hag > 9 THEN false ELSE is_ground END AS is_ground FROM s1""", "lab")
 def _(spark, sf):
     # Edits 1 and 2, edit 3 undone, edit 4 (drops the redo of 3), undone and redone.
+    # Each version is written before the next one reads it, as the durable ledger does.
     base, e1 = state1(spark, sf)
+    e1 = cut_lineage(e1)
     s1 = le.current_state(base, e1, [1])
-    e2 = le.manual_edits(s1, s1.where("hag > 9"), 6, 2)
+    e2 = cut_lineage(le.manual_edits(s1, s1.where("hag > 9"), 6, 2))
     s2 = le.current_state(base, e1.unionByName(e2), [1, 2])
     e3 = le.manual_edits(s2, s2.where("hag < 1"), 9, 3)
     e4 = le.manual_edits(s2, s2.where("confidence > 0.8"), 17, 4)
