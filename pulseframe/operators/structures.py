@@ -73,33 +73,37 @@ def patches(df: DataFrame, rules: StructureRules = StructureRules()) -> DataFram
             .agg(F.count_if(wall).alias("wall"), F.count_if(roof).alias("roof")))
 
 
-def components(cells: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def components(cells: DataFrame, kind: str | None = None, *, max_rounds: int = 60) -> DataFrame:
     """26-neighbour connected components of voxels: ``vx, vy, vz, component``.
 
-    Star contraction: each round hangs every node on the smallest node it can see,
-    first for its larger neighbours, then for its smaller ones.  The number of
-    rounds grows with the logarithm of the size, group minima combine on the map
-    side, and no component is ever gathered in one place.  Fails, rather than
-    returning partial labels, when ``max_rounds`` does not suffice.
+    ``kind`` (a small integer column) keeps sets of voxels apart, so that several
+    sets are labelled in one run.  Star contraction: each round hangs every node on
+    the smallest node it can see, first for its larger neighbours, then for its
+    smaller ones.  The number of rounds grows with the logarithm of the size, group
+    minima combine on the map side, and no component is ever gathered in one place.
+    Fails, rather than returning partial labels, when ``max_rounds`` does not suffice.
     """
-    cells = cells.select(*VOXEL).distinct()
-    box = cells.agg(*[f(v).alias(f"{g}{v}") for v in VOXEL for g, f in (("lo_", F.min), ("hi_", F.max))]).first()
+    key = ([kind] if kind else []) + list(VOXEL)
+    cells = cells.select(*key).distinct()
+    box = cells.agg(*[f(v).alias(f"{g}{v}") for v in key for g, f in (("lo_", F.min), ("hi_", F.max))]).first()
     if box.lo_vx is None:
         return cells.withColumn("component", F.lit(None).cast("long"))
-    ny, nz = (box[f"hi_{v}"] - box[f"lo_{v}"] + 3 for v in ("vy", "vz"))
-    if (box.hi_vx - box.lo_vx + 3) * ny * nz >= 2 ** 63:
+    nx, ny, nz = (box[f"hi_{v}"] - box[f"lo_{v}"] + 3 for v in VOXEL)
+    kinds = box[f"hi_{kind}"] - box[f"lo_{kind}"] + 1 if kind else 1
+    if kinds * nx * ny * nz >= 2 ** 63:
         raise ValueError("voxel range too large to number")
+    # A free layer on each side keeps neighbours from wrapping around.
+    text = f"(vx - {box.lo_vx - 1}L)"
+    if kind:
+        text = f"(({kind} - {box[f'lo_{kind}']}L) * {nx}L + {text})"
+    number = F.expr(f"({text} * {ny}L + (vy - {box.lo_vy - 1}L)) * {nz}L + (vz - {box.lo_vz - 1}L)")
 
-    def number(x: str, y: str, z: str) -> Column:
-        return F.expr(f"(({x} - {box.lo_vx - 1}L) * {ny}L + ({y} - {box.lo_vy - 1}L)) * {nz}L + ({z} - {box.lo_vz - 1}L)")
-
-    nodes = cut_lineage(cells.withColumn("u", number(*VOXEL)))
+    nodes = cut_lineage(cells.withColumn("u", number))
     # Half of the 26 offsets; the other half is the same edge seen from its far end.
     half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
     steps = F.array(*[F.lit(i * ny * nz + j * nz + k).cast("long") for i, j, k in half])
     far = nodes.select("u", F.explode(steps).alias("step")).select("u", (F.col("u") + F.col("step")).alias("v"))
     edges = cut_lineage(far.join(nodes.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v"))
-    mark = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -108,11 +112,13 @@ def components(cells: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            roots = edges.groupBy("u").agg(F.min("v").alias("component"))
-            return nodes.join(roots, "u", "left").select(*VOXEL, F.coalesce("component", "u").alias("component"))
-        mark = now
+        # Settled when every node hangs on exactly one root and no root hangs on another.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+            edges.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        loose = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 OR (hangs = 1 AND holds = 1)")
+        if loose.isEmpty():
+            roots = edges.select("u", F.col("v").alias("component"))
+            return nodes.join(roots, "u", "left").select(*key, F.coalesce("component", "u").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -136,14 +142,6 @@ def accept_structures(cells: DataFrame, rules: StructureRules = StructureRules()
     return per.withColumn("accepted", F.coalesce(ok, F.lit(False)))
 
 
-def structure_cells(df: DataFrame, rules: StructureRules = StructureRules()) -> DataFrame:
-    """Voxels of accepted wall-and-roof components."""
-    found = cut_lineage(patches(df, rules))
-    labelled = found.join(components(found), list(VOXEL))
-    good = accept_structures(labelled, rules).where("accepted")
-    return labelled.join(good, "component", "left_semi").select(*VOXEL)
-
-
 # Two-scale evidence of a linear object, and of its wire and pole kinds.
 LINEAR_TEXT = ("hag >= 0.15D AND linearity_r2 >= 0.85D AND linearity_r4 >= 0.75D AND sphericity_r2 <= 0.08D"
                " AND sphericity_r4 <= 0.10D AND planarity_r2 < 0.25D")
@@ -158,29 +156,62 @@ def linear_cells(df: DataFrame) -> DataFrame:
     return with_voxel(hit).groupBy("kind", *VOXEL).agg(F.min("hag").alias("low"), F.max("hag").alias("high"))
 
 
-def linear_objects(df: DataFrame) -> DataFrame:
-    """Voxels of accepted wires and of poles that meet an accepted wire at their top: ``vx, vy, vz, kind``."""
-    cells = cut_lineage(linear_cells(df))
-    wires, poles = cells.where("kind = 'wire'"), cells.where("kind = 'pole'")
+STRUCTURE_KIND, WIRE_KIND, POLE_KIND = 0, 1, 2
+
+
+def _evidence(df: DataFrame, rules: StructureRules, structures: bool, linear: bool) -> DataFrame:
+    """Voxels with evidence, one row per kind: planar counts or height span."""
+    parts = []
+    if structures:
+        parts.append(patches(df, rules).select(F.lit(STRUCTURE_KIND).alias("k"), *VOXEL, "wall", "roof", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")))
+    if linear:
+        parts.append(linear_cells(df).select(F.when(F.col("kind") == "wire", WIRE_KIND).otherwise(POLE_KIND).alias("k"), *VOXEL,
+                                             F.lit(0).cast("long").alias("wall"), F.lit(0).cast("long").alias("roof"), "low", "high"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
 
-    def spans(labelled: DataFrame) -> DataFrame:
-        return labelled.groupBy("component").agg(
+def accepted_cells(df: DataFrame, rules: StructureRules = StructureRules(), *, structures: bool = True, linear: bool = True) -> DataFrame:
+    """Voxels of accepted objects: ``vx, vy, vz, kind`` (structure, wire, pole).
+
+    All kinds are labelled in one component run.  A pole must reach an accepted
+    wire within two voxels of its top.
+    """
+    cells = cut_lineage(_evidence(df, rules, structures, linear))
+    labelled = cells.join(components(cells, "k"), ["k", *VOXEL])
+    parts = []
+    if structures:
+        mine = labelled.where(F.col("k") == STRUCTURE_KIND)
+        parts.append(mine.join(accept_structures(mine, rules).where("accepted"), "component", "left_semi").select(*VOXEL, F.lit("structure").alias("kind")))
+    if linear:
+        spans = labelled.where(F.col("k") != STRUCTURE_KIND).groupBy("k", "component").agg(
             F.count(F.lit(1)).alias("n"), *[(F.max(v) - F.min(v)).alias("d" + v[1]) for v in VOXEL],
             F.max("vz").alias("top"), F.min("low").alias("low"), F.max("high").alias("high"))
+        long_wire = spans.where(f"k = {WIRE_KIND} AND n >= 12 AND greatest(dx, dy) >= 12 AND least(dx, dy) <= greatest(4.0D, greatest(dx, dy) * 0.2D)"
+                                " AND dz <= greatest(dx, dy) * 0.25D + 1")
+        wires = cut_lineage(labelled.join(long_wire, "component", "left_semi").select(*VOXEL))
+        slim = spans.where(f"k = {POLE_KIND} AND n >= 4 AND dz >= 3 AND dx <= 1 AND dy <= 1 AND low <= 0.75D AND high >= 3")
+        poles = labelled.where(F.col("k") == POLE_KIND)
+        tops = poles.join(slim.select("component", "top"), "component").where(F.col("vz") >= F.col("top") - 1)
+        steps = F.sequence(F.lit(-2), F.lit(2))
+        around = (tops.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumn("h", F.explode(steps))
+                  .select("component", (F.col("vx") + F.col("i")).alias("vx"), (F.col("vy") + F.col("j")).alias("vy"), (F.col("vz") + F.col("h")).alias("vz")))
+        held = around.join(wires, list(VOXEL), "left_semi").select("component").distinct()
+        parts.append(wires.withColumn("kind", F.lit("wire")))
+        parts.append(poles.join(held, "component", "left_semi").select(*VOXEL, F.lit("pole").alias("kind")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def structure_cells(df: DataFrame, rules: StructureRules = StructureRules()) -> DataFrame:
+    """Voxels of accepted wall-and-roof components."""
+    return accepted_cells(df, rules, linear=False).select(*VOXEL)
 
-    wl = wires.join(components(wires), list(VOXEL))
-    good_wires = spans(wl).where("n >= 12 AND greatest(dx, dy) >= 12 AND least(dx, dy) <= greatest(4.0D, greatest(dx, dy) * 0.2D)"
-                                 " AND dz <= greatest(dx, dy) * 0.25D + 1")
-    wire_cells = cut_lineage(wl.join(good_wires, "component", "left_semi").select(*VOXEL))
-    pl = poles.join(components(poles), list(VOXEL))
-    slim = spans(pl).where("n >= 4 AND dz >= 3 AND dx <= 1 AND dy <= 1 AND low <= 0.75D AND high >= 3")
-    tops = pl.join(slim.select("component", "top"), "component").where(F.col("vz") >= F.col("top") - 1)
-    steps = F.sequence(F.lit(-2), F.lit(2))
-    around = (tops.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumn("k", F.explode(steps))
-              .select("component", (F.col("vx") + F.col("i")).alias("vx"), (F.col("vy") + F.col("j")).alias("vy"), (F.col("vz") + F.col("k")).alias("vz")))
-    held = around.join(wire_cells, list(VOXEL), "left_semi").select("component").distinct()
-    pole_cells = pl.join(held, "component", "left_semi").select(*VOXEL)
-    return wire_cells.withColumn("kind", F.lit("wire")).unionByName(pole_cells.withColumn("kind", F.lit("pole")))
+
+def linear_objects(df: DataFrame) -> DataFrame:
+    """Voxels of accepted wires and of poles that meet one at their top: ``vx, vy, vz, kind``."""
+    return accepted_cells(df, structures=False)
 
 
 def semantic_classify(df: DataFrame, requested: set[int], rules: StructureRules = StructureRules(),
@@ -191,12 +222,10 @@ def semantic_classify(df: DataFrame, requested: set[int], rules: StructureRules
     """
     rules.check()
     linear = bool(requested & {POLE, WIRE})
-    flags = structure_cells(df, rules).withColumns({"s": F.lit(True), "w": F.lit(False), "p": F.lit(False)})
-    if linear:
-        kinds = linear_objects(df)
-        flags = flags.unionByName(kinds.select(*VOXEL, F.lit(False).alias("s"), (F.col("kind") == "wire").alias("w"), (F.col("kind") == "pole").alias("p")))
     # One row per voxel, so that the points are joined once.
-    flags = flags.groupBy(*VOXEL).agg(F.bool_or("s").alias("_s"), F.bool_or("w").alias("_w"), F.bool_or("p").alias("_p"))
+    kind = F.col("kind")
+    flags = accepted_cells(df, rules, linear=linear).groupBy(*VOXEL).agg(
+        F.bool_or(kind == "structure").alias("_s"), F.bool_or(kind == "wire").alias("_w"), F.bool_or(kind == "pole").alias("_p"))
     df = with_voxel(df).join(flags, list(VOXEL), "left").drop(*VOXEL)
 
     def asked(code) -> str:
