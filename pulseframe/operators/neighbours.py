@@ -27,6 +27,8 @@ BLOCK_CELLS = (32, 16, 8, 4)
 MAX_BLOCK_ROWS = 2_000_000
 # Fixed value: a query whose cell cube holds more candidates is refused.
 MAX_CANDIDATES = 200_000
+# A first nearest-neighbour round with more candidates than this starts finer.
+CROWDED = 20_000
 # Points kept side by side in one cell row.
 CELL_ROW_POINTS = 16_384
 # A hot-cell list longer than this is shuffled instead of broadcast.
@@ -271,7 +273,7 @@ def radius_join(queries: DataFrame, support: DataFrame, radius: float, *, dims:
 
 
 def knn_join(queries: DataFrame, support: DataFrame, k: int, *, start_radius: float | None = None,
-             positive_only: bool = False, max_rounds: int = 40) -> DataFrame:
+             positive_only: bool = False, max_rounds: int = 64) -> DataFrame:
     """The ``k`` nearest support points per query, ties by id: ``q_id, s_id, d2, rank``.
 
     Each round searches one radius.  A query with at least ``k`` hits inside it is
@@ -294,10 +296,19 @@ def knn_join(queries: DataFrame, support: DataFrame, k: int, *, start_radius: fl
     if start_radius is None:
         area = max(ex * ey, max(ex, ey, ez) ** 2 * 1e-3) or 1.0
         start_radius = math.sqrt(2.0 * (k + 1) * area / (math.pi * box.n))
-    radius, todo, done = min(start_radius, reach), queries.select("point_id", "x", "y", "z"), []
-    found = None
-    for _ in range(max_rounds):
+    radius = min(start_radius, reach)
+    # Where points crowd, the mean density suggests too wide a start: begin finer, so that
+    # crowded queries finish early and only sparse ones see the wider rounds.
+    plan = plan_neighbourhood(support, radius, max_candidates=None)
+    for _ in range(12):
+        if plan.max_candidates <= max(CROWDED, 100 * k):
+            break
+        radius /= 4.0
         plan = plan_neighbourhood(support, radius, max_candidates=None)
+    todo, done, found = queries.select("point_id", "x", "y", "z"), [], None
+    for turn in range(max_rounds):
+        if turn:
+            plan = plan_neighbourhood(support, radius, max_candidates=None)
         pairs = paired(as_queries(todo), as_support(support.select("point_id", "x", "y", "z")), plan, bool(done))
         pairs = pairs.where(F.col("q_id") != F.col("s_id"))
         if positive_only:

@@ -108,29 +108,29 @@ def in_polygon(df: DataFrame, polygon: list[tuple[float, float]], x: str = "x",
 def in_polygons(df: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
     """``(point_id, polygon_id)`` for many polygons given as ``polygon_id, seq, px, py``.
 
-    Edges are listed per grid row band they can matter to (a ray to +x from a point
-    only meets edges of its own band), so the join is on the band, never all pairs.
+    A polygon is one row with its edges and is listed in the grid cells of its
+    bounding box; a point meets only the polygons of its own cell.
     """
-    size = Window.partitionBy("polygon_id")
-    order = size.orderBy("seq")
-    edges = (rings.withColumns({
-        "ax": F.coalesce(F.lag("px").over(order), F.last("px").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))),
-        "ay": F.coalesce(F.lag("py").over(order), F.last("py").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))),
-        "n": F.count(F.lit(1)).over(size)})
-        .where(F.col("n") >= 3)
-        .withColumn("band", F.explode(F.sequence(
-            F.floor((F.least("ay", "py") - 1e-9) / cell).cast("long"), F.floor((F.greatest("ay", "py") + 1e-9) / cell).cast("long")))))
-    pts = df.select("point_id", "x", "y", F.floor(F.col("y") / cell).cast("long").alias("band"))
-    x, y = F.col("x"), F.col("y")
-    cross = (x - F.col("ax")) * (F.col("py") - F.col("ay")) - (y - F.col("ay")) * (F.col("px") - F.col("ax"))
-    edge = ((F.abs(cross) <= 1e-9 * F.greatest(F.lit(1.0), F.hypot(F.col("px") - F.col("ax"), F.col("py") - F.col("ay"))))
-            & x.between(F.least("ax", "px") - 1e-9, F.greatest("ax", "px") + 1e-9)
-            & y.between(F.least("ay", "py") - 1e-9, F.greatest("ay", "py") + 1e-9))
-    straddles = (F.col("ay") > y) != (F.col("py") > y)
-    left = x < (F.col("px") - F.col("ax")) * (y - F.col("ay")) / F.nullif(F.col("py") - F.col("ay"), F.lit(0.0)) + F.col("ax")
-    return (pts.join(edges, "band").groupBy("point_id", "polygon_id")
-            .agg(F.bool_or(edge).alias("on_edge"), F.count_if(straddles & left).alias("hits"))
-            .where(F.col("on_edge") | (F.col("hits") % 2 == 1)).select("point_id", "polygon_id"))
+    order = Window.partitionBy("polygon_id").orderBy("seq")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = rings.withColumns({"ax": F.coalesce(F.lag("px").over(order), F.last("px").over(whole)),
+                               "ay": F.coalesce(F.lag("py").over(order), F.last("py").over(whole))})
+    polygons = edges.groupBy("polygon_id").agg(
+        F.collect_list(F.struct("ax", "ay", "px", "py")).alias("edges"),
+        *[f(f"p{a}").alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).where(F.size("edges") >= 3)
+
+    def covered(axis: str):
+        return F.explode(F.sequence(F.floor((F.col(f"lo_{axis}") - 1e-9) / cell), F.floor((F.col(f"hi_{axis}") + 1e-9) / cell)))
+
+    listed = polygons.withColumn("bc", covered("x")).withColumn("br", covered("y"))
+    pts = df.select("point_id", "x", "y", F.floor(F.col("x") / cell).alias("bc"), F.floor(F.col("y") / cell).alias("br"))
+    on_edge = ("abs((x - e.ax) * (e.py - e.ay) - (y - e.ay) * (e.px - e.ax)) <= 1e-9D * greatest(1.0D, hypot(e.px - e.ax, e.py - e.ay))"
+               " AND x BETWEEN least(e.ax, e.px) - 1e-9D AND greatest(e.ax, e.px) + 1e-9D"
+               " AND y BETWEEN least(e.ay, e.py) - 1e-9D AND greatest(e.ay, e.py) + 1e-9D")
+    crossed = "(e.ay > y) <> (e.py > y) AND x < (e.px - e.ax) * (y - e.ay) / nullif(e.py - e.ay, 0.0D) + e.ax"
+    inside = f"exists(edges, e -> {on_edge}) OR size(filter(edges, e -> {crossed})) % 2 = 1"
+    box = "x BETWEEN lo_x - 1e-9D AND hi_x + 1e-9D AND y BETWEEN lo_y - 1e-9D AND hi_y + 1e-9D"
+    return pts.join(listed, ["bc", "br"]).where(box).where(inside).select("point_id", "polygon_id")
 
 
 def view_basis(view: str, *, normal: tuple[float, float, float] = (0.0, 1.0, 0.0),

@@ -78,6 +78,19 @@ def test_knn_equals_brute_force(spark, survey):
         assert [s for _, s in sorted(got[i])] == want
 
 
+def test_knn_with_one_crowded_place(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    xyz = np.concatenate([rng.random((300, 3)) * 0.01, rng.random((60, 3)) * 100])
+    monkeypatch.setattr(nb, "CROWDED", 50)
+    df = cloud(spark, xyz)
+    d2, _ = brute_pairs(xyz, 1.0)
+    got = {}
+    for row in nb.knn_join(df, df, 2).collect():
+        got.setdefault(row.q_id, []).append((row.rank, row.s_id))
+    for i in range(len(xyz)):
+        assert [s for _, s in sorted(got[i])] == sorted(range(len(xyz)), key=lambda j: (d2[i, j], j))[:2]
+
+
 def test_knn_returns_all_when_support_is_small(spark):
     df = cloud(spark, [(0, 0, 0), (100, 0, 0), (0, 300, 0)])
     assert nb.knn_join(df, df, 5).count() == 6
