@@ -10,7 +10,7 @@ EPSILON = 2.220446049250313e-16
 # Name fragments that betray a column derived from labels.
 LABEL_TOKENS = (
     "class", "label", "training", "prediction", "confidence", "cluster",
-    "groundmask", "groundpreview", "qalvegetation", "reviewstatus",
+    "groundmask", "groundpreview", "vegetationscore", "reviewstatus",
 )
 
 

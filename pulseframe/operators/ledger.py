@@ -153,7 +153,7 @@ def drop_fields(df: DataFrame, names: list[str]) -> DataFrame:
         raise ValueError("name each column to drop once")
     for name in names:
         key = name.lower().replace(" ", "").replace("_", "")
-        if key in PROTECTED_EXACT or key.startswith("qal"):
+        if key in PROTECTED_EXACT:
             raise ValueError(f"{name} is protected")
         if name not in df.columns:
             raise ValueError(f"no column {name}")
@@ -163,7 +163,7 @@ def drop_fields(df: DataFrame, names: list[str]) -> DataFrame:
 def protected_names(fields: DataFrame, column: str = "field") -> DataFrame:
     """Add ``is_protected`` to a table of column names."""
     key = canonical_name(column)
-    return fields.withColumn("is_protected", key.isin(*PROTECTED_EXACT) | F.startswith(key, F.lit("qal")))
+    return fields.withColumn("is_protected", key.isin(*PROTECTED_EXACT))
 
 
 @dataclass

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from pulseframe.functions.scalar import canonical_name, finite_or_null, parse_number_locale, within_range
 from pulseframe.operators.neighbours import cell_index
 from pulseframe.operators.ranking import global_row_number, smallest_per_group
+from pulseframe.schema import PROTECTED_EXACT
 
 _COMPARE = {"=": "__eq__", "!=": "__ne__", ">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__"}
 
@@ -238,9 +239,7 @@ _TEXT_MATCH = {
 
 def protected_field(name: Column) -> Column:
     """Names the workflow owns: own outputs, class, return metadata, source index."""
-    key = canonical_name(name)
-    return F.startswith(key, F.lit("qal")) | key.isin(
-        "classification", "returnnumber", "numberofreturns", "originalcloudindex")
+    return canonical_name(name).isin(*PROTECTED_EXACT, "originalcloudindex")
 
 
 def search_fields(stats: DataFrame, field: str, op: str, query: str) -> DataFrame:

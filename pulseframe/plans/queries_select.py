@@ -208,10 +208,10 @@ def _(spark, sf):
     return se.search_fields(se.search_fields(stats, "missing_percent", ">", "8,0"), "name", "contains", "N").select("field")
 
 
-NAMES = "(SELECT l_returnflag || ' ' || CASE l_linenumber % 7 WHEN 0 THEN 'Classification' WHEN 1 THEN 'qAL_Vegetation' WHEN 2 THEN 'Intensity' WHEN 3 THEN 'cluster id' WHEN 4 THEN 'Ground Mask' WHEN 5 THEN 'planarity@0.5' ELSE 'Training_Class' END AS name FROM lineitem)"
+NAMES = "(SELECT l_returnflag || ' ' || CASE l_linenumber % 7 WHEN 0 THEN 'Classification' WHEN 1 THEN 'Vegetation_Score' WHEN 2 THEN 'Intensity' WHEN 3 THEN 'cluster id' WHEN 4 THEN 'Ground Mask' WHEN 5 THEN 'planarity@0.5' ELSE 'Training_Class' END AS name FROM lineitem)"
 
 
-@query("label_derived_names", f"""SELECT name, count(*) AS n, regexp_matches(replace(replace(lower(name),' ',''),'_',''), 'class|label|training|prediction|confidence|cluster|groundmask|groundpreview|qalvegetation|reviewstatus') AS leaks
+@query("label_derived_names", f"""SELECT name, count(*) AS n, regexp_matches(replace(replace(lower(name),' ',''),'_',''), 'class|label|training|prediction|confidence|cluster|groundmask|groundpreview|vegetationscore|reviewstatus') AS leaks
  FROM {NAMES} GROUP BY name""")
 def _(spark, sf):
     names = spark.sql(f"SELECT * FROM {NAMES.replace('lineitem', '{li}')}", li=table(spark, sf, "lineitem"))
