@@ -1,6 +1,6 @@
 """The registered queries of the text operators and the SQL that checks them."""
 
-from pulseframe.llm import bpe, simhash, token_planes, vector_search, wordpiece
+from pulseframe.llm import bpe, decontaminate, simhash, token_planes, toxicity, vector_search, wordpiece
 
 QUERIES = {
     "op1_bit_planes": token_planes.op1_bit_planes,
@@ -8,6 +8,8 @@ QUERIES = {
     "op3_tiled_top_k": vector_search.op3_tiled_top_k,
     "op4_simhash_variants": simhash.op4_simhash_variants,
     "op7_bpe": bpe.op7_bpe,
+    "op8_toxic_spans": toxicity.op8_toxic_spans,
+    "op10_template_windows": decontaminate.op10_template_windows,
 }
 ORACLES = {
     "op3_tiled_top_k": vector_search.ORACLE,
