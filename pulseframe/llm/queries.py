@@ -1,16 +1,20 @@
 """The registered queries of the text operators and the SQL that checks them."""
 
-from pulseframe.llm import bpe, decontaminate, simhash, token_planes, toxicity, vector_search, wordpiece
+from pulseframe.llm import archives, bpe, decontaminate, html_text, quality, simhash, token_planes, toxicity, vector_search, wordpiece
 
 QUERIES = {
     "op1_bit_planes": token_planes.op1_bit_planes,
     "op2_linear_pieces": wordpiece.op2_linear_pieces,
     "op3_tiled_top_k": vector_search.op3_tiled_top_k,
     "op4_simhash_variants": simhash.op4_simhash_variants,
+    "op5_block_rules": html_text.op5_block_rules,
+    "op6_co_training": quality.op6_co_training,
     "op7_bpe": bpe.op7_bpe,
     "op8_toxic_spans": toxicity.op8_toxic_spans,
+    "op9_arc_to_warc": archives.op9_arc_to_warc,
     "op10_template_windows": decontaminate.op10_template_windows,
 }
 ORACLES = {
     "op3_tiled_top_k": vector_search.ORACLE,
+    "op9_arc_to_warc": archives.ORACLE,
 }
