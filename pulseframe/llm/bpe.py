@@ -39,39 +39,44 @@ def byte_letters() -> list[str]:
 class MergeList:
     """The merges of a vocabulary, applied to the symbols of one piece."""
 
-    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
-        self.merges = merges
+    def __init__(self, ranked: list[tuple[int, int, int]]):
+        """``ranked``: left, right and merged symbol of each merge, in order of rank."""
+        # One integer per pair of symbols, and per queue entry, keeps look-ups and comparisons short.
+        self.merges = {a << 32 | b: rank for rank, (a, b, _) in enumerate(ranked)}
+        self.made = [m for _, _, m in ranked]
 
     def apply(self, symbols: list[int]) -> list[int]:
         n = len(symbols)
         if n < 2:
             return symbols
-        merges = self.merges
+        look, made = self.merges.get, self.made
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
+        queue = []  # rank and place in one number
         for i in range(n - 1):
-            m = merges.get((symbols[i], symbols[i + 1]))
-            if m:
-                queue.append((m[0], i, m[1]))
+            rank = look(symbols[i] << 32 | symbols[i + 1])
+            if rank is not None:
+                queue.append(rank << 32 | i)
         heapq.heapify(queue)
         while queue:
-            rank, i, made = heapq.heappop(queue)
+            top = heapq.heappop(queue)
+            rank, i = top >> 32, top & 0xFFFFFFFF
             j = right[i]
             # Stale: the symbol was swallowed, is the last, or has another partner now.
-            if symbols[i] < 0 or j < 0 or merges.get((symbols[i], symbols[j])) != (rank, made):
+            if symbols[i] < 0 or j < 0 or look(symbols[i] << 32 | symbols[j]) != rank:
                 continue
-            symbols[i], symbols[j] = made, -1
+            new = symbols[i] = made[rank]
+            symbols[j] = -1
             k = right[i] = right[j]
             if k >= 0:
                 left[k] = i
-                m = merges.get((made, symbols[k]))
-                if m:
-                    heapq.heappush(queue, (m[0], i, m[1]))
+                rank = look(new << 32 | symbols[k])
+                if rank is not None:
+                    heapq.heappush(queue, rank << 32 | i)
             h = left[i]
             if h >= 0:
-                m = merges.get((symbols[h], made))
-                if m:
-                    heapq.heappush(queue, (m[0], h, m[1]))
+                rank = look(symbols[h] << 32 | new)
+                if rank is not None:
+                    heapq.heappush(queue, rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
 
@@ -85,7 +90,7 @@ class WordBpe:
         vocab = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = MergeList({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)})
+        self.merges = MergeList([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + self.suffix] for c in letters]
@@ -104,10 +109,11 @@ class WordBpe:
 
     def encode_words(self, words: list[str]) -> list[tuple[bytes, str]]:
         split = [self.pattern.findall(w) for w in words]
-        self.pieces.ensure([p for pieces in split for p in pieces])
+        distinct = list({p for pieces in split for p in pieces})
+        coded = dict(zip(distinct, self.pieces.values(distinct)))
         out = []
         for pieces in split:
-            ids = [i for p in pieces for i in self.pieces[p]]
+            ids = [i for p in pieces for i in coded[p]]
             out.append((np.array(ids, "<u4").tobytes(), " ".join([self.strings[i] for i in ids])))
         return out
 
@@ -129,8 +135,7 @@ class WordBpe:
                 continue
             part = self.normalize(part)
             words = [w for w in BLANK.split(part) if w] if SEPARATORS.search(part) else part.split()
-            self.words.ensure(words)
-            found = [self.words[w] for w in words]
+            found = self.words.values(words)
             ids.extend([f[0] for f in found])
             strings.extend([f[1] for f in found if f[1]])
         return b"".join(ids), " ".join(strings)

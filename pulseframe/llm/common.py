@@ -56,47 +56,42 @@ def text_or_empty(name: str = "text") -> Column:
 
 def by_batch(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """``mapInArrow`` over columns as Python lists; the schema of the result is given as DDL."""
-    names = [part.split()[0] for part in schema.split(",")]
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    names = arrow.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 out = function({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in
-                                                  ((out[n], TYPES.get(n)) for n in names)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], arrow.field(n).type) for n in names], names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-    TYPES = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(schema))}
     return df.mapInArrow(run, schema)
 
 
-class Memo(dict):
+class Memo:
     """A bounded cache for values that can be computed again.
 
     Two generations: when the young one is full it becomes the old one, and entries
     still in use are copied back on their next use.
     """
 
-    def __init__(self, compute: Callable[[list], list], limit: int = 400_000):
-        super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
-
-    def ensure(self, keys: list) -> None:
-        """Make sure that every one of ``keys`` can be read until the next call."""
-        missing = set(keys).difference(self)
-        if not missing:
-            return
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-            missing = set(keys)
-        if self.old:
-            found = {k: self.old[k] for k in missing if k in self.old}
-            self.update(found)
-            missing.difference_update(found)
-        new = list(missing)
-        self.update(zip(new, self.compute(new)))
+    def __init__(self, compute: Callable[[list], list], limit: int = 250_000):
+        self.compute, self.limit, self.young, self.old = compute, limit, {}, {}
+
+    def values(self, keys: list) -> list:
+        """The value of each of ``keys``; those not in the cache are computed together."""
+        missing = set(keys).difference(self.young)
+        if missing:
+            if len(self.young) > self.limit:
+                self.old, self.young = self.young, {}
+                missing = set(keys)
+            found = {k: self.old[k] for k in missing if k in self.old} if self.old else {}
+            self.young.update(found)
+            new = list(missing.difference(found))
+            self.young.update(zip(new, self.compute(new)))
+        return list(map(self.young.__getitem__, keys))
 
 
 def connected_groups(nodes: DataFrame, edges: DataFrame, *, name: str = "groups", max_rounds: int = 100) -> DataFrame:

@@ -123,7 +123,7 @@ class LibraryCoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = Memo(lambda words: self.code([" " + w for w in words], words), limit=600_000)
+        self.words = Memo(lambda words: self.code([" " + w for w in words], words), limit=500_000)
         self.first = Memo(lambda words: self.code(words, words), limit=100_000)
 
     def code(self, texts: list[str], words: list[str]) -> list[bytes | None]:
@@ -134,9 +134,7 @@ class LibraryCoder:
         if not text:
             return b""
         first, *words = text.split(" ")
-        self.first.ensure([first])
-        self.words.ensure(words)
-        ids = [self.first[first], *map(self.words.__getitem__, words)]
+        ids = self.first.values([first]) + self.words.values(words)
         if None in ids:
             return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
         return b"".join(ids)

@@ -85,8 +85,7 @@ class PieceCounter:
     def totals(self, text: str) -> tuple[int, int, int]:
         """Words, pieces, unknown words."""
         words = text.split()
-        self.memo.ensure(words)
-        counts = [self.memo[w] for w in words]
+        counts = self.memo.values(words)
         unknown = counts.count(-1)
         return len(words), sum(counts) + 2 * unknown, unknown
 
