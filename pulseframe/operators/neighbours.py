@@ -25,7 +25,9 @@ from pulseframe.session import cut_lineage, tune
 
 BLOCK_CELLS = (32, 16, 8, 4)
 MAX_BLOCK_ROWS = 2_000_000
-# Fixed value: a query whose cell cube holds more candidates is refused.
+# Candidate pairs one unit of work should not exceed; denser places are divided.
+MAX_UNIT_PAIRS = 20_000_000
+# Fixed value: the limit of the density check for callers that ask for one.
 MAX_CANDIDATES = 200_000
 # A first nearest-neighbour round with more candidates than this starts finer.
 CROWDED = 20_000
@@ -67,6 +69,7 @@ class NeighbourPlan:
     pieces: int  # parts a cell's points are kept in, 1 unless a cell is very dense
     hot_cells: DataFrame | None  # cx, cy, splits: cells of over-full blocks
     hot_blocks: DataFrame | None  # bx, by
+    partitions: int | None = None  # shuffle partitions the pairs need, where the session has fewer
 
     @property
     def side(self) -> float:
@@ -85,8 +88,8 @@ def _count_cells(points: DataFrame, side: float) -> DataFrame:
 
 
 def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None,
-                       max_candidates: int | None = MAX_CANDIDATES,
-                       max_block_rows: int = MAX_BLOCK_ROWS) -> NeighbourPlan:
+                       max_candidates: int | None = None,
+                       max_block_rows: int = MAX_BLOCK_ROWS, max_unit_pairs: int = MAX_UNIT_PAIRS) -> NeighbourPlan:
     """Count points per cell once: choose 2-D or 3-D cells, find hot blocks, guard density.
 
     The pass aggregates on the map side and returns a handful of scalars.
@@ -107,6 +110,7 @@ def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("blocks"),
         F.coalesce(F.sum(n * n / F.col("columns")), F.lit(0.0)).alias("q2"), F.coalesce(F.sum("q3"), F.lit(0.0)).alias("q3"),
         F.coalesce(F.max("n"), F.lit(0)).alias("top_block"), F.coalesce(F.max("top3"), F.lit(0)).alias("top3"),
+        F.coalesce(F.max(9.0 * n * n / F.col("columns")), F.lit(0.0)).alias("top_pairs"),
     ).first()
     if dims is None:
         # Expected probes + candidates per layout; the cheaper one wins.
@@ -119,23 +123,29 @@ def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None
                 f"a neighbourhood of radius {radius:g} has {bound} candidates, limit {max_candidates}; "
                 "use a smaller radius")
     busy = 8 * max(spark.sparkContext.defaultParallelism, 1)
-    cells = next((b for b in BLOCK_CELLS if row.blocks * base * base >= busy * b * b), base)
+    cells = next((b for b in BLOCK_CELLS if row.blocks * base * base >= busy * b * b and row.top_pairs * (b // base) ** 2 <= max_unit_pairs), base)
     hot_cells = hot_blocks = None
     hot = 0
-    if row.top_block * (cells // base) ** 2 > max_block_rows:
-        blocks = by_block(cells).agg(F.sum("n").alias("n")).where(F.col("n") > max_block_rows)
+    if row.top_block * (cells // base) ** 2 > max_block_rows or row.top_pairs * (cells // base) ** 2 > max_unit_pairs:
+        columns = counts.groupBy("cx", "cy").agg(F.sum("n").alias("n")).groupBy(
+            _floor_div(F.col("cx"), cells).alias("bx"), _floor_div(F.col("cy"), cells).alias("by")).agg(
+            F.sum("n").alias("n"), (9.0 * F.sum(n) * F.sum(n) / F.count(F.lit(1))).alias("pairs"))
+        blocks = columns.where((F.col("n") > max_block_rows) | (F.col("pairs") > max_unit_pairs))
         hot = blocks.count()
     if hot:
         hot_blocks = blocks.select("bx", "by")
         unit = max(1, max_block_rows // 16)
         hot_cells = (counts.groupBy("cx", "cy").agg(F.sum("n").alias("n")).withColumns({"bx": _floor_div(F.col("cx"), cells), "by": _floor_div(F.col("cy"), cells)})
                      .join(hot_blocks, ["bx", "by"], "left_semi")
-                     .select("cx", "cy", F.ceil(F.col("n") / F.lit(float(unit))).cast("int").alias("splits")))
+                     .select("cx", "cy", F.ceil(F.greatest(F.col("n") / F.lit(float(unit)), 9.0 * n * n / F.lit(float(max_unit_pairs)), F.lit(1.0))).cast("int").alias("splits")))
         hot_cells, hot_blocks = cut_lineage(hot_cells), cut_lineage(hot_blocks)
         if hot * cells * cells <= BROADCAST_ROWS:
             hot_cells, hot_blocks = F.broadcast(hot_cells), F.broadcast(hot_blocks)
     pieces = max(1, math.ceil((row.top_block if dims == 2 else row.top3) / CELL_ROW_POINTS))
-    return NeighbourPlan(radius, dims, row.n, bound, cells, pieces, hot_cells, hot_blocks)
+    pairs = 9.0 * row.q2 if dims == 2 else 27.0 * row.q3
+    wanted = math.ceil(max(row.n / max_block_rows, pairs / (10.0 * max_unit_pairs)))
+    return NeighbourPlan(radius, dims, row.n, bound, cells, pieces, hot_cells, hot_blocks,
+                         wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None)
 
 
 def cell_candidates(points: DataFrame, radius: float, queries: DataFrame | None = None) -> DataFrame:
@@ -219,7 +229,8 @@ def paired(queries: DataFrame, support: DataFrame, plan: NeighbourPlan, few_quer
     queries, support = _place_queries(queries, plan), _place_support(support, plan)
     if few_queries:
         support = support.join(queries.select(*plan.unit).distinct(), list(plan.unit), "left_semi")
-    queries, support = queries.repartition(*plan.unit), support.repartition(*plan.unit)
+    parts = [plan.partitions] if plan.partitions else []
+    queries, support = queries.repartition(*parts, *plan.unit), support.repartition(*parts, *plan.unit)
     # One row per occupied cell with its points side by side: a probe finds one row and
     # walks contiguous memory.  Very dense cells are divided into bounded pieces.
     cell = [f"scell_{a}" for a in axes]
@@ -258,7 +269,7 @@ def as_support(df: DataFrame, *extra: str) -> DataFrame:
 
 def radius_join(queries: DataFrame, support: DataFrame, radius: float, *, dims: int | None = None,
                 plan: NeighbourPlan | None = None, q_columns: tuple[str, ...] = (), s_columns: tuple[str, ...] = (),
-                max_candidates: int | None = MAX_CANDIDATES,
+                max_candidates: int | None = None,
                 max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
     """Every pair with ``d2 <= r2``; a point never pairs with its own id, coincident ids do.
 
