@@ -16,10 +16,9 @@ from pulseframe.operators.grid import densify, join_cells, opening
 from pulseframe.schema import feature_column
 from pulseframe.session import cut_lineage
 
-# Default steps of the ground filter and the raster limit.
+# Default steps of the ground filter.
 PMF_WINDOWS = (3.0, 6.0, 12.0, 20.0)
 PMF_THRESHOLDS = (0.5, 0.8, 1.4, 2.0)
-MAX_PMF_CELLS = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -54,20 +53,8 @@ def _bounds(df: DataFrame):
     return box
 
 
-def pmf_cell(cell: float, first_window: float, extent_x: float, extent_y: float, limit: int = MAX_PMF_CELLS) -> float:
-    """Effective raster cell: a sixth of the first window by default, enlarged to respect the limit."""
-    if not cell > 0:
-        cell = first_window / 6.0
-    for _ in range(6):
-        cells = (math.floor(extent_x / cell) + 1.0) * (math.floor(extent_y / cell) + 1.0)
-        if cells <= limit:
-            break
-        cell *= math.sqrt(cells / limit) * 1.01
-    return cell
-
-
-def pmf_raster(df: DataFrame, windows, thresholds, cell: float = 0.0, limit: int = MAX_PMF_CELLS) -> Raster:
-    """Validate the steps and lay out the ground-filter raster."""
+def pmf_raster(df: DataFrame, windows, thresholds, cell: float = 0.0) -> Raster:
+    """Validate the steps and lay out the ground-filter raster; by default six cells span the first window."""
     if not windows or len(windows) != len(thresholds) or len(windows) > 64:
         raise ValueError("give 1..64 windows and as many thresholds")
     if any(not (v > 0 and math.isfinite(v)) for v in (*windows, *thresholds)):
@@ -77,10 +64,8 @@ def pmf_raster(df: DataFrame, windows, thresholds, cell: float = 0.0, limit: int
     if not (cell >= 0 and math.isfinite(cell)):
         raise ValueError("cell must be finite and not negative")
     b = _bounds(df)
-    size = pmf_cell(cell, windows[0], b.x1 - b.x0, b.y1 - b.y0, limit)
+    size = cell or windows[0] / 6.0
     width, height = math.floor((b.x1 - b.x0) / size) + 1, math.floor((b.y1 - b.y0) / size) + 1
-    if width * height > limit:
-        raise ValueError(f"ground raster of {width * height} cells exceeds {limit}")
     return Raster(b.x0, b.y0, size, width, height, centred=False)
 
 
@@ -105,7 +90,7 @@ def pmf_ground(df: DataFrame, windows=PMF_WINDOWS, thresholds=PMF_THRESHOLDS, ce
             grid = grid.withColumn("first_opened", F.col("opened"))
         # A cell without survivors leaves the surface; the others are lowered onto it.
         grid = grid.withColumn("surface", F.when(stays, F.col("opened"))).drop("opened")
-    # At most ``MAX_PMF_CELLS`` rows: written once, however often the points are read.
+    # Written once, however often the points are read.
     result = cut_lineage(grid.where(F.col("first_opened").isNotNull()).select(
         "col", "row", "first_opened", F.col("surface").isNotNull().alias("_alive")))
     joined = join_cells(indexed, result, raster.cells)
@@ -303,16 +288,23 @@ def _kriging(variogram: Variogram, step: float):
             cube = np.array([[(s["dx"], s["dy"], s["z"]) for s in support[i]] for i in rows], dtype="float64")
             xy, z = cube[:, :, :2] * step, cube[:, :, 2]
             gap = np.sqrt(((xy[:, :, None, :] - xy[:, None, :, :]) ** 2).sum(-1))
+            # Semivariances in units of the sill: the system's size does not depend on theirs.
             a = np.ones((len(rows), size + 1, size + 1))
-            a[:, :size, :size] = variogram.gamma(gap)
+            a[:, :size, :size] = variogram.gamma(gap) / variogram.sill
             a[:, size, size] = 0.0
             b = np.ones((len(rows), size + 1, 1))
-            b[:, :size, 0] = variogram.gamma(np.sqrt((xy ** 2).sum(-1)))
+            b[:, :size, 0] = variogram.gamma(np.sqrt((xy ** 2).sum(-1))) / variogram.sill
             flat = z.max(1) == z.min(1)
-            with np.errstate(all="ignore"):
-                good = np.abs(np.linalg.det(a)) > 0
-            a[~good] = np.eye(size + 1)
-            weight = np.linalg.solve(a, b)[:, :size, 0]
+            # A least-squares solve of the symmetric system stands in for the few that are singular.
+            solved = np.empty_like(b)
+            for at in range(len(rows)):
+                try:
+                    solved[at] = np.linalg.solve(a[at], b[at])
+                except np.linalg.LinAlgError:
+                    solved[at] = np.linalg.lstsq(a[at], b[at], rcond=None)[0]
+            # Usable where the solution satisfies its equations.
+            good = np.abs(a @ solved - b).max(axis=(1, 2)) < 1e-6
+            weight = solved[:, :size, 0]
             value = np.where(good, (weight * z).sum(1), np.nan)
             out[list(rows)] = np.where(flat, z[:, 0], value)
         return pd.Series(out, index=support.index)
@@ -340,6 +332,8 @@ def fill_voids(grid: DataFrame, raster: Raster, method: str = "mean", options: F
     if method == "kriging":
         if variogram is None:
             raise ValueError("kriging needs a variogram")
+        if not 3 <= options.maximum_support <= 64:
+            raise ValueError("kriging takes 3 to 64 support cells")
         variogram.check()
     reach = options.radius / raster.step
     k = math.ceil(reach)
