@@ -49,8 +49,9 @@ def _code(code: int) -> int:
     return code
 
 
-def ground_edits(state: DataFrame, preview: str, version: int) -> DataFrame:
+def ground_edits(state: DataFrame, preview: str, version: int, *, selection: DataFrame | None = None) -> DataFrame:
     """Apply a ground preview (>= 0.5): mask and working class move together."""
+    state = _in(selection, state)
     ground = F.coalesce(F.col(preview).cast("double") >= 0.5, F.lit(False))
     working = F.when(ground, 2).when(F.col("working_class") == 2, 1).otherwise(F.col("working_class"))
     return _edits(state, version, {"is_ground": ground, "working_class": working})
@@ -70,10 +71,10 @@ def archaeology_edits(state: DataFrame, ids: DataFrame, value: int, version: int
     return _edits(_in(ids, state), version, {"archaeology_class": F.lit(value)})
 
 
-def trust_edits(state: DataFrame, source: str, version: int) -> DataFrame:
+def trust_edits(state: DataFrame, source: str, version: int, *, selection: DataFrame | None = None) -> DataFrame:
     """Integer values 0..255 of a column become working and trusted class."""
     v = finite_or_null(source)
-    rows = state.where((v >= 0) & (v <= 255) & (v == F.floor(v)))
+    rows = _in(selection, state).where((v >= 0) & (v <= 255) & (v == F.floor(v)))
     return _edits(rows, version, {"working_class": v, "trusted_class": v})
 
 
@@ -88,12 +89,12 @@ def prediction_edits(state: DataFrame, version: int, min_confidence: float = 0.0
     return _edits(rows, version, {"working_class": F.floor(p + 0.5)})
 
 
-def auto_edits(state: DataFrame, proposals: DataFrame, version: int) -> DataFrame:
+def auto_edits(state: DataFrame, proposals: DataFrame, version: int, *, selection: DataFrame | None = None) -> DataFrame:
     """Automatic proposals ``point_id, proposal``: never class 2, never on ground, never trusted."""
     refused = F.raise_error(F.lit("automatic edits cannot assign this class"))
     p = F.col("proposal").cast("int")
     safe = F.when((p < 0) | (p > 255) | (p == 2), refused.cast("int")).otherwise(p)
-    rows = (state.join(proposals.where(F.col("proposal").isNotNull()).select("point_id", safe.alias("_p")), "point_id")
+    rows = (_in(selection, state).join(proposals.where(F.col("proposal").isNotNull()).select("point_id", safe.alias("_p")), "point_id")
             .where(~F.coalesce(F.col("is_ground"), F.lit(False))))
     return _edits(rows, version, {"working_class": F.col("_p")})
 
@@ -109,6 +110,34 @@ def check_revision(made_with: int | None, current: int | None) -> None:
         raise StaleResult(f"made with ground revision {made_with}, current is {current}")
 
 
+def stale(made_with: str, current: str) -> Column:
+    """The rule of :func:`check_revision` over columns: a known revision that is not the current one."""
+    return F.col(made_with).isNotNull() & ~F.col(made_with).eqNullSafe(F.col(current))
+
+
+def revision(log: list[dict], field: str = "is_ground") -> int:
+    """How often the values of a field have changed: every edit of it, and every undo or redo of such an edit.
+
+    Read from the log, so it is the same after the ledger is opened again.
+    """
+    touches, done, undone, count = {}, [], [], 0
+    for event in log:
+        if event["action"] == "edit":
+            record = json.loads(event["record"]) if event.get("record") else {}
+            touches[event["version"]] = field in record.get("output_fields", ())
+            done.append(event["version"])
+            undone.clear()
+        elif event["action"] == "undo" and done:
+            undone.append(done.pop())
+        elif event["action"] == "redo" and undone:
+            done.append(undone.pop())
+        else:
+            continue
+        moved = undone[-1] if event["action"] == "undo" else done[-1]
+        count += touches.get(moved, False)
+    return count
+
+
 def active_versions(log: list[dict]) -> tuple[list[int], list[int]]:
     """Replay ``edit / undo / redo`` events: active versions and the redo stack."""
     done: list[int] = []
@@ -176,7 +205,11 @@ class Ledger:
 
     base: DataFrame
     path: str
-    ground_revision: int = 0
+
+    @property
+    def ground_revision(self) -> int:
+        """Revision of the ground mask; results made with another one are stale."""
+        return revision(self.log())
 
     @property
     def spark(self) -> SparkSession:
@@ -196,7 +229,7 @@ class Ledger:
         return [r.asDict() for r in rows]
 
     def _event(self, action: str, version: int | None = None, record: dict | None = None) -> None:
-        seq = len(self.log())
+        seq = 1 + max((e["seq"] for e in self.log()), default=-1)
         row = [(seq, action, version, json.dumps(record) if record else None)]
         (self.spark.createDataFrame(row, "seq INT, action STRING, version INT, record STRING").coalesce(1)
          .write.mode("append").json(self._log_path()))
@@ -225,20 +258,23 @@ class Ledger:
         self._event("edit", version, {
             "operation": operation, "timestamp_utc": started.strftime("%Y-%m-%dT%H:%M:%SZ"), "affected_points": row.points,
             "output_fields": sorted(row.fields), "elapsed_ms": elapsed, "parameters": {k: str(v) for k, v in parameters.items()}})
-        if "is_ground" in row.fields:
-            self.ground_revision += 1
         return row.n
 
     def undo(self) -> bool:
-        if not active_versions(self.log())[0]:
-            return False
-        self._event("undo")
-        return True
+        return self._step("undo", active_versions(self.log())[0])
 
     def redo(self) -> bool:
-        if not active_versions(self.log())[1]:
+        return self._step("redo", active_versions(self.log())[1])
+
+    def _step(self, action: str, stack: list[int]) -> bool:
+        """Record an undo or redo, in the history too, with the points and fields it moves."""
+        if not stack:
             return False
-        self._event("redo")
+        row = self.edits().where(F.col("version") == stack[-1]).agg(
+            F.countDistinct("point_id").alias("points"), F.collect_set("field").alias("fields")).first()
+        now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        self._event(action, stack[-1], {"operation": action, "timestamp_utc": now, "affected_points": row.points, "output_fields": sorted(row.fields),
+                                        "elapsed_ms": 0, "parameters": {"version": str(stack[-1])}})
         return True
 
     def history(self) -> DataFrame:
