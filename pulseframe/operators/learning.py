@@ -166,12 +166,18 @@ class TrainedModel:
 
 
 KINDS = ("random_forest", "boosted_trees", "multilayer")
+REPEAT = 50  # copies of a rare class's row at most when weights must be copies
 
 
 def train_classifier(train: DataFrame, features: list[str], kind: str = "random_forest", *, label: str = "classification",
                      impute: bool = False, balanced: bool = True, trees: int = 50, depth: int = 10, min_leaf: int = 1,
-                     criterion: str = "gini", iterations: int = 20, hidden: tuple[int, ...] | None = None, seed: int = 42) -> TrainedModel:
-    """Fit a classifier on rows with finite features (or imputed ones)."""
+                     criterion: str = "gini", iterations: int = 20, hidden: tuple[int, ...] | None = None, max_features: str = "auto", step: float = 0.1,
+                     subsample: float = 1.0, seed: int = 42) -> TrainedModel:
+    """Fit a classifier on rows with finite features (or imputed ones).
+
+    ``balanced`` weights classes inversely to their size.  The network takes no weights: rows of
+    a class are repeated instead, up to ``REPEAT`` times.
+    """
     if kind not in KINDS:
         raise ValueError(f"unknown classifier {kind!r}")
     prep = impute_median(train, features) if impute else Preprocessor(features, {}, [])
@@ -189,13 +195,19 @@ def train_classifier(train: DataFrame, features: list[str], kind: str = "random_
     common = dict(featuresCol="_x", labelCol="_y")
     if kind == "random_forest":
         fitted = RandomForestClassifier(**common, weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-                                        impurity=criterion, seed=seed).fit(ready)
+                                        impurity=criterion, featureSubsetStrategy=max_features, seed=seed).fit(ready)
     elif kind == "boosted_trees":
-        one = GBTClassifier(**common, maxIter=iterations, maxDepth=min(depth, 5), seed=seed)
-        fitted = OneVsRest(classifier=one, **common).fit(ready)
+        one = GBTClassifier(**common, maxIter=iterations, maxDepth=depth, stepSize=step, subsamplingRate=subsample, weightCol="_w", seed=seed)
+        fitted = OneVsRest(classifier=one, weightCol="_w", **common).fit(ready)
     else:
         wide = max(32, min(256, 4 * len(prep.columns)))
         layers = [len(prep.columns), *(hidden or (wide, wide // 2)), len(classes)]
+        if balanced:
+            share = F.col("_w") / F.lit(min(total / (len(classes) * c) for c in counts.values()))
+            whole = F.least(F.floor(share), F.lit(REPEAT)).cast("int")
+            # The fraction left over is drawn by a repeatable hash of the row.
+            more = (F.pmod(F.xxhash64(vector_to_array("_x"), F.lit(seed)), F.lit(1000)) < (share - F.floor(share)) * 1000).cast("int")
+            ready = ready.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(whole + more, F.lit(REPEAT))))).drop("_n")
         fitted = MultilayerPerceptronClassifier(**common, layers=layers, maxIter=iterations, seed=seed).fit(ready)
     return TrainedModel(kind, fitted, list(features), classes, prep, calibrated=kind != "boosted_trees")
 
@@ -292,25 +304,24 @@ def map_clusters(raw: Column, confidence: Column, usable: Column, ground: Column
             "cluster_confidence": F.when(g, 1.0).when(usable, confidence).otherwise(0.0)}
 
 
-def cluster(df: DataFrame, features: list[str], k: int, algorithm: str = "kmeans", *, fit_sample: int = 500_000,
+def cluster(df: DataFrame, features: list[str], k: int, algorithm: str = "kmeans", *,
             ground: str | None = None, seed: int = 42) -> DataFrame:
     """Add ``cluster_id, cluster_confidence``.
 
-    ``algorithm``: kmeans, hierarchical (bisecting) or mixture.  The fit uses at
-    most ``fit_sample`` repeatable rows without ground; columns empty in that
-    sample are ignored; the rest is imputed by the median and standardised.
+    ``algorithm``: kmeans, hierarchical (bisecting) or mixture.  The fit uses all
+    rows without ground; columns empty there are ignored; the rest is imputed by the median and
+    standardised.
     """
-    if k < 2 or fit_sample < 2:
-        raise ValueError("clusters and sample size must be at least two")
+    if k < 2:
+        raise ValueError("clusters must be at least two")
     finite = {f: finite_or_null(f).isNotNull() for f in features}
     pool = df if ground is None else df.where(~F.coalesce(F.col(ground), F.lit(False)))
     pool = pool.where(reduce(lambda a, b: a | b, finite.values())).select("point_id", *features)
-    keyed = pool.withColumn("_mix", mix("point_id", seed=seed))
-    sample = cut_lineage(smallest_per_group(keyed, [], "_mix", "point_id", fit_sample).drop("_mix"))
+    sample = cut_lineage(pool)
     counts = sample.agg(F.count(F.lit(1)).alias("n"), *[F.count(finite_or_null(f)).alias(f"f{i}") for i, f in enumerate(features)]).first()
     active = [f for i, f in enumerate(features) if counts[f"f{i}"]]
-    if counts.n < k or not active:
-        raise ValueError("not enough usable rows for the requested clusters")
+    if not active or sample.select(*active).distinct().limit(k).count() < k:
+        raise ValueError("fewer distinct usable rows than clusters")
     prep = standardize(sample, impute_median(sample, active))
     assembler = VectorAssembler(inputCols=prep.columns, outputCol="_x")
     fit_on = assembler.transform(prep.apply(sample)).select("_x")

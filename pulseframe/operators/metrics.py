@@ -7,8 +7,7 @@ from pyspark.sql.window import Window
 
 from pulseframe.functions.scalar import finite_or_null
 from pulseframe.operators.neighbours import cell_index
-from pulseframe.operators.ranking import exact_quantiles, smallest_per_group
-from pulseframe.operators.selection import mix
+from pulseframe.operators.ranking import exact_quantiles, quantiles_of
 
 
 def confusion(df: DataFrame, truth: str = "true_class", pred: str = "pred_class") -> DataFrame:
@@ -66,20 +65,19 @@ def overall_metrics(matrix: DataFrame, train_classes: list[int] | None = None) -
         ((F.size(missing) == 0) & (F.size(unseen) == 0)).alias("validation_complete"))
 
 
-def class_distributions(df: DataFrame, features: list[str], *, label: str = "classification",
-                        limit: int = 20_000, seed: int = 42) -> DataFrame:
-    """Per class and feature: population, sampled, valid and p10..p90 of at most ``limit`` rows."""
-    keyed = df.select("point_id", F.col(label).alias("class_code"), *[finite_or_null(f).alias(f) for f in features])
-    population = keyed.groupBy("class_code").agg(F.count(F.lit(1)).alias("class_population"))
-    sample = smallest_per_group(keyed.withColumn("_mix", mix("point_id", seed=seed)), ["class_code"], "_mix", "point_id", limit)
-    long = sample.select("class_code", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in features])).alias("s")).select("class_code", "s.*")
-    # A (class, feature) group is bounded by the sample limit.
-    quantiles = F.percentile("v", F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    table = long.groupBy("class_code", "feature").agg(F.count(F.lit(1)).alias("sampled"), F.count("v").alias("valid"), quantiles.alias("q"))
+def class_distributions(df: DataFrame, features: list[str], *, label: str = "classification") -> DataFrame:
+    """Per class and feature: population, valid rows and exact p10..p90 over all rows."""
+    population = {r.c: r.n for r in df.groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect() if r.c is not None}
+    if len(population) > 256:
+        raise ValueError("class distributions need at most 256 classes")
+    codes, k = sorted(population), len(features)
+    place = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col(label)).cast("int") - 1 if codes else F.lit(None).cast("int")
+    long = (df.where(F.col(label).isNotNull()).select(F.explode(F.array(*[
+        F.struct((place * k + i).alias("f"), finite_or_null(f).alias("v")) for i, f in enumerate(features)])).alias("s")).select("s.*").where(F.col("v").isNotNull()))
     names = ["percentile_10", "percentile_25", "median", "percentile_75", "percentile_90"]
-    return table.join(population, "class_code").select(
-        "class_code", "feature", "class_population", "sampled", "valid", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    found = quantiles_of(long, [0.1, 0.25, 0.5, 0.75, 0.9]) if codes else {}
+    rows = [(c, f, population[c], *found.get(i * k + j, (0, *[None] * 5))) for i, c in enumerate(codes) for j, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "class_code int, feature string, class_population long, valid long, " + ", ".join(f"{n} double" for n in names))
 
 
 def block_index(df: DataFrame, size: float, origin: tuple[float, float] | None = None) -> DataFrame:

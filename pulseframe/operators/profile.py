@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.functions.scalar import finite_or_null
-from pulseframe.operators.features import quantile_text
 from pulseframe.operators.neighbours import cell_index, knn_join
-from pulseframe.operators.ranking import exact_quantiles, systematic_sample
+from pulseframe.operators.ranking import exact_quantiles
+from pulseframe.session import cut_lineage
 
 
 def field_stats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,31 +21,16 @@ def field_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         F.struct(F.lit(c).alias("field"), *[F.col(f"{i}_{m}").alias(m) for m in measures]) for i, c in enumerate(columns)])))
 
 
-def feature_statistics(df: DataFrame, columns: list[str], sample_limit: int = 1_000_000) -> DataFrame:
-    """Count, extremes, mean, population variance and p05..p95 per column.
-
-    Quantiles are exact up to ``sample_limit`` valid values; beyond it they come
-    from a systematic sample of that size and ``approximate`` is true.
-    """
+def feature_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, extremes, mean, population variance and exact p05..p95 per column, whatever the size."""
     shape = {"valid_count": lambda c: F.count(c), "invalid_count": lambda c: F.count_if(c.isNull()), "minimum": F.min,
              "maximum": F.max, "mean": F.avg, "variance": F.var_pop, "standard_deviation": F.stddev_pop}
     one = df.agg(*[f(finite_or_null(c)).alias(f"{i}_{m}") for i, c in enumerate(columns) for m, f in shape.items()])
     table = one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("field"), *[F.col(f"{i}_{m}").alias(m) for m in shape]) for i, c in enumerate(columns)])))
-    probabilities = [0.05, 0.25, 0.5, 0.75, 0.95]
     names = ["percentile_05", "percentile_25", "median", "percentile_75", "percentile_95"]
-    counts = df.agg(*[F.count(finite_or_null(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
-    small = [c for i, c in enumerate(columns) if counts[i] <= sample_limit]
-    parts = [exact_quantiles(df, small, probabilities)] if small else []
-    for c in [c for c in columns if c not in small]:
-        valid = df.select("point_id", finite_or_null(c).alias(c)).where(F.col(c).isNotNull())
-        parts.append(exact_quantiles(systematic_sample(valid, sample_limit), [c], probabilities))
-    quantiles = parts[0]
-    for part in parts[1:]:
-        quantiles = quantiles.unionByName(part)
-    quantiles = quantiles.select("field", *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
-    return (table.join(quantiles, "field", "left")
-            .withColumn("approximate", F.col("valid_count") > sample_limit))
+    quantiles = exact_quantiles(df, columns, [0.05, 0.25, 0.5, 0.75, 0.95]).select("field", *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
+    return table.join(quantiles, "field", "left").withColumn("approximate", F.lit(False))
 
 
 def code_or_null(column: str, maximum: int) -> Column:
@@ -106,42 +91,39 @@ def z_sample_stats(df: DataFrame) -> DataFrame:
     return df.agg(F.count("z").alias("n"), F.avg("z").alias("z_mean"), F.stddev_samp("z").alias("z_sample_std"))
 
 
-def spacing_queries(df: DataFrame, limit: int, cell: float | None = None) -> DataFrame:
-    """One point per occupied cell, thinned to ``limit`` cells evenly in cell order."""
+def spacing_queries(df: DataFrame, cell: float | None = None) -> DataFrame:
+    """The first point of every occupied cell; by default a cell has room for one point on average."""
     if cell is None:
         b = df.agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("ex"), (F.max("y") - F.min("y")).alias("ey")).first()
-        cell = math.sqrt(max(b.ex * b.ey, 1e-12) / max(1, min(b.n, limit))) or 1.0
+        cell = math.sqrt(max((b.ex or 0.0) * (b.ey or 0.0), 1e-12) / max(1, b.n)) or 1.0
     cells = [cell_index("x", cell).alias("cx"), cell_index("y", cell).alias("cy")]
     first = df.groupBy(*cells).agg(F.min(F.struct("point_id", "x", "y", "z")).alias("p"))
-    first = first.select("cx", "cy", "p.*")
-    return systematic_sample(first, limit, ("cx", "cy")).select("point_id", "x", "y", "z")
+    return first.select("p.point_id", "p.x", "p.y", "p.z")
 
 
-def spacing(df: DataFrame, limit: int = 20_000, cell: float | None = None) -> DataFrame:
-    """Nearest-neighbour spacing over a deterministic sample searched in the whole cloud.
+def spacing(df: DataFrame, cell: float | None = None) -> DataFrame:
+    """Nearest-neighbour spacing of one point per occupied cell, searched in the whole cloud.
 
-    One row: sampled, duplicate and unresolved queries, mean, extremes, p10..p90,
-    median absolute deviation and ``ln 2 / (pi median^2)`` as density.
+    One row: searched, duplicate and unresolved points, mean, extremes, p10..p90,
+    median absolute deviation and ``ln 2 / (pi median^2)`` as density.  Quantiles are exact.
     """
-    if limit < 1:
-        raise ValueError("sample limit must be positive")
-    queries = spacing_queries(df, limit, cell)
+    queries = cut_lineage(spacing_queries(df, cell))
     nearest = knn_join(queries, df.select("point_id", "x", "y", "z"), 1, positive_only=True)
-    coincident = (queries.join(df.select(*[F.col(c).alias(f"o_{c}") for c in ("point_id", "x", "y", "z")]),
-                               [F.col(a) == F.col(f"o_{a}") for a in "xyz"])
-                  .where(F.col("point_id") != F.col("o_point_id")).select("point_id").distinct())
-    table = (queries.select("point_id").join(nearest.select(F.col("q_id").alias("point_id"), F.sqrt("d2").alias("d")), "point_id", "left")
-             .join(coincident.withColumn("dup", F.lit(1)), "point_id", "left"))
-    # At most ``limit`` distances: one short array gives every quantile and the dispersion.
+    # Coincident points meet by counting, never in pairs.
+    shared = df.groupBy("x", "y", "z").agg(F.countDistinct("point_id").alias("_n")).where("_n > 1")
+    coincident = queries.join(shared, ["x", "y", "z"], "left_semi").select("point_id").distinct()
+    table = cut_lineage(
+        queries.select("point_id").join(nearest.select(F.col("q_id").alias("point_id"), F.sqrt("d2").alias("d")), "point_id", "left")
+        .join(coincident.withColumn("dup", F.lit(1)), "point_id", "left"))
     one = table.agg(
-        F.count(F.lit(1)).alias("sampled"), F.count("dup").alias("duplicate_samples"),
-        F.count_if(F.col("d").isNull()).alias("unresolved_samples"), F.avg("d").alias("mean"),
-        F.array_sort(F.collect_list("d")).alias("ds"))
+        F.count(F.lit(1)).alias("sampled"), F.count("dup").alias("duplicate_samples"), F.count_if(F.col("d").isNull()).alias("unresolved_samples"),
+        F.avg("d").alias("mean"), F.min("d").alias("minimum"), F.max("d").alias("maximum"))
     names = {"percentile_10": 0.1, "percentile_25": 0.25, "median": 0.5, "percentile_75": 0.75, "percentile_90": 0.9}
-    one = one.selectExpr("*", "array_min(ds) AS minimum", "array_max(ds) AS maximum",
-                         *[f"{quantile_text('ds', p)} AS {n}" for n, p in names.items()])
-    one = one.selectExpr("*", "array_sort(transform(ds, v -> abs(v - median))) AS dev")
-    return one.selectExpr(
-        "sampled", "duplicate_samples", "unresolved_samples", "mean", "minimum", *names, "maximum",
-        f"{quantile_text('dev', 0.5)} AS median_absolute_deviation",
-        f"CASE WHEN median > 0 THEN {math.log(2.0) / math.pi!r}D / (median * median) END AS density_2d")
+    q = exact_quantiles(table, ["d"], list(names.values())).first()
+    median = q.q2
+    off = None if median is None else exact_quantiles(table.select(F.abs(F.col("d") - median).alias("d")), ["d"], [0.5]).first().q0
+    lit = lambda v: F.lit(v).cast("double")
+    return one.select(
+        "sampled", "duplicate_samples", "unresolved_samples", "mean", "minimum", *[lit(q[f"q{i}"]).alias(n) for i, n in enumerate(names)], "maximum",
+        lit(off).alias("median_absolute_deviation"),
+        lit(math.log(2.0) / math.pi / (median * median) if median else None).alias("density_2d"))

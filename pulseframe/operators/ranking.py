@@ -31,27 +31,46 @@ def global_row_number(df: DataFrame, order: tuple[str, ...], name: str = "row_nu
 
 
 def smallest_per_group(df: DataFrame, keys: list[str], order: str, tie: str, n: int, buckets: int = 1024,
-                       domain: int = 1000003) -> DataFrame:
+                       domain: int | None = None, edge_rows: int = 20_000) -> DataFrame:
     """The ``n`` rows with the smallest ``order`` (an integer in [0, domain)) per group.
 
-    A histogram of the order column tells which buckets fit whole; only the bucket
-    that crosses ``n`` is ranked, so even a group holding most rows is never
-    sorted in one task.  Exact for any distribution.
+    A histogram of the order column tells which rows fit whole and which interval crosses
+    ``n``.  That interval is divided again until it holds at most ``edge_rows`` rows or one value of
+    ``order``; only its rows are ranked, so no group is ever sorted in one task.  Exact
+    for any distribution.  ``domain`` is by default that of ``selection.mix``.
     """
-    bucket = F.floor(F.col(order) * F.lit(float(buckets)) / F.lit(float(domain))).cast("int")
-    keyed = df.withColumn("_b", bucket)
-    counts = keyed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")
-    plan = counts.withColumn("_before", before).where(F.col("_before") < n).withColumn(
-        "_whole", F.col("_before") + F.col("_n") <= n).drop("_n")
-    plan = plan.withColumnsRenamed({c: f"_p_{c}" for c in [*keys, "_b"]})
-    on = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in [*keys, "_b"]]
-    joined = keyed.join(plan, on).drop(*[f"_p_{c}" for c in [*keys, "_b"]])
-    whole = joined.where("_whole")
-    edge = joined.where(~F.col("_whole"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order, tie))
+    if domain is None:
+        from pulseframe.operators.selection import MIX_DOMAIN
+        domain = MIX_DOMAIN
+    named = {c: f"_p_{c}" for c in keys}
+
+    def beside(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        on = [F.col(c).eqNullSafe(F.col(p)) for c, p in named.items()] or F.lit(True)
+        # Without keys the plan is one row.
+        return rows.join(plan if keys else F.broadcast(plan), on, "inner")
+
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed(named)
+    plan = cut_lineage(counts.select(*named.values(), F.lit(0).cast("long").alias("_lo"), F.lit(domain).cast("long").alias("_hi"),
+                                     F.lit(0).cast("long").alias("_before"), "_n"))
+    crossing = (F.col("_before") + F.col("_n") > n) & (F.col("_n") > edge_rows) & (F.col("_hi") - F.col("_lo") > 1)
+    while not plan.where(crossing).isEmpty():
+        wide = F.expr(f"(_hi - _lo + {buckets - 1}) div {buckets}")
+        todo = plan.where(crossing).withColumn("_w", wide)
+        hist = (beside(df.select(*keys, order), todo).where((F.col(order) >= F.col("_lo")) & (F.col(order) < F.col("_hi")))
+                .groupBy(*named.values(), "_lo", "_hi", "_before", "_w", F.expr(f"({order} - _lo) div _w").alias("_s"))
+                .agg(F.count(F.lit(1)).alias("_c")))
+        # At most ``buckets`` rows a group.
+        run = F.sum("_c").over(Window.partitionBy(*named.values()).orderBy("_s")) if keys else F.sum("_c").over(Window.orderBy("_s"))
+        low = F.col("_lo") + F.col("_s") * F.col("_w")
+        found = (hist.withColumn("_b", F.col("_before") + run - F.col("_c")).where((F.col("_b") < n) & (F.col("_b") + F.col("_c") >= n))
+                 .select(*named.values(), low.alias("_lo"), F.least(low + F.col("_w"), F.col("_hi")).alias("_hi"), F.col("_b").alias("_before"), F.col("_c").alias("_n")))
+        plan = cut_lineage(plan.where(~crossing).unionByName(found))
+    joined = beside(df, plan).drop(*named.values())
+    whole = joined.where((F.col(order) < F.col("_lo")) | ((F.col(order) < F.col("_hi")) & (F.col("_before") + F.col("_n") <= n)))
+    edge = joined.where((F.col(order) >= F.col("_lo")) & (F.col(order) < F.col("_hi")) & (F.col("_before") + F.col("_n") > n))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_lo").orderBy(order, tie))
     edge = edge.withColumn("_r", rank).where(F.col("_before") + F.col("_r") <= n).drop("_r")
-    return whole.unionByName(edge).drop("_b", "_before", "_whole")
+    return whole.unionByName(edge).drop("_lo", "_hi", "_before", "_n")
 
 
 def systematic_sample(df: DataFrame, size: int, order: tuple[str, ...] = ("point_id",)) -> DataFrame:
@@ -72,17 +91,29 @@ def systematic_sample(df: DataFrame, size: int, order: tuple[str, ...] = ("point
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], *, method: str = "linear",
                     buckets: int = 256, small: int = 20_000) -> DataFrame:
-    """Exact quantiles of whole columns: ``field, valid, q0, q1, ...`` (missing values skipped).
+    """Exact quantiles of whole columns: ``field, valid, q0, q1, ...`` (missing values skipped)."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("f"), finite_or_null(c).alias("v")) for i, c in enumerate(columns)])).alias("s")
+    ).select("s.f", "s.v").where(F.col("v").isNotNull())
+    found = quantiles_of(long, probabilities, method=method, buckets=buckets, small=small)
+    none = (0, *[None] * len(probabilities))
+    fields = [T.StructField("field", T.StringType()), T.StructField("valid", T.LongType())]
+    fields += [T.StructField(f"q{i}", T.DoubleType()) for i in range(len(probabilities))]
+    return df.sparkSession.createDataFrame([(name, *found.get(f, none)) for f, name in enumerate(columns)], T.StructType(fields))
+
+
+def quantiles_of(long: DataFrame, probabilities: list[float], *, method: str = "linear", buckets: int = 256,
+                 small: int = 20_000) -> dict[int, tuple]:
+    """Exact quantiles of the values ``v`` of each series ``f`` of ``long(f int, v double)``: count and values.
 
     ``linear`` interpolates at ``p (n-1)``; ``nearest`` takes the value at
     ``round(p (n-1))``.  Each pass counts values in equal-width buckets of the
     intervals that still hold a wanted rank and narrows them; only counts reach
-    the driver, until an interval holds few values or one.
+    the driver, until an interval holds few values or one.  The values are written once, so that
+    passes don't compute them again.
     """
-    spark = df.sparkSession
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("f"), finite_or_null(c).alias("v")) for i, c in enumerate(columns)])).alias("s")
-    ).select("s.f", "s.v").where(F.col("v").isNotNull())
+    spark = long.sparkSession
+    long = cut_lineage(long)
     head = {r.f: r for r in long.groupBy("f").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
     ranks: dict[int, set[int]] = {}
     for f, row in head.items():
@@ -121,11 +152,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
                     nxt[(row.f, row.lo, row.hi)] = (below, row.n, inside)
                 below += row.n
         open_ = nxt
-    out = []
-    for f, name in enumerate(columns):
-        if f not in head:
-            out.append((name, 0, *[None] * len(probabilities)))
-            continue
+    out = {}
+    for f in head:
         n, cells = head[f].n, []
         for p in probabilities:
             at = p * (n - 1)
@@ -134,7 +162,5 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
                 cells.append(a + (at - math.floor(at)) * (b - a))
             else:
                 cells.append(value[f, math.floor(at + 0.5)])
-        out.append((name, n, *cells))
-    fields = [T.StructField("field", T.StringType()), T.StructField("valid", T.LongType())]
-    fields += [T.StructField(f"q{i}", T.DoubleType()) for i in range(len(probabilities))]
-    return spark.createDataFrame(out, T.StructType(fields))
+        out[f] = (n, *cells)
+    return out

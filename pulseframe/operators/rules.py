@@ -7,8 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.functions.scalar import clamp, finite_or_null
-from pulseframe.operators.features import quantile_text
-from pulseframe.operators.ranking import systematic_sample
+from pulseframe.operators.ranking import exact_quantiles
 from pulseframe.schema import feature_column
 
 # Result categories of the vegetation rules.
@@ -46,30 +45,30 @@ def _valid(o: str, minimum) -> str:
             f" AND {o}.variation IS NOT NULL AND {o}.roughness_ratio IS NOT NULL)")
 
 
-def adapt_thresholds(sample: DataFrame, preset: int = 1, minimum: int = 12) -> DataFrame:
-    """One row of thresholds from the valid observations (column ``scales``) of a bounded sample.
+def adapt_thresholds(observed: DataFrame, preset: int = 1, minimum: int = 12) -> DataFrame:
+    """One row of thresholds from exact quantiles of all valid observations (column ``scales``).
 
     Preset 0 is cautious (factor 1.15), 1 neutral, 2 eager (0.85).
     """
-    obs = sample.select(F.explode("scales").alias("o")).where(F.expr(_valid("o", minimum)))
-    arrays = obs.agg(*[F.array_sort(F.collect_list(f"o.{n}")).alias(n) for n in ("planarity", "scattering", "variation", "roughness_ratio")])
+    obs = observed.select(F.explode("scales").alias("o")).where(F.expr(_valid("o", minimum)))
     factor = {0: 1.15, 1: 1.0, 2: 0.85}[preset]
-
-    def bounded(name: str, p: float, default: float, low: float, high: float, scale: float) -> str:
-        return f"greatest({low}D, least({high}D, coalesce({quantile_text(name, p)}, {default}D))) * {scale}D"
-
-    return arrays.selectExpr(
-        bounded("planarity", 0.70, 0.5, 0.40, 0.65, 1.0) + " AS planar",
-        bounded("scattering", 0.55, 0.12, 0.08, 0.25, factor) + " AS scattering",
-        bounded("variation", 0.55, 0.04, 0.025, 0.08, factor) + " AS variation",
-        bounded("roughness_ratio", 0.55, 0.06, 0.03, 0.12, factor) + " AS roughness_ratio",
-        f"{0.25 if preset == 0 else 0.15}D AS near_ground", f"{minimum} AS minimum_neighbors", f"{preset} AS preset")
-
-
-def threshold_sample(df: DataFrame, size: int = 10_000, order: tuple[str, ...] = ("point_id",)) -> DataFrame:
-    """Systematic sample of non-ground rows outside the excluded classes."""
+    # name, quantile, default, lowest, highest, scale
+    wanted = (("planarity", 0.70, 0.5, 0.40, 0.65, 1.0), ("scattering", 0.55, 0.12, 0.08, 0.25, factor),
+              ("variation", 0.55, 0.04, 0.025, 0.08, factor), ("roughness_ratio", 0.55, 0.06, 0.03, 0.12, factor))
+    q = {r.field: r for r in exact_quantiles(obs.select(*[F.col(f"o.{w[0]}").alias(w[0]) for w in wanted]), [w[0] for w in wanted], [0.55, 0.70]).collect()}
+    values = []
+    for name, p, default, low, high, scale in wanted:
+        v = q[name].q1 if p == 0.70 else q[name].q0
+        values.append(max(low, min(high, default if v is None else v)) * scale)
+    return observed.sparkSession.createDataFrame(
+        [(*values, 0.25 if preset == 0 else 0.15, minimum, preset)],
+        "planar double, scattering double, variation double, roughness_ratio double, near_ground double, minimum_neighbors int, preset int")
+
+
+def threshold_rows(df: DataFrame) -> DataFrame:
+    """The rows thresholds are learned from: no ground, none of the excluded classes."""
     keep = ~F.coalesce(F.col("is_ground"), F.lit(False)) & ~F.coalesce(F.col("classification").isin(*EXCLUDED_CODES), F.lit(False))
-    return systematic_sample(df.where(keep), size, order)
+    return df.where(keep)
 
 
 def vegetation_decide(df: DataFrame, thresholds: dict, *, ground: str = "is_ground", code: str = "classification",

@@ -150,6 +150,11 @@ def view_basis(view: str, *, normal: tuple[float, float, float] = (0.0, 1.0, 0.0
         return fixed[view]
     if view in ("section_front", "section_back"):
         side = 1.0 if view == "section_front" else -1.0
+        # A section across an axis: 0 and 1 stand upright, 2 lies flat and is seen from above or below.
+        if normal == (0.0, 0.0, 1.0):
+            return (side, 0.0, 0.0), (0.0, 1.0, 0.0)
+        if abs(normal[2]) > 1e-12 or math.hypot(normal[0], normal[1]) < 1e-12:
+            raise ValueError("a section's normal is an axis or lies in the plane")
         return (side * normal[1], -side * normal[0], 0.0), (0.0, 0.0, 1.0)
     if view == "orbit":
         sin, cos = math.sin, math.cos
@@ -157,6 +162,13 @@ def view_basis(view: str, *, normal: tuple[float, float, float] = (0.0, 1.0, 0.0
     raise ValueError(f"unknown view {view!r}")
 
 
+def section_axis(axis: int) -> tuple[float, float, float]:
+    """Normal of a section across axis 0 (x), 1 (y) or 2 (z)."""
+    if axis not in (0, 1, 2):
+        raise ValueError("section axes are 0, 1 and 2")
+    return tuple(1.0 if i == axis else 0.0 for i in range(3))
+
+
 def project(df: DataFrame, view: str, center: tuple[float, float, float] = (0.0, 0.0, 0.0), **camera) -> DataFrame:
     """Add screen coordinates ``u, v`` of a camera looking at ``center``."""
     right, up = view_basis(view, **camera)
@@ -260,16 +272,28 @@ def search_fields(stats: DataFrame, field: str, op: str, query: str) -> DataFram
     return stats.where(F.coalesce(getattr(actual, _COMPARE[op])(expected), F.lit(False)))
 
 
+# Two primes below 2**31; products of two residues stay below 2**62.
+MIX_PRIMES = (2147483647, 2147483629)
+MIX_DOMAIN = MIX_PRIMES[0] * MIX_PRIMES[1]
+
+
 def mix(*columns, seed: int = 0) -> Column:
-    """Portable pseudo-random integer in [0, 1000003): plain modular arithmetic.
+    """Portable pseudo-random integer in [0, MIX_DOMAIN), about 2**62 values.
 
-    Used wherever a repeatable order is needed that any SQL engine reproduces.
+    Used wherever a repeatable order is needed that any SQL engine reproduces.  Two lanes, each
+    folding the columns in by multiplications of the state with its own shift modulo a prime: not
+    linear, so another seed is another order and not a rotation of the same one.
     """
-    out = F.lit(seed % 1000003).cast("long")
-    for c in columns:
-        c = c if isinstance(c, Column) else F.col(c)
-        out = (out * 7919 + F.pmod(c.cast("long"), F.lit(1000003)) * 104729 + 12345) % 1000003
-    return (out * 7919 + 104729) % 1000003
+    lanes = []
+    for lane, p in enumerate(MIX_PRIMES):
+        h = F.lit((seed * 7919 + 12345 + lane) % p).cast("long")
+        for c in columns:
+            c = (c if isinstance(c, Column) else F.col(c)).cast("long")
+            h = (h + F.pmod(c, F.lit(p)) + 1000003) % p
+            h = (h * ((h + 48271 + lane) % p)) % p
+        h = (h + 69621) % p
+        lanes.append((h * ((h + 16807) % p)) % p)
+    return lanes[0] * MIX_PRIMES[1] + lanes[1]
 
 
 def sample_random(df: DataFrame, n: int, seed: int = 0) -> DataFrame:

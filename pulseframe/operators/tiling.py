@@ -11,8 +11,7 @@ from pulseframe.functions.scalar import clamp
 from pulseframe.operators.neighbours import cell_index
 from pulseframe.session import cut_lineage
 
-# Grid limit and the metres added to a halo.
-MAX_TILES = 10_000
+# Fixed value: the metres added to a halo.
 HALO_MARGIN = 0.002
 
 
@@ -30,8 +29,8 @@ class TileGrid:
         values = (self.x0, self.y0, self.x1, self.y1, self.side)
         if not all(math.isfinite(v) for v in values) or self.side <= 0 or self.x1 < self.x0 or self.y1 < self.y0:
             raise ValueError("invalid grid bounds or side")
-        if self.cols * self.rows > MAX_TILES:
-            raise ValueError(f"more than {MAX_TILES} tiles: increase the tile side")
+        if max(self.cols, self.rows) >= 2 ** 31:
+            raise ValueError("tile numbers need 31 bits: increase the tile side")
 
     @property
     def cols(self) -> int:

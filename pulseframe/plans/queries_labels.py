@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,7 +11,7 @@ from pulseframe.operators.features import compute_features
 from pulseframe.plans.queries_select import duck_mix
 from pulseframe.plans.registry import d, query, r
 from pulseframe.plans.views import labelled_view, points_view, table
-from pulseframe.session import cut_lineage
+from pulseframe.session import cut_lineage, shared_folder
 from pulseframe.streaming import progress as sp, tiles as stt
 
 SCORED = "s AS (SELECT classification AS t, pred_class AS p FROM lab WHERE pred_class >= 0)"
@@ -54,13 +53,12 @@ def _(spark, sf):
 QN = (("percentile_10", .1), ("percentile_25", .25), ("median", .5), ("percentile_75", .75), ("percentile_90", .9))
 
 
-@query("class_distributions", f"""WITH o AS (SELECT classification, z, intensity, row_number() OVER (PARTITION BY classification ORDER BY {duck_mix(['point_id'], 42)}, point_id) AS rn FROM pts),
-n AS (SELECT classification, count(*) AS pop FROM pts GROUP BY 1), u AS (SELECT classification, 'z' AS feature, z AS v FROM o WHERE rn <= 3000 UNION ALL SELECT classification, 'intensity', intensity FROM o WHERE rn <= 3000)
-SELECT classification AS class_code, feature, any_value(pop) AS class_population, count(*) AS sampled, count(v) AS valid, {', '.join(f'{d(f"quantile_cont(v, {p})")} AS {n}' for n, p in QN)}
-FROM u JOIN n USING (classification) GROUP BY ALL""", "pts")
+@query("class_distributions", f"""WITH u AS (SELECT classification, 'z' AS feature, z AS v FROM pts UNION ALL SELECT classification, 'intensity', intensity FROM pts)
+SELECT classification AS class_code, feature, count(*) AS class_population, count(v) AS valid, {', '.join(f'{d(f"quantile_cont(v, {p})")} AS {n}' for n, p in QN)}
+FROM u GROUP BY ALL""", "pts")
 def _(spark, sf):
-    c = me.class_distributions(points_view(spark, sf), ["z", "intensity"], limit=3000)
-    return c.select("class_code", "feature", "class_population", "sampled", "valid", *[r(n).alias(n) for n, _ in QN])
+    c = me.class_distributions(points_view(spark, sf), ["z", "intensity"])
+    return c.select("class_code", "feature", "class_population", "valid", *[r(n).alias(n) for n, _ in QN])
 
 
 @query("block_class_histogram", "SELECT floor((x-x0)/4)::BIGINT AS block_col, floor((y-y0)/4)::BIGINT AS block_row, classification AS class_code, count(*) AS n FROM pts, (SELECT min(x) x0, min(y) y0 FROM pts) GROUP BY ALL", "pts")
@@ -142,14 +140,14 @@ def _(spark, sf):
 
 
 HIST = "hi AS (SELECT floor((x-x0)/5)::BIGINT AS bc, floor((y-y0)/5)::BIGINT AS br, classification AS c, count(*) AS n FROM pts, (SELECT min(x) x0, min(y) y0 FROM pts) GROUP BY ALL)"
-SPLIT = f"""{HIST}, bl AS (SELECT DISTINCT bc, br FROM hi), dr AS (SELECT bc, br, k, row_number() OVER (PARTITION BY k ORDER BY {duck_mix(['bc', 'br', 'k'], 42)}, bc, br) <= ceil((SELECT count(*) FROM bl)*0.3) AS te FROM bl, unnest(range(24)) u(k)),
+SPLIT = f"""{HIST}, bl AS (SELECT DISTINCT bc, br FROM hi), dr AS (SELECT bc, br, k, row_number() OVER (PARTITION BY k ORDER BY {duck_mix(['bc', 'br', 'k'], 42)}, bc, br) <= ceil((SELECT count(*) FROM bl)*0.3) AS te FROM bl, unnest(range(96)) u(k)),
 pc AS (SELECT k, c, sum(CASE WHEN te THEN n ELSE 0 END) AS te, sum(CASE WHEN te THEN 0 ELSE n END) AS tr FROM hi JOIN dr USING (bc, br) GROUP BY ALL),
 sc AS (SELECT k, count(*) FILTER (WHERE tr = 0) AS mtr, count(*) FILTER (WHERE te = 0) AS mte, sum(te) AS rows FROM pc GROUP BY k)"""
 
 
 @query("split_scores", f"""WITH {SPLIT} SELECT k::INT AS candidate, mtr AS missing_train, mte AS missing_test, rows::BIGINT AS test_rows, {d('mte*10.0+abs(rows-(SELECT sum(n) FROM hi)*0.3)/(SELECT sum(n) FROM hi)')} AS score FROM sc""", "pts")
 def _(spark, sf):
-    s = ml.split_scores(cut_lineage(me.block_class_histogram(points_view(spark, sf), 5.0)), 0.3, 42, 24)
+    s = ml.split_scores(cut_lineage(me.block_class_histogram(points_view(spark, sf), 5.0)), 0.3, 42, 96)
     return s.select("candidate", "missing_train", "missing_test", "test_rows", r("score").alias("score"))
 
 
@@ -157,7 +155,7 @@ def _(spark, sf):
 q AS (SELECT classification, (floor((x-x0)/5)::BIGINT, floor((y-y0)/5)::BIGINT) IN (SELECT (bc, br) FROM tb) AS te FROM pts, (SELECT min(x) x0, min(y) y0 FROM pts))
 SELECT CASE WHEN te THEN 'test' ELSE 'train' END AS part, classification, count(*) AS n FROM q GROUP BY ALL""", "pts")
 def _(spark, sf):
-    s = ml.spatial_split(points_view(spark, sf), block_size=5.0, fraction=0.3, candidates=24)
+    s = ml.spatial_split(points_view(spark, sf), block_size=5.0, fraction=0.3)
     both = s.train.select("classification", F.lit("train").alias("part")).unionByName(s.test.select("classification", F.lit("test").alias("part")))
     return both.groupBy("part", "classification").agg(F.count(F.lit(1)).alias("n"))
 
@@ -200,14 +198,14 @@ FEATURES = ["planarity_r1", "z_range_r1", "z_standard_deviation_r1", "z_above_mi
 
 def _learn(kind, **options):
     def run(spark, sf):
-        split = ml.spatial_split(training_cloud(spark, sf), block_size=5.0, fraction=0.3, candidates=24)
+        split = ml.spatial_split(training_cloud(spark, sf), block_size=5.0, fraction=0.3)
         model = ml.train_classifier(ml.cap_per_class(split.train, 3000), FEATURES, kind, impute=True, **options)
         return ml.evaluate(model, split.test)
     return run
 
 
 query("random_forest_evaluation")(_learn("random_forest", trees=10, depth=6))
-query("boosted_trees_evaluation")(_learn("boosted_trees", iterations=3, depth=3))
+query("boosted_trees_evaluation")(_learn("boosted_trees", iterations=10, depth=3))
 query("multilayer_evaluation")(_learn("multilayer", iterations=15, hidden=(16,)))
 
 
@@ -228,8 +226,8 @@ def _(spark, sf):
 
 @query("compare_models")
 def _(spark, sf):
-    split = ml.spatial_split(training_cloud(spark, sf), block_size=5.0, fraction=0.3, candidates=24)
-    return ml.compare_models(split, FEATURES, ("random_forest", "multilayer"), impute=True, trees=8, depth=5, iterations=10, hidden=(16,))
+    split = ml.spatial_split(training_cloud(spark, sf), block_size=5.0, fraction=0.3)
+    return ml.compare_models(split, FEATURES, impute=True, trees=8, depth=5, iterations=10, hidden=(16,))
 
 
 @query("feature_importance")
@@ -242,7 +240,7 @@ def _(spark, sf):
 def _cluster(algorithm):
     def run(spark, sf):
         cloud = training_cloud(spark, sf).withColumn("is_ground", F.col("classification") == 2)
-        return ml.cluster(cloud, FEATURES, 4, algorithm, fit_sample=5000, ground="is_ground").select("point_id", "cluster_id", "cluster_confidence")
+        return ml.cluster(cloud, FEATURES, 4, algorithm, ground="is_ground").select("point_id", "cluster_id", "cluster_confidence")
     return run
 
 
@@ -375,14 +373,14 @@ def _(spark, sf):
 
 
 @query("staleness_check", """WITH t AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'error') AS made_with, max(event_id) FILTER (WHERE event_type = 'click') AS current FROM events GROUP BY 1)
-SELECT user_id, coalesce(made_with <> current, true) AS stale FROM t""")
+SELECT user_id, made_with IS NOT NULL AND made_with IS DISTINCT FROM current AS stale FROM t""")
 def _(spark, sf):
     t = table(spark, sf, "events").groupBy("user_id").agg(
         F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("made_with"), F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("current"))
-    return t.select("user_id", F.coalesce(F.col("made_with") != F.col("current"), F.lit(True)).alias("stale"))
+    return t.select("user_id", le.stale("made_with", "current").alias("stale"))
 
 
-@query("drop_fields")
+@query("drop_fields", "SELECT * EXCLUDE (intensity) FROM pts", "pts")
 def _(spark, sf):
     return le.drop_fields(points_view(spark, sf), ["intensity"])
 
@@ -406,10 +404,7 @@ def _(spark, sf):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return tempfile.mkdtemp(prefix="spark-tiles-", dir="/tmp")
-    return f"{base}/tiles-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
 
 
 @query("process_tiles_resumable", f"""WITH b AS (SELECT min(x) x0, min(y) y0, max(x) x1, max(y) y1 FROM pts), t AS (SELECT pts.*, least(floor((x-x0)/10), greatest(1, ceil((x1-x0)/10))-1)::INT AS tile_col, least(floor((y-y0)/10), greatest(1, ceil((y1-y0)/10))-1)::INT AS tile_row FROM pts, b)

@@ -76,13 +76,11 @@ def observed(spark, sf):
 ADAPT = " UNION ALL ".join(f"SELECT {', '.join(f'{obs(k, n)} AS {n}' for n in NAMES)} FROM smp" for k in range(3))
 
 
-@query("adapt_thresholds", f"""WITH e AS (SELECT *, row_number() OVER (ORDER BY point_id) - 1 AS i FROM lab WHERE NOT is_ground AND NOT (point_id % 19 = 0)),
-k AS (SELECT DISTINCT (v*((SELECT count(*) FROM e)-1))//4999 AS i FROM unnest(range(5000)) u(v)),
-smp AS (SELECT e.* FROM e WHERE i IN (SELECT i FROM k) OR (SELECT count(*) FROM e) <= 5000), o AS (SELECT * FROM ({ADAPT}) WHERE count >= 12 AND planarity IS NOT NULL)
+@query("adapt_thresholds", f"""WITH smp AS (SELECT * FROM lab WHERE NOT is_ground AND NOT (point_id % 19 = 0)), o AS (SELECT * FROM ({ADAPT}) WHERE count >= 12 AND planarity IS NOT NULL)
 SELECT {d('greatest(0.40, least(0.65, quantile_cont(planarity, 0.7)))')} AS planar, {d('greatest(0.08, least(0.25, quantile_cont(scattering, 0.55)))*1.15')} AS scattering,
  {d('greatest(0.025, least(0.08, quantile_cont(variation, 0.55)))*1.15')} AS variation, {d('greatest(0.03, least(0.12, quantile_cont(roughness_ratio, 0.55)))*1.15')} AS roughness_ratio, 0.25::DOUBLE AS near_ground FROM o""", "lab")
 def _(spark, sf):
-    t = ru.adapt_thresholds(ru.threshold_sample(observed(spark, sf), 5000), preset=0)
+    t = ru.adapt_thresholds(ru.threshold_rows(observed(spark, sf)), preset=0)
     return t.select(*[r(c).alias(c) for c in ("planar", "scattering", "variation", "roughness_ratio")], "near_ground")
 
 

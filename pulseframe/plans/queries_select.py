@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from pulseframe.operators import attach, profile as pr, ranking, selection as se
 from pulseframe.operators.features import compute_features
 from pulseframe.plans.registry import d, query, r
 from pulseframe.plans.views import labelled_view, points_view, scene_view, table
+from pulseframe.session import shared_folder
 from pulseframe.sources import points as src, sinks
 
 GAPS = "CASE WHEN point_id % 97 = 0 THEN {nan} WHEN point_id % 89 = 0 THEN {inf} ELSE z END"
@@ -48,9 +50,11 @@ def _(spark, sf):
 t AS (SELECT least(floor((x-x0)/5), greatest(1, ceil((x1-x0)/5))-1)::INT AS tile_col, least(floor((y-y0)/5), greatest(1, ceil((y1-y0)/5))-1)::INT AS tile_row FROM pts, b)
 SELECT tile_col, tile_row, count(*) AS n FROM t GROUP BY ALL""", "pts")
 def _(spark, sf):
-    # What a tiled write stores, counted per tile folder.
+    # Written, read back and counted per tile folder.
     p = points_view(spark, sf)
-    return ti.assign_tile(p, ti.TileGrid.over(p, 5.0)).groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("n"))
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    sinks.write_tiles(ti.assign_tile(p, ti.TileGrid.over(p, 5.0)), path)
+    return spark.read.parquet(path).groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("export_classified", """SELECT classification, count(*) AS n, sum(point_id)::BIGINT AS ids FROM
@@ -219,10 +223,15 @@ def _(spark, sf):
 
 
 def duck_mix(columns, seed=0):
-    out = f"{seed % 1000003}::BIGINT"
-    for c in columns:
-        out = f"(({out}) * 7919 + ({c} % 1000003) * 104729 + 12345) % 1000003"
-    return f"((({out}) * 7919 + 104729) % 1000003)"
+    lanes = []
+    for lane, p in enumerate(se.MIX_PRIMES):
+        h = f"{(seed * 7919 + 12345 + lane) % p}::BIGINT"
+        for c in columns:
+            h = f"(({h} + {c}::BIGINT % {p} + 1000003) % {p})"
+            h = f"(({h} * (({h} + {48271 + lane}) % {p})) % {p})"
+        h = f"(({h} + 69621) % {p})"
+        lanes.append(f"(({h} * (({h} + 16807) % {p})) % {p})")
+    return f"({lanes[0]} * {se.MIX_PRIMES[1]} + {lanes[1]})"
 
 
 @query("sample_random", f"SELECT point_id FROM (SELECT point_id, row_number() OVER (ORDER BY {duck_mix(['point_id'], 5)}, point_id) AS rn FROM pts) WHERE rn <= 2500", "pts")
@@ -230,7 +239,7 @@ def _(spark, sf):
     return se.sample_random(points_view(spark, sf), 2500, seed=5).select("point_id")
 
 
-@query("sample_grid", f"SELECT arg_min(point_id, {duck_mix(['point_id'])}*10000000000 + point_id) AS point_id FROM pts GROUP BY floor(x/2), floor(y/2), floor(z/2)", "pts")
+@query("sample_grid", f"SELECT first(point_id ORDER BY {duck_mix(['point_id'])}, point_id) AS point_id FROM pts GROUP BY floor(x/2), floor(y/2), floor(z/2)", "pts")
 def _(spark, sf):
     return se.sample_grid(points_view(spark, sf), 2.0).select("point_id")
 
@@ -314,20 +323,11 @@ FSTAT = " UNION ALL ".join("SELECT '%s' AS field, count(%s) AS valid_count, coun
 
 @query("feature_statistics", f"SELECT *, false AS approximate FROM ({FSTAT})", "lab")
 def _(spark, sf):
-    s = pr.feature_statistics(labelled_view(spark, sf), FIELDS, 50_000_000)
+    s = pr.feature_statistics(labelled_view(spark, sf), FIELDS)
     return s.select("field", "valid_count", "invalid_count", "approximate",
                     *[r(c).alias(c) for c in ("minimum", "maximum", "mean", "variance", "standard_deviation", *Q5)])
 
 
-@query("feature_statistics_sampled", f"""WITH v AS (SELECT hag, row_number() OVER (ORDER BY point_id) - 1 AS i, count(*) OVER () AS n FROM lab WHERE hag IS NOT NULL),
-t AS (SELECT DISTINCT (k*((SELECT max(n) FROM v)-1))//1999 AS i FROM unnest(range(2000)) u(k)),
-s AS (SELECT hag FROM v JOIN t USING (i))
-SELECT 'hag' AS field, {', '.join(f"{d(f'quantile_cont(hag, {p})')} AS {n}" for n, p in Q5.items())}, true AS approximate FROM s""", "lab")
-def _(spark, sf):
-    s = pr.feature_statistics(labelled_view(spark, sf), ["hag"], 2000)
-    return s.select("field", *[r(c).alias(c) for c in Q5], "approximate")
-
-
 @query("systematic_sample", """WITH v AS (SELECT point_id, row_number() OVER (ORDER BY point_id) - 1 AS i, count(*) OVER () AS n FROM pts),
 t AS (SELECT DISTINCT (k*((SELECT max(n) FROM v)-1))//2999 AS i FROM unnest(range(3000)) u(k)) SELECT point_id FROM v JOIN t USING (i)""", "pts")
 def _(spark, sf):

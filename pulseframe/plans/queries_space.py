@@ -248,18 +248,17 @@ def _(spark, sf):
 
 
 @query("spacing_report", f"""WITH c AS (SELECT floor(x/1.5)::BIGINT cx, floor(y/1.5)::BIGINT cy, min(point_id) AS point_id FROM pts GROUP BY ALL),
-o AS (SELECT point_id, row_number() OVER (ORDER BY cx, cy) - 1 AS i, count(*) OVER () AS n FROM c),
-k AS (SELECT DISTINCT (v*((SELECT max(n) FROM o)-1))//99 AS i FROM unnest(range(100)) u(v)),
-s AS (SELECT p.* FROM o JOIN k USING (i) JOIN pts p USING (point_id)),
-near AS (SELECT s.point_id, min(sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y)+(p.z-s.z)*(p.z-s.z))) AS d FROM s JOIN pts p ON p.point_id <> s.point_id
-  AND (p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y)+(p.z-s.z)*(p.z-s.z) > 0 GROUP BY 1),
-dup AS (SELECT count(DISTINCT s.point_id) AS n FROM s JOIN pts p ON p.point_id <> s.point_id AND p.x = s.x AND p.y = s.y AND p.z = s.z),
+s AS (SELECT p.* FROM c JOIN pts p USING (point_id)),
+b AS (SELECT *, floor(x/4)::BIGINT AS bx, floor(y/4)::BIGINT AS bk FROM pts), w AS (SELECT s.*, floor(s.x/4)::BIGINT+dx AS bx, floor(s.y/4)::BIGINT+dy AS bk FROM s, unnest([-1,0,1]) u(dx), unnest([-1,0,1]) v(dy)),
+near AS (SELECT w.point_id, min(sqrt((p.x-w.x)*(p.x-w.x)+(p.y-w.y)*(p.y-w.y)+(p.z-w.z)*(p.z-w.z))) AS d FROM w JOIN b p USING (bx, bk) WHERE p.point_id <> w.point_id
+  AND (p.x-w.x)*(p.x-w.x)+(p.y-w.y)*(p.y-w.y)+(p.z-w.z)*(p.z-w.z) > 0 GROUP BY 1),
+dup AS (SELECT count(DISTINCT s.point_id) AS n FROM s JOIN pts p ON p.x = s.x AND p.y = s.y AND p.z = s.z WHERE p.point_id <> s.point_id),
 m AS (SELECT quantile_cont(d, 0.5) AS md FROM near)
 SELECT count(*) AS sampled, (SELECT n FROM dup) AS duplicate_samples, 0::BIGINT AS unresolved_samples, {d('avg(d)')} AS mean, {d('min(d)')} AS minimum, {d('max(d)')} AS maximum,
  {', '.join(f"{d(f'quantile_cont(d, {p})')} AS {n}" for n, p in (('percentile_10', .1), ('percentile_25', .25), ('median', .5), ('percentile_75', .75), ('percentile_90', .9)))},
  {d('quantile_cont(abs(d-md), 0.5)')} AS median_absolute_deviation, {d(f'{math.log(2) / math.pi!r}/(any_value(md)*any_value(md))')} AS density_2d FROM near, m""", "pts")
 def _(spark, sf):
-    s = pr.spacing(points_view(spark, sf), 100, 1.5)
+    s = pr.spacing(points_view(spark, sf), 1.5)
     whole = ("sampled", "duplicate_samples", "unresolved_samples")
     return s.select(*[F.col(n) if n in whole else r(n).alias(n) for n in s.columns])
 

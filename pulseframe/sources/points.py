@@ -57,10 +57,12 @@ def read_points(spark: SparkSession, path: str, columns: tuple[str, ...] | None
     return df
 
 
-# Numpy type code -> (Spark type, converter).
+# Rows decoded at once, at most.
+RECORD_ROWS = 65_536
+# Numpy type code -> Spark type.
 _RECORD_TYPES = {
-    "<f4": (T.FloatType(), float), "<f8": (T.DoubleType(), float), "<u1": (T.ShortType(), int),
-    "<i2": (T.ShortType(), int), "<i4": (T.IntegerType(), int), "<u8": (T.LongType(), int), "<i8": (T.LongType(), int),
+    "<f4": T.FloatType(), "<f8": T.DoubleType(), "<u1": T.ShortType(), "<i2": T.ShortType(), "<i4": T.IntegerType(),
+    "<u8": T.LongType(), "<i8": T.LongType(),
 }
 
 
@@ -72,7 +74,7 @@ def read_fixed_records(spark: SparkSession, folder: str, layout: dict[str, tuple
     """
     out = None
     for name, (code, width) in layout.items():
-        kind, convert = _RECORD_TYPES[code]
+        kind = _RECORD_TYPES[code]
         dtype = np.dtype(code)
         length = dtype.itemsize * width
         source = f"{folder}/{name}"
@@ -81,16 +83,23 @@ def read_fixed_records(spark: SparkSession, folder: str, layout: dict[str, tuple
             raise ValueError(f"{name}: {size} bytes, expected {rows} records of {length}")
         stem = PurePosixPath(name).stem
 
-        def decode(records, dtype=dtype, width=width, convert=convert):
+        # One record of the file holds many rows, so that numpy decodes them at once; the number of rows is
+        # divided evenly, since every record of a file has the same length.
+        many = next(n for n in range(min(RECORD_ROWS, max(rows, 1)), 0, -1) if rows % n == 0)
+
+        def decode(records, dtype=dtype, width=width, many=many):
             for raw, number in records:
-                values = np.frombuffer(raw, dtype=dtype)
-                yield (number, *[None if dtype.kind == "f" and not np.isfinite(v) else convert(v) for v in values])
+                values = np.frombuffer(raw, dtype=dtype).reshape(many, width)
+                cells = values.astype(object)
+                if dtype.kind == "f":
+                    cells[~np.isfinite(values)] = None
+                yield from zip(range(number * many, number * many + many), *(cells[:, i].tolist() for i in range(width)))
 
         fields = [T.StructField("record", T.LongType(), False)]
         fields += [T.StructField(stem if width == 1 else f"{stem}_{i}", kind) for i in range(width)]
         # Record files are the one place that needs per-partition imperative decoding.
         part = spark.createDataFrame(
-            spark.sparkContext.binaryRecords(source, length).zipWithIndex().mapPartitions(decode), T.StructType(fields))
+            spark.sparkContext.binaryRecords(source, many * length).zipWithIndex().mapPartitions(decode), T.StructType(fields))
         out = part if out is None else out.join(part, "record")
     return out
 

@@ -34,10 +34,11 @@ def test_ground_filter_flat_with_shrub(spark):
             te.pmf_ground(df, *bad)
 
 
-def test_pmf_cell_is_enlarged_to_the_limit():
-    size = te.pmf_cell(0.0, 3.0, 5000.0, 5000.0)
-    assert size > 0.5 and (5000 // size + 1) ** 2 <= te.MAX_PMF_CELLS
-    assert te.pmf_cell(0.0, 3.0, 10.0, 10.0) == 0.5
+def test_ground_raster_keeps_the_requested_cell(spark):
+    far = points(spark, [(0.0, 0.0, 0.0), (5000.0, 5000.0, 0.0)])
+    raster = te.pmf_raster(far, (3.0, 6.0), (0.5, 0.8))
+    assert raster.step == 0.5 and raster.cells > 8_000_000
+    assert te.pmf_raster(far, (3.0,), (0.5,), 0.25).step == 0.25
 
 
 def test_bilinear_corners_and_gaps(spark):
@@ -204,7 +205,7 @@ def test_ledger_durable_undo_redo(spark, tmp_path):
     assert book.redo() and book.state().where("trusted_class = 2").count() == 2
     book.undo()
     book.append(le.manual_edits(book.state(), ids, 6, book.next_version()), "manual", code=6)
-    assert not book.redo() and book.history().count() == 2
+    assert not book.redo() and [r.operation for r in book.history().collect()] == ["manual", "undo", "redo", "undo", "manual"]
     with pytest.raises(le.StaleResult):
         le.check_revision(1, 2)
     with pytest.raises(ValueError):
@@ -213,6 +214,56 @@ def test_ledger_durable_undo_redo(spark, tmp_path):
         le.auto_edits(base, ids.withColumn("proposal", F.lit(2)), 9).collect()
 
 
+def test_ground_revision_is_read_from_the_log(spark, tmp_path):
+    base = le.init_labels(points(spark, [(float(i), 0.0, 0.0) for i in range(6)]).withColumns({"classification": F.lit(1), "preview": F.lit(1.0)}))
+    book = le.Ledger(base, str(tmp_path / "book"))
+    assert book.ground_revision == 0
+    book.append(le.ground_edits(book.state(), "preview", book.next_version(), selection=base.where("point_id < 3")), "ground")
+    assert book.ground_revision == 1 and book.state().where("is_ground").count() == 3
+    book.undo()
+    assert book.ground_revision == 2
+    again = le.Ledger(base, str(tmp_path / "book"))
+    assert again.ground_revision == 2 and again.redo() and again.ground_revision == 3
+    assert [r.operation for r in again.history().collect()] == ["ground", "undo", "redo"]
+    with pytest.raises(le.StaleResult):
+        le.check_revision(1, again.ground_revision)
+
+
+def test_kriging_solves_at_any_sill_and_support(spark):
+    rng = np.random.default_rng(1)
+    grid = [(c, r, float(rng.normal(0, 0.05))) for c in range(15) for r in range(15) if (c, r) != (7, 7)]
+    raster = te.Raster(0.0, 0.0, 1.0, 15, 15, True)
+    df = spark.createDataFrame(grid, "col int, row int, height double")
+    for sill in (1e-4, 1.0, 1e2):
+        for k in (16, 64):
+            v = te.Variogram("spherical", 0.0, sill, 5.0)
+            options = te.FillOptions(radius=6.0, maximum_range=9.0, maximum_deviation=9.0, minimum_support=4, maximum_support=k, surrounding=False)
+            cell = te.fill_voids(df, raster, "kriging", options, v).where("col = 7 AND row = 7").first()
+            assert cell.outcome == "filled", (sill, k)
+            near = sorted(((c - 7) ** 2 + (r - 7) ** 2, r, c, z) for c, r, z in grid)
+            top = [n for n in near if n[0] <= near[k - 1][0]]
+            if len(top) == k:  # no tie at the edge: the support is the same
+                xy, z = np.array([(n[2], n[1]) for n in top], float), np.array([n[3] for n in top])
+                a = np.ones((k + 1, k + 1))
+                a[:k, :k] = v.gamma(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)))
+                a[k, k] = 0
+                b = np.append(v.gamma(np.sqrt(((xy - 7.0) ** 2).sum(-1))), 1.0)
+                assert cell.height == pytest.approx(float(np.linalg.solve(a, b)[:k] @ z), abs=1e-6)
+    with pytest.raises(ValueError):
+        te.fill_voids(df, raster, "kriging", te.FillOptions(radius=6.0, maximum_support=128), te.Variogram("spherical", 0.0, 1.0, 5.0))
+
+
+def test_seeds_give_other_orders(spark):
+    from pulseframe.operators.selection import MIX_DOMAIN, mix
+    df = spark.range(5000)
+    orders = {s: [r.id for r in df.orderBy(mix("id", seed=s), "id").collect()] for s in (0, 1)}
+    place = {i: n for n, i in enumerate(orders[1])}
+    shifts = {(place[i] - n) % 5000 for n, i in enumerate(orders[0])}
+    assert len(shifts) > 2500
+    values = [r[0] for r in df.select(mix("id", seed=1)).collect()]
+    assert all(0 <= v < MIX_DOMAIN for v in values) and len({b - a for a, b in zip(values, values[1:])}) > 4900
+
+
 def test_tiles_resume_and_refuse_other_configuration(spark, tmp_path):
     df = spark.range(1000).select(F.col("id").alias("point_id"), (F.col("id") % 4).cast("int").alias("tile_col"), F.lit(0).alias("tile_row"))
     path, seen = str(tmp_path / "job"), []
@@ -226,10 +277,23 @@ def test_tiles_resume_and_refuse_other_configuration(spark, tmp_path):
     assert stt.process_tiles(df, compute, path, {"a": 1}) == 2 and seen == [2, 2]
     assert stt.process_tiles(df, compute, path, {"a": 1}) == 0
     assert spark.read.parquet(f"{path}/tiles").count() == 1000 and stt.verify_tiles(spark, path).count() == 0
+    # Late rows make their tile pending again; it is computed from all its rows.
+    late = df.unionByName(spark.range(1000, 1010).select(F.col("id").alias("point_id"), F.lit(1).alias("tile_col"), F.lit(0).alias("tile_row")))
+    assert stt.process_tiles(late, compute, path, {"a": 1}) == 1
+    assert spark.read.parquet(f"{path}/tiles").count() == 1010 and stt.verify_tiles(spark, path).count() == 0
+    assert {r.tile_col: r.points for r in stt.read_ledger(spark, path).collect()} == {0: 250, 1: 260, 2: 250, 3: 250}
     with pytest.raises(ValueError):
         stt.process_tiles(df, compute, path, {"a": 2})
 
 
+def test_ledger_of_tiles_feeds_the_remaining_time(spark, tmp_path):
+    df = spark.range(40_000).select(F.col("id").alias("point_id"), (F.col("id") % 2).cast("int").alias("tile_col"), F.lit(0).alias("tile_row"),
+                                    (F.col("id") % 100).cast("double").alias("x"), (F.col("id") % 50).cast("double").alias("y"))
+    stt.process_tiles(df, lambda d: d, str(tmp_path / "job"), {})
+    row = stt.eta(stt.read_ledger(spark, str(tmp_path / "job")), 1e9).first()
+    assert row.samples == 2 and row.seconds_per_work > 0 and row.remaining_low < row.remaining < row.remaining_high
+
+
 def test_streams(spark, tmp_path):
     events = tmp_path / "events"
     events.mkdir()
@@ -245,6 +309,11 @@ def test_streams(spark, tmp_path):
     job()
     job()
     assert spark.read.parquet(str(tmp_path / "out/tiles")).count() == 300 and stt.read_ledger(spark, str(tmp_path / "out")).count() == 3
+    # A second arrival for two of the tiles.
+    df.where("tile_col < 2").withColumn("point_id", F.col("point_id") + 1000).repartition(1).write.mode("append").parquet(source)
+    job()
+    assert spark.read.parquet(str(tmp_path / "out/tiles")).count() == 500 and stt.verify_tiles(spark, str(tmp_path / "out")).count() == 0
+    assert sorted(r.points for r in stt.read_ledger(spark, str(tmp_path / "out")).collect()) == [100, 200, 200]
 
 
 def test_fixed_records_and_sinks(spark, tmp_path):
