@@ -19,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -114,30 +115,71 @@ class LibraryCoder:
     """Whole texts encoded by the tokenizers library, which sees each distinct word of a worker once.
 
     With byte-level pre-tokenization no token crosses a single space between two words, so a
-    text's ids are those of its words, each with the space before it.  Texts with other white
-    space around a space go through the library whole.
+    text's ids are those of its words, each with the space before it.  New words are encoded
+    many at a time as one text; a token that holds the space begins a word.  Texts with other
+    white space around a space go through the library whole.
     """
 
+    SPACE = "Ġ"  # the vocabulary's letter for the space
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = Memo(lambda words: self.code([" " + w for w in words], words), limit=500_000)
-        self.first = Memo(lambda words: self.code(words, words), limit=100_000)
-
-    def code(self, texts: list[str], words: list[str]) -> list[bytes | None]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [None if not w or w[0].isspace() or w[-1].isspace() else np.array(e.ids, "<u4").tobytes() for e, w in zip(found, words)]
+        self.begins = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.begins[i] = token.startswith(self.SPACE)
+        self.words = Memo(self.code_words, limit=200_000)
+        self.first = Memo(lambda words: [None if odd(w) else ids for w, ids in zip(words, self.code(words))], limit=50_000)
+
+    def code(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def code_words(self, words: list[str]) -> list[bytes | None]:
+        """Ids of each word after a space; None for words that white space begins or ends."""
+        plain = [w for w in words if not odd(w)]
+        runs = [plain[i:i + 256] for i in range(0, len(plain), 256)]
+        found = {}
+        for run, ids in zip(runs, self.code([" " + " ".join(run) for run in runs])):
+            cuts = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])).tolist()
+            if len(cuts) != len(run):
+                raise ValueError("the vocabulary does not begin words with a space")
+            found.update(zip(run, (ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)]))))
+        return [found.get(w) for w in words]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        words = iter(self.words.values([w for s in split for w in s[1:]]))
+        firsts = self.first.values([s[0] for s in split])
+        out = []
+        for text, first, s in zip(texts, firsts, split):
+            ids = [first, *islice(words, len(s) - 1)]
+            if not text:
+                out.append(b"")
+            else:
+                out.append(self.code([text])[0] if None in ids else b"".join(ids))
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *words = text.split(" ")
-        ids = self.first.values([first]) + self.words.values(words)
-        if None in ids:
-            return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        return b"".join(ids)
+        return self.encode_all([text])[0]
+
+
+def odd(word: str) -> bool:
+    return not word or word[0].isspace() or word[-1].isspace()
+
+
+def some_texts(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` letters."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 @lru_cache(maxsize=4)
@@ -186,8 +228,10 @@ def write_ids(docs: DataFrame, path: str, model: str, *, end_id: int = 0, key: s
 
         def coded():
             for batch in batches:
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    yield k, coder.encode(t) + end
+                keys = iter(batch.column(0).to_pylist())
+                for run in some_texts(batch.column(1).to_pylist()):
+                    for ids in coder.encode_all(run):
+                        yield next(keys), ids + end
 
         documents = coded()
         one = next(documents, None)
