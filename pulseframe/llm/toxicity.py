@@ -8,7 +8,7 @@ Learning, from a bounded sample of labelled rows (``train_rows``, taken in hash
    A token's observation is the kind and strength of its best lexicon entry.
 3. The field's weights (states x observations, transitions, start) are fitted by gradient
    ascent with forward-backward on at most ``chain_rows`` of those rows.
-4. A logistic calibration maps the marginals of a document to a probability.
+4. A logistic calibration maps the evidence in a document's marginals to a probability.
 
 Scoring reads every whole text.  Runs of ordinary tokens are not walked: their messages settle
 after ``SETTLE`` steps, so a run's middle stands for the rest with its count as weight.
@@ -106,7 +106,10 @@ class ToxicModel:
         return [1 - 1 / (1 + f * g) for f, g in zip(forward, backward)], forward, backward
 
     def summary(self, kinds: list[int]) -> tuple[float, float, list[tuple[int, float]]]:
-        """Expected toxic tokens, log chance that some token is toxic, and the tokens that more likely are."""
+        """Expected toxic tokens, evidence that some token is toxic, and the tokens that more likely are.
+
+        The evidence is ``log(1 + e)``, e being the negative logarithm of the chance that no token is toxic.
+        """
         expected, none, spans = 0.0, 0.0, []
         for at, n, p in self.marginals(kinds):
             if kinds[at]:  # ordinary tokens tell about length, not about insults
@@ -114,13 +117,13 @@ class ToxicModel:
                 none += n * math.log1p(-min(p, 1 - 1e-12))
             if p > 0.5:
                 spans.append((at, p))
-        return math.log1p(expected), -max(none, -30.0), spans
+        return expected, math.log1p(-none), spans
 
     def score(self, summary: tuple) -> float:
         if self.calibration is None:
             return 0.0
-        w0, w1, w2 = self.calibration
-        z = w0 + w1 * summary[0] + w2 * summary[1]
+        w0, w1 = self.calibration
+        z = w0 + w1 * summary[1]
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
@@ -142,7 +145,7 @@ def compress(kinds: list[int]) -> list[tuple[int, int, int]]:
     return steps
 
 
-def fit_chain(model: ToxicModel, rows: list[tuple[list[int], bool]], *, rounds: int = 40, prior: float = 0.5) -> None:
+def fit_chain(model: ToxicModel, rows: list[tuple[list[int], bool]], *, rounds: int = 25, prior: float = 0.5) -> None:
     """Gradient ascent on the tags' conditional likelihood: tags are toxic where a toxic row's token matched.
 
     Observed counts less expected counts, each step divided by the counts' size; ``prior`` pulls weights to zero.
@@ -186,14 +189,14 @@ def fit_chain(model: ToxicModel, rows: list[tuple[list[int], bool]], *, rounds:
         model.start = float(np.clip(model.start + speed_start, -12, 12))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, prior: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Weights of a logistic regression with intercept first, by Newton steps with a ridge."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: float = 1e-2, rounds: int = 60) -> np.ndarray:
+    """Weights of a logistic regression on rows counted ``n`` times, intercept first, by Newton steps with a ridge."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     ridge = prior * np.eye(len(w))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (n * (y - p)) - ridge @ w)
         w = w + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
@@ -264,10 +267,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     part = [(list(r.o), r.toxic == 1) for r in seen.orderBy(F.xxhash64("k"), "k").limit(chain_rows).collect()]
     fit_chain(model, part)
     # Calibrate on all training rows; each becomes two numbers.
-    pairs = by_batch(seen.select("o", "toxic"), lambda c: dict(zip(("a", "b", "y"), zip(*[(*model.summary(list(o))[:2], y) for o, y in zip(c["o"], c["toxic"])]))),
-                     "a double, b double, y int").groupBy(F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "y").count().toPandas()
-    repeat = np.repeat(np.arange(len(pairs)), pairs["count"])
-    model.calibration = tuple(fit_logistic(pairs[["a", "b"]].to_numpy()[repeat], pairs["y"].to_numpy()[repeat]).tolist())
+    pairs = by_batch(seen.select("o", "toxic"), lambda c: {"e": [model.summary(list(o))[1] for o in c["o"]], "y": c["toxic"]},
+                     "e double, y int").groupBy(F.round("e", 3).alias("e"), "y").count().toPandas()
+    w0, w1 = fit_logistic(pairs[["e"]].to_numpy(float), pairs["y"].to_numpy(float), pairs["count"].to_numpy(float))
+    # More evidence never lowers a score.
+    model.calibration = (float(w0), max(0.0, float(w1)))
     return model
 
 
