@@ -116,7 +116,7 @@ def _curvature_kernel(radius: float):
 def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sources: dict[str, tuple[str, ...]] | None = None,
                      core: Column | None = None, support: DataFrame | None = None, carry: tuple[str, ...] = (),
                      dims: int | None = None, plan: nb.NeighbourPlan | None = None,
-                     max_candidates: int | None = nb.MAX_CANDIDATES,
+                     max_candidates: int | None = None,
                      max_block_rows: int = nb.MAX_BLOCK_ROWS) -> DataFrame:
     """Features of every (core) point: one row per query, column ``<descriptor>_r<radius>``.
 
@@ -179,12 +179,8 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
     in_agg = ["q_z"] + [f"q_{n}" for n in carried if f"q_{n}" not in in_key]
     keys = [*plan.unit, "q_id", *in_key]
     ring_key = ["ring"] if len(radii) > 1 else []
-    grouped = pairs.groupBy(*keys, *ring_key).agg(*sums, *[F.max(c).alias(c) for c in in_agg])
-    if lists:
-        # Lists are kept apart from the sums, which then stay in generated code.  Both
-        # sides have the partitioning of the pairs: the join moves nothing.
-        listed = pairs.groupBy(*keys, *ring_key).agg(*lists)
-        grouped = grouped.join(listed.hint("shuffle_hash"), [*keys, *ring_key])
+    # Lists and sums in one aggregate: the pairs are searched once.
+    grouped = pairs.groupBy(*keys, *ring_key).agg(*sums, *lists, *[F.max(c).alias(c) for c in in_agg])
 
     aggregates = {"first": moments, "zrange": need_zrange, "zlist": need_zlist}
     out = _merge_rings(grouped, keys, in_agg, len(radii), aggregates, sources)
