@@ -16,18 +16,21 @@ row scores 1 and is kept.
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulseframe.llm.common import by_batch, prepare, stored, text_or_empty
 
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT, THRESHOLD = 3, 0.97, 0.3, 0.5
 FOLDS = 5  # one fold calibrates
+STEPS = 8  # Newton steps of a fit
+TREE = 64  # partial sums added in one task
 SOURCES, LANGUAGES = 16, 8  # hash slots
 # Characters whose shares are features of their own.
 SIGNS = b"|!?*$&%#@<>{}[]()/\\=_+~^.,;:'\"-"
@@ -80,9 +83,12 @@ class QualityModel:
         """Probability of good quality by text, by metadata, and by both."""
         if self.both is None:
             return (np.ones(len(text)),) * 3
-        a, b = text @ self.text[1:] + self.text[0], meta @ self.meta[1:] + self.meta[0]
-        a, b = np.clip(a, -15, 15), np.clip(b, -15, 15)
-        return sigmoid(a), sigmoid(b), sigmoid(self.both[0] + self.both[1] * a + self.both[2] * b)
+        odds = self.log_odds(text, meta)
+        return sigmoid(odds[:, 0]), sigmoid(odds[:, 1]), sigmoid(self.both[0] + odds @ self.both[1:])
+
+    def log_odds(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        """Log-odds of both views, side by side."""
+        return np.clip(np.column_stack([text @ self.text[1:] + self.text[0], meta @ self.meta[1:] + self.meta[0]]), -15, 15)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -109,17 +115,87 @@ def inputs(docs: DataFrame) -> list[Column]:
     return [word("lang").alias("lang"), word("source").alias("source"), number.cast("long").alias("n")]
 
 
-def learn(rows: DataFrame, features: str) -> np.ndarray:
-    """Intercept and weights of a logistic regression on ``y`` weighted by ``w``."""
-    fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1e-4, maxIter=25, tol=1e-5).fit(
-        rows.select(array_to_vector(features).alias("x"), F.col("y").cast("double").alias("y"), "w"))
-    return np.concatenate([[fitted.intercept], fitted.coefficients.toArray()])
-
-
-def odds(features: str, weights: np.ndarray) -> Column:
-    """The log-odds of a linear model as an expression."""
-    terms = F.zip_with(F.col(features), F.lit(weights[1:].tolist()), lambda a, b: a * b)
-    return F.aggregate(terms, F.lit(float(weights[0])), lambda s, x: s + x)
+def totals(rows: DataFrame, terms: Callable[[dict[str, list]], list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums over all rows of the arrays that ``terms`` makes of a batch, added up in tasks and then in a tree."""
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                made = terms({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+                total = made if total is None else [x + y for x, y in zip(total, made)]
+        if total is not None:
+            yield packed(total)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                made = pickle.loads(row)
+                total = made if total is None else [x + y for x, y in zip(total, made)]
+        if total is not None:
+            yield packed(total)
+
+    def packed(arrays: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(arrays)], pa.binary())], names=["sums"])
+
+    sums, parts = rows.mapInArrow(part, "sums binary"), rows.rdd.getNumPartitions()
+    while parts > TREE:
+        parts = -(-parts // TREE)
+        sums = sums.repartition(parts).mapInArrow(join, "sums binary")
+    found = [pickle.loads(r.sums) for r in sums.collect()]
+    return [sum(x[1:], x[0]) for x in zip(*found)]
+
+
+def logistic_terms(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """Negative Hessian, gradient and total weight of a logistic likelihood, intercept first."""
+    x = np.column_stack([np.ones(len(x)), x])
+    p = sigmoid(x @ weights)
+    return [x.T @ (x * (w * p * (1 - p))[:, None]), x.T @ (w * (y - p)), np.array([w.sum()])]
+
+
+def stepped(weights: np.ndarray, hessian: np.ndarray, gradient: np.ndarray, size: np.ndarray, prior: float = 1e-4) -> np.ndarray:
+    """One Newton step under a ridge in proportion to the rows' weight; the intercept is hardly held."""
+    ridge = np.full(len(weights), prior * max(float(size[0]), 1.0))
+    ridge[0] *= 1e-3
+    step = np.linalg.solve(hessian + np.diag(ridge + 1e-9), gradient - ridge * weights)
+    return weights + step * min(1.0, 8.0 / max(np.abs(step).max(), 1e-9))
+
+
+def learn_views(rows: DataFrame, model: QualityModel, teachers: QualityModel | None, confident: float, pseudo_weight: float) -> None:
+    """Fit both views; with ``teachers`` each view's confident unlabelled rows are labelled rows of the other."""
+    sure = float(np.log(confident / (1 - confident)))
+    for _ in range(STEPS):
+        now = (model.text, model.meta)
+
+        def terms(c):
+            views = [np.array(c["by_text"]), np.array(c["by_meta"])]
+            known = np.array([y is not None for y in c["y"]])
+            given = np.array([y or 0 for y in c["y"]], float)
+            out = []
+            for i, other in ((0, 1), (1, 0)):
+                y, w = given.copy(), known.astype(float)
+                if teachers is not None:
+                    guide = (teachers.text, teachers.meta)[other]
+                    z = views[other] @ guide[1:] + guide[0]
+                    take = ~known & (np.abs(z) > sure)
+                    y[take], w[take] = z[take] > 0, pseudo_weight
+                use = w > 0
+                out += logistic_terms(views[i][use], y[use], w[use], now[i])
+            return out
+
+        t = totals(rows, terms)
+        model.text, model.meta = stepped(model.text, *t[:3]), stepped(model.meta, *t[3:])
+
+
+def calibrate(rows: DataFrame, model: QualityModel) -> None:
+    """Weights of the two views' log-odds, on rows that taught neither."""
+    both = np.array([0.0, 0.5, 0.5])
+    for _ in range(STEPS):
+        def terms(c, both=both):
+            return logistic_terms(model.log_odds(np.array(c["by_text"]), np.array(c["by_meta"])), np.array(c["y"], float), np.ones(len(c["y"])), both)
+
+        both = stepped(both, *totals(rows, terms))
+    model.both = both
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, confident: float = CONFIDENT,
@@ -133,23 +209,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     model = QualityModel()
     if not {(0, False), (1, False)} <= kinds:
         return model
-    training = rows.where("NOT (calibrates AND y IS NOT NULL)").select("by_text", "by_meta", "y")
-    labelled = training.where("y IS NOT NULL").withColumn("w", F.lit(1.0))
-    model.text, model.meta = learn(labelled, "by_text"), learn(labelled, "by_meta")
-    sure = float(np.log(confident / (1 - confident)))
+    model.text, model.meta = np.zeros(len(text_view("x")) + 1), np.zeros(len(metadata_view("x", "", "", 1)) + 1)
+    training = rows.where("NOT (calibrates AND y IS NOT NULL)")
+    learn_views(training.where("y IS NOT NULL"), model, None, confident, pseudo_weight)
     for _ in range(rounds):
-        taught = {}
-        for student, teacher, weights in (("by_text", "by_meta", model.meta), ("by_meta", "by_text", model.text)):
-            z = odds(teacher, weights)
-            pseudo = (training.where("y IS NULL").select(student, z.alias("z")).where(F.abs("z") > sure)
-                      .select(student, (F.col("z") > 0).cast("int").alias("y"), F.lit(float(pseudo_weight)).alias("w")))
-            taught[student] = learn(labelled.select(student, "y", "w").unionByName(pseudo), student)
-        model.text, model.meta = taught["by_text"], taught["by_meta"]
+        learn_views(training, model, QualityModel(model.text, model.meta), confident, pseudo_weight)
     # Without both kinds in the calibration fold, calibrate on the training rows.
-    part = rows.where("calibrates AND y IS NOT NULL") if {(0, True), (1, True)} <= kinds else labelled
-    clip = lambda c: F.least(F.greatest(c, F.lit(-15.0)), F.lit(15.0))
-    both = part.select(F.array(clip(odds("by_text", model.text)), clip(odds("by_meta", model.meta))).alias("by_both"), "y", F.lit(1.0).alias("w"))
-    model.both = learn(both, "by_both")
+    labelled = rows.where("y IS NOT NULL")
+    calibrate(labelled.where("calibrates") if {(0, True), (1, True)} <= kinds else labelled, model)
     return model
 
 
