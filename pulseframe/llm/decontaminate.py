@@ -1,20 +1,21 @@
 """Benchmark decontamination on templates, with DataFrame functions only.
 
-A text becomes tokens: names (runs of capitalised words inside a sentence), numbers, and words.
-Numbers, names and units (a unit word or sign after a number) become typed placeholders, other words
-are lower-cased.  Windows of ``window`` tokens of every benchmark item are joined with the
-documents' windows by hash.  A benchmark window's longest word is its anchor: a document's window
-is built only where an anchor stands at its place, which loses no match, since an equal window
-has the same word there.
+A text becomes tokens: names (runs of capitalised words inside a sentence), numbers, words and
+signs of units.  Numbers, names and units (a unit word or sign after a number) become typed
+placeholders, other words are lower-cased.  Every window of ``window`` template tokens of every
+document is hashed and joined with the hashed windows of the benchmark items; equal hashes are
+confirmed token by token.
 
 Slots are then compared: within one alignment of document and item each benchmark value must
 stand for one document value and the other way round, so that a question asked again with
-other numbers or names is caught, and a chance match of placeholders is not.  The share of the
-item's tokens covered by consistent windows decides.
+other numbers or names is caught, and a chance match of placeholders is not.  Only documents that
+matched a window with slots are looked at again for their values.  The share of the item's
+tokens covered by consistent windows decides.
 
 Null and empty texts match nothing, nor do rows with a null id.  Repeated documents and items
-are matched one by one, by id.  Items shorter than a window form one window of all their tokens; items with
-fewer than ``literals`` plain words in every window can't be recognised and match nothing.
+are matched one by one, by id.  An item shorter than a window is one window of all its tokens; an item
+without a window of at least ``literals`` plain words (all its tokens, if it has fewer) can't be
+recognised and matches nothing.
 """
 
 from __future__ import annotations
@@ -24,75 +25,105 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pulseframe.llm.common import prepare, stored, text_or_empty
 
 WINDOW, LITERALS, COVERAGE = 5, 3, 0.6
-MARK = "\u0001"
-# A capitalised word, or a run of them, that a comma, a letter or a digit precedes in the same sentence.
-NAME_START = r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})"
-TOKEN = (rf"{MARK}\p{{Lu}}[\p{{L}}\p{{M}}]*(?: {MARK}?\p{{Lu}}[\p{{L}}\p{{M}}]*)*|\p{{N}}+(?:[.,:/]\p{{N}}+)*|[\p{{L}}\p{{M}}]+|[%°$€£]")
+NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"  # placeholders; also the mark before a name
+# A capitalised word that a letter, a digit, a comma or a semicolon precedes in the same sentence.
+NAME_START = r" (?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})"
+NAME_RUN = rf"{NAME}\p{{Lu}}[\p{{L}}\p{{M}}]*(?: {NAME}?\p{{Lu}}[\p{{L}}\p{{M}}]*)*"
+NUMERAL = r"\p{N}+(?:[.,:/]\p{N}+)*"
+WORD = r"[\p{L}\p{M}]+|[%°$€£]"
 # Unit words and signs.
 UNITS = ("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres "
          "gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
          "percent dollar dollars cent cents euro euros pound pounds degree degrees hz khz mhz ghz w kw v a n j kj mj pa kpa "
          "mph kmh b kb mb gb tb % ° $ € £").split()
-NAME, NUMBER, UNIT = "<name>", "<number>", "<unit>"
 # Benchmarks up to this many windows are sent to every executor; larger ones are joined by shuffle.
 SMALL_BENCHMARK = 500_000
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(text, NAME_START, MARK), F.lit(TOKEN), F.lit(0))
+def marked(text: Column) -> Column:
+    """The text with a mark before each name; marks of its own are blanked."""
+    return F.regexp_replace(F.translate(text, NAME + NUMBER + UNIT, "   "), NAME_START, f" {NAME}")
 
 
-def is_number(token: Column) -> Column:
-    return token.rlike(r"^\p{N}")
+def raw_tokens(text: Column) -> Column:
+    """Tokens as they stand."""
+    return F.regexp_extract_all(marked(text), F.lit(f"{NAME_RUN}|{NUMERAL}|{WORD}"), F.lit(0))
 
 
-def canonical(token: Column, before: Column) -> Column:
-    """The template form of a token, given the one before it (null at the start)."""
-    word = F.lower(token)
-    return (F.when(F.startswith(token, F.lit(MARK)), F.lit(NAME)).when(is_number(token), F.lit(NUMBER))
-            .when(F.coalesce(is_number(before), F.lit(False)) & word.isin(UNITS), F.lit(UNIT)).otherwise(word))
+def template_tokens(text: Column) -> Column:
+    """As many tokens as :func:`raw_tokens`, with placeholders for names and numbers; units come later."""
+    t = F.regexp_replace(F.regexp_replace(marked(text), NAME_RUN, NAME), NUMERAL, NUMBER)
+    return F.regexp_extract_all(F.lower(t), F.lit(f"[{NAME}{NUMBER}]|{WORD}"), F.lit(0))
 
 
-def part(array: Column, start: Column, length: Column) -> Column:
-    """Tokens from ``start`` (from 1), as structs of raw and template form."""
-    return F.transform(F.sequence(start, start + length - 1), lambda i: F.struct(
-        F.get(array, i - 1).alias("raw"),
-        canonical(F.get(array, i - 1), F.when(i > 1, F.get(array, i - 2))).alias("form")))
+def windows(df: DataFrame, keep: list[str], size: int) -> DataFrame:
+    """``*keep, p, w1..wN``: from each token (at ``p``, from 0) on the next ``size`` template tokens, null past the end.
+
+    The token array is laid beside its own shifted copies, so a row holds a window and never the
+    text.  The outer form keeps the optimizer from testing the array's size in the scan, which would
+    cut the text a second time.
+    """
+    shifted = [F.concat(F.array(F.lit(None).cast("string")), "t"), *[F.slice("t", i + 1, F.greatest(F.size("t") - i, F.lit(0))) for i in range(size)]]
+    laid = df.select(*keep, F.size("t").alias("n_tokens"), F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)]).alias("z"))
+    rows = laid.select(*keep, "n_tokens", F.posexplode_outer("z").alias("p", "w")).where("p < n_tokens").select(
+        *keep, "n_tokens", "p", *[F.col("w").getField(f"w{i}").alias(f"r{i}") for i in range(size + 1)])
+    unit = lambda i: F.when((F.col(f"r{i - 1}") == NUMBER) & F.col(f"r{i}").isin(UNITS), F.lit(UNIT)).otherwise(F.col(f"r{i}"))
+    return rows.select(*keep, "n_tokens", "p", *[unit(i).alias(f"w{i}") for i in range(1, size + 1)])
+
+
+def window_hash(width: int) -> Column:
+    """Hash of the first ``width`` tokens; null where the text ends before."""
+    return F.when(F.col(f"w{width}").isNotNull(), F.xxhash64(F.lit(width), *[F.col(f"w{i}") for i in range(1, width + 1)]))
+
+
+def is_slot(form: Column) -> Column:
+    return form.isin(NAME, NUMBER, UNIT)
 
 
 def benchmark_windows(items: DataFrame, window: int, literals: int) -> DataFrame:
-    """``item_id, n_tokens, at, hash, raw, anchor, place``: the windows of every item."""
-    t = items.where("item_id IS NOT NULL").select("item_id", tokens(text_or_empty()).alias("t")).withColumn("n_tokens", F.size("t")).where("n_tokens > 0")
-    width = F.least(F.lit(window), F.col("n_tokens"))
-    w = (t.withColumn("width", width).withColumn("at", F.explode(F.sequence(F.lit(1), F.col("n_tokens") - width + 1)))
-         .withColumn("w", part(F.col("t"), F.col("at"), F.col("width"))))
-    plain = F.filter("w", lambda x: ~x["form"].isin(NAME, NUMBER, UNIT))
-    longest = F.array_max(F.transform(plain, lambda x: F.struct(F.length(x["form"]).alias("size"), x["form"].alias("form"))))
-    return (w.where(F.size(plain) >= F.least(F.lit(literals), F.col("n_tokens"))).where(F.size(plain) > 0)
-            .withColumn("anchor", longest["form"])
-            .select("item_id", "n_tokens", "at", "width", F.xxhash64(F.col("w.form")).alias("hash"), F.col("w.form").alias("form"),
-                    F.col("w.raw").alias("raw"), "anchor", F.array_position(F.col("w.form"), F.col("anchor")).cast("int").alias("place")))
-
-
-def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, literals: int = LITERALS, key: str = "doc_id") -> DataFrame:
-    """``key, item_id, n_tokens, start, at, raw, found``: document windows equal to benchmark windows in template form."""
-    spark = docs.sparkSession
-    known = stored(benchmark_windows(items, window, literals), "benchmark-windows")
+    """``item_id, n_tokens, at, width, hash, form, raw, has_slots``: the windows of every item that can be recognised."""
+    t = (items.where("item_id IS NOT NULL").select("item_id", text_or_empty().alias("text"))
+         .select("item_id", template_tokens(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("whole")))
+    w = windows(t, ["item_id", "whole"], window)
+    wide = w.withColumn("width", F.least(F.lit(window), F.col("n_tokens"))).where(F.col("p") + F.col("width") <= F.col("n_tokens"))
+    form = F.slice(F.array(*[F.col(f"w{i}") for i in range(1, window + 1)]), F.lit(1), F.col("width"))
+    chosen = F.coalesce(*[F.when(F.col("width") == i, window_hash(i)) for i in range(1, window + 1)])
+    out = wide.select("item_id", "n_tokens", F.col("p").alias("at"), "width", chosen.alias("hash"), form.alias("form"),
+                      F.slice("whole", F.col("p") + 1, F.col("width")).alias("raw"))
+    plain = F.size(F.filter("form", lambda f: ~is_slot(f)))
+    return (out.where((plain >= F.least(F.lit(literals), F.col("n_tokens"))) & (plain > 0))
+            .withColumn("has_slots", F.exists("form", is_slot)))
+
+
+def matches(docs: DataFrame, known: DataFrame, *, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
+    """``key, p, item_id, n_tokens, at, width, has_slots, form, raw``: document windows equal to benchmark windows."""
     small = known.count() <= SMALL_BENCHMARK
-    hint = F.broadcast if small else (lambda df: df)
-    anchors = hint(known.select("anchor", "place", "width").distinct())
-    spread = (docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), tokens(text_or_empty()).alias("t"))
-              .select("k", "t", F.posexplode("t").alias("p", "token"))
-              .where(~F.startswith("token", F.lit(MARK))))
-    hits = (spread.join(anchors, F.lower("token") == F.col("anchor"))
-            .withColumn("start", F.col("p") + 2 - F.col("place"))
-            .where("start >= 1 AND start + width - 1 <= size(t)")
-            # The token before the window tells whether its first one is a unit.
-            .select("k", "start", "width", part(F.col("t"), F.col("start"), F.col("width")).alias("w")))
-    built = hits.select("k", "start", F.xxhash64(F.col("w.form")).alias("hash"), F.col("w.form").alias("form"), F.col("w.raw").alias("found"))
-    return (built.join(hint(known.select("item_id", "n_tokens", "at", "width", "hash", "form", "raw")), ["hash", "form"])
-            .select("k", "item_id", "n_tokens", "start", "at", "width", "form", "raw", "found").distinct()
-            .withColumnRenamed("k", key))
+    widths = sorted(r.width for r in known.select("width").distinct().collect())  # at most ``window`` values
+    bench = known.select(*[F.col(c).alias(f"b_{c}") for c in known.columns])
+    t = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), template_tokens(text_or_empty()).alias("t"))
+    w = windows(t, ["k"], window).drop("n_tokens")
+    if widths in ([], [window]):
+        rows = w.withColumn("width", F.lit(window)).withColumn("hash", window_hash(window))
+    else:
+        each = F.array(*[F.struct(F.lit(i).alias("width"), window_hash(i).alias("hash")) for i in widths])
+        rows = w.withColumn("h", F.explode(each)).select("*", "h.width", "h.hash").drop("h")
+    same = (F.col("hash") == F.col("b_hash")) & (F.col("width") == F.col("b_width"))
+    for i in range(1, window + 1):  # the hash only finds candidates
+        same = same & ((F.col("b_width") < i) | (F.col(f"w{i}") == F.get("b_form", F.lit(i - 1))))
+    joined = rows.where("hash IS NOT NULL").join(F.broadcast(bench) if small else bench, same)
+    return joined.select(F.col("k").alias(key), "p", *[F.col(f"b_{c}").alias(c) for c in ("item_id", "n_tokens", "at", "width", "has_slots", "form", "raw")])
+
+
+def slot_values(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``key, item_id, along, form, known, here``: for each slot of the matched windows its value in the item and in the document."""
+    with_slots = found.where("has_slots")
+    text = (docs.join(with_slots.select(key).distinct(), key, "left_semi").select(F.col(key).alias("k"), raw_tokens(text_or_empty()).alias("t"))
+            .select("k", F.posexplode("t").alias("place", "here")))
+    slots = (with_slots.select(F.col(key).alias("k"), "item_id", "p", (F.col("p") - F.col("at")).alias("along"),
+                               F.posexplode(F.arrays_zip("form", F.col("raw").alias("known"))).alias("i", "s"))
+             .select("k", "item_id", "along", (F.col("p") + F.col("i")).alias("place"), F.col("s.form").alias("form"), F.lower("s.known").alias("known"))
+             .where(is_slot(F.col("form"))).distinct())
+    return (slots.join(text, ["k", "place"]).select(F.col("k").alias(key), "item_id", "along", "form", "known", F.lower("here").alias("here")).distinct())
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, literals: int = LITERALS,
@@ -103,26 +134,25 @@ def contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, lit
     where the item was found with other numbers, names or units.
     """
     prepare(docs.sparkSession)
-    found = stored(matches(docs, items, window=window, literals=literals, key=key), "benchmark-matches")
-    along = F.col("start") - F.col("at")
-    slot = F.filter(F.zip_with(F.zip_with("raw", "found", lambda a, b: F.struct(F.lower(a).alias("known"), F.lower(b).alias("here"))), "form",
-                               lambda s, f: F.struct(s["known"].alias("known"), s["here"].alias("here"), f.alias("form"))),
-                    lambda s: s["form"].isin(NAME, NUMBER, UNIT))
-    slots = (found.select(key, "item_id", along.alias("along"), F.explode(slot).alias("s"))
-             .select(key, "item_id", "along", "s.*").distinct())
+    known = stored(benchmark_windows(items, window, literals), "benchmark-windows")
+    found = stored(matches(docs, known, window=window, key=key).distinct(), "benchmark-matches")
     by = [key, "item_id", "along"]
-    clash = (slots.groupBy(*by, "form", "known").agg(F.count("*").alias("n")).where("n > 1").select(*by)
-             .unionByName(slots.groupBy(*by, "form", "here").agg(F.count("*").alias("n")).where("n > 1").select(*by)).distinct())
-    values = slots.groupBy(*by).agg(F.count("*").alias("slots"), F.bool_and(F.col("known") == F.col("here")).alias("same"))
-    kept = found.withColumn("along", along).join(clash, by, "left_anti").join(values, by, "left")
+    kept = found.withColumn("along", F.col("p") - F.col("at"))
+    if known.where("has_slots").isEmpty():
+        kept = kept.withColumns({"slots": F.lit(0).cast("long"), "same": F.lit(True)})
+    else:
+        slots = stored(slot_values(docs, found, key), "benchmark-slots")
+        clash = (slots.groupBy(*by, "form", "known").agg(F.count("*").alias("n")).where("n > 1").select(*by)
+                 .unionByName(slots.groupBy(*by, "form", "here").agg(F.count("*").alias("n")).where("n > 1").select(*by)).distinct())
+        values = slots.groupBy(*by).agg(F.count("*").alias("slots"), F.bool_and(F.col("known") == F.col("here")).alias("same"))
+        kept = (kept.join(clash, by, "left_anti").join(values, by, "left")
+                .withColumns({"slots": F.coalesce("slots", F.lit(0).cast("long")), "same": F.coalesce("same", F.lit(True))}))
     covered = (kept.select(key, "item_id", "n_tokens", "at", "slots", "same", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("token"))
                .groupBy(key, "item_id", "n_tokens", "token")
-               .agg(F.max(F.struct(F.when(F.col("token") == F.col("at"), 1).otherwise(0).alias("window"), F.coalesce("slots", F.lit(0)).alias("slots"),
-                                   F.coalesce("same", F.lit(True)).alias("same"))).alias("best"),
-                    F.bool_and(F.coalesce("same", F.lit(True))).alias("same")))
+               .agg(F.max(F.when(F.col("token") == F.col("at"), 1).otherwise(0)).alias("window"), F.max("slots").alias("slots"), F.bool_and("same").alias("same")))
     return (covered.groupBy(key, "item_id", "n_tokens")
-            .agg((F.count("*") / F.col("n_tokens")).alias("coverage"), F.sum("best.window").alias("n_windows"),
-                 F.max("best.slots").alias("n_slots"), F.bool_and("same").alias("same_values"))
+            .agg((F.count("*") / F.col("n_tokens")).alias("coverage"), F.sum("window").alias("n_windows"), F.max("slots").alias("n_slots"),
+                 F.bool_and("same").alias("same_values"))
             .where(F.col("coverage") >= coverage)
             .select(key, "item_id", F.round("coverage", 6).alias("coverage"), "n_windows", "n_slots", "same_values"))
 

@@ -104,22 +104,22 @@ def test_templates_catch_other_values_and_leave_clean_text(spark):
     found = leaks(spark, docs, [ITEM, None, "", "12 34", "word"])
     assert {k for k in found if k[1] == 0} == {(0, 0), (1, 0), (6, 0), (7, 0)}
     assert found[0, 0].same_values and not found[1, 0].same_values
-    assert found[0, 0].coverage == 1.0
+    assert found[0, 0].coverage > 0.8  # windows with too few plain words do not count
 
 
 def test_leaks_equal_brute_force(spark, tables):
     """Plain-word items: the covered share of tokens by equal five-token windows, counted directly."""
     import regex
     docs, items = tables["documents"].collect(), tables["benchmark"].collect()
-    token = regex.compile(decontaminate.TOKEN)
+    token = regex.compile(f"{decontaminate.NAME_RUN}|{decontaminate.NUMERAL}|{decontaminate.WORD}")
     units = set(decontaminate.UNITS)
 
     def form(text):
-        raw = token.findall(regex.sub(decontaminate.NAME_START, decontaminate.MARK, text or ""))
+        raw = token.findall(regex.sub(decontaminate.NAME_START, " " + decontaminate.NAME, text or ""))
         out = []
         for i, t in enumerate(raw):
             number = lambda s: regex.match(r"\p{N}", s) is not None
-            out.append(decontaminate.NAME if t[0] == decontaminate.MARK else decontaminate.NUMBER if number(t)
+            out.append(decontaminate.NAME if t[0] == decontaminate.NAME else decontaminate.NUMBER if number(t)
                        else decontaminate.UNIT if i and number(raw[i - 1]) and t.lower() in units else t.lower())
         return out, [t.lower() for t in raw]
 
