@@ -12,6 +12,7 @@ from pulseframe.plans.queries_select import duck_mix
 from pulseframe.plans.registry import d, query, r
 from pulseframe.plans.views import labelled_view, points_view, table
 from pulseframe.session import cut_lineage, shared_folder
+from pulseframe.sources import sinks
 from pulseframe.streaming import progress as sp, tiles as stt
 
 SCORED = "s AS (SELECT classification AS t, pred_class AS p FROM lab WHERE pred_class >= 0)"
@@ -244,6 +245,36 @@ def _cluster(algorithm):
     return run
 
 
+# Contracts that hold whatever a fit finds: rows, ids in range, ground as 0, usable confidences.
+@query("cluster_contract", "SELECT count(*) AS n, count(*) FILTER (WHERE classification = 2) AS ground, 0::BIGINT AS bad_ids, 0::BIGINT AS bad_confidence FROM pts", "pts")
+def _(spark, sf):
+    cloud = training_cloud(spark, sf).withColumn("is_ground", F.col("classification") == 2)
+    out = ml.cluster(cloud, FEATURES, 4, "kmeans", ground="is_ground")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("cluster_id") == 0) & F.col("is_ground")).alias("ground"),
+                   F.count_if(~F.col("cluster_id").isin(-1, 0, 1, 2, 3, 4) | ((F.col("cluster_id") == 0) & ~F.col("is_ground"))).alias("bad_ids"),
+                   F.count_if(~F.coalesce(F.col("cluster_confidence").between(0.0, 1.0), F.lit(False))).alias("bad_confidence"))
+
+
+@query("predict_contract", "SELECT count(*) AS n, 0::BIGINT AS bad_classes, 0::BIGINT AS bad_rows FROM pts", "pts")
+def _(spark, sf):
+    cloud = training_cloud(spark, sf)
+    model = ml.train_classifier(ml.cap_per_class(cloud, 2000), FEATURES, "random_forest", trees=8, depth=5)
+    out = ml.predict(model, cloud)
+    scored_ = F.col("pred_class") >= 0
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("pred_class").isin(-1, 2, 5, 6)).alias("bad_classes"),
+                   F.count_if(scored_ != F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False))).alias("bad_rows"))
+
+
+@query("report_tables", f"WITH {SCORED} SELECT t AS true_class, p AS pred_class, count(*) AS n, count(*) AS n_json FROM s GROUP BY ALL", "lab")
+def _(spark, sf):
+    # Written as CSV and JSON, read back and laid side by side.
+    path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    sinks.write_report_tables({"confusion": me.confusion(scored(spark, sf))}, path)
+    schema = "true_class INT, pred_class INT, n BIGINT"
+    csv = spark.read.schema(schema).option("header", True).csv(f"{path}/confusion.csv")
+    return csv.join(spark.read.schema(schema).json(f"{path}/confusion.json").withColumnRenamed("n", "n_json"), ["true_class", "pred_class"])
+
+
 query("cluster_kmeans")(_cluster("kmeans"))
 query("cluster_hierarchical")(_cluster("hierarchical"))
 query("cluster_mixture")(_cluster("mixture"))
