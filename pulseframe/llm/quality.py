@@ -115,13 +115,24 @@ def inputs(docs: DataFrame) -> list[Column]:
     return [word("lang").alias("lang"), word("source").alias("source"), number.cast("long").alias("n")]
 
 
-def totals(rows: DataFrame, terms: Callable[[dict[str, list]], list[np.ndarray]]) -> list[np.ndarray]:
+def arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Columns as arrays: views as matrices, a missing label as not-a-number."""
+    out = {}
+    for name, column in zip(batch.schema.names, batch.columns):
+        if pa.types.is_list(column.type):
+            out[name] = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        else:
+            out[name] = column.to_numpy(zero_copy_only=False)
+    return out
+
+
+def totals(rows: DataFrame, terms: Callable[[dict[str, np.ndarray]], list[np.ndarray]]) -> list[np.ndarray]:
     """Sums over all rows of the arrays that ``terms`` makes of a batch, added up in tasks and then in a tree."""
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                made = terms({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+                made = terms(arrays(batch))
                 total = made if total is None else [x + y for x, y in zip(total, made)]
         if total is not None:
             yield packed(total)
@@ -168,9 +179,9 @@ def learn_views(rows: DataFrame, model: QualityModel, teachers: QualityModel | N
         now = (model.text, model.meta)
 
         def terms(c):
-            views = [np.array(c["by_text"]), np.array(c["by_meta"])]
-            known = np.array([y is not None for y in c["y"]])
-            given = np.array([y or 0 for y in c["y"]], float)
+            views = [c["by_text"], c["by_meta"]]
+            given = c["y"].astype(float)
+            known = ~np.isnan(given)
             out = []
             for i, other in ((0, 1), (1, 0)):
                 y, w = given.copy(), known.astype(float)
@@ -178,7 +189,7 @@ def learn_views(rows: DataFrame, model: QualityModel, teachers: QualityModel | N
                     guide = (teachers.text, teachers.meta)[other]
                     z = views[other] @ guide[1:] + guide[0]
                     take = ~known & (np.abs(z) > sure)
-                    y[take], w[take] = z[take] > 0, pseudo_weight
+                    y[take], w[take] = z[take] > 0, pseudo_weight  # labels of unlabelled rows are no longer missing
                 use = w > 0
                 out += logistic_terms(views[i][use], y[use], w[use], now[i])
             return out
@@ -192,7 +203,7 @@ def calibrate(rows: DataFrame, model: QualityModel) -> None:
     both = np.array([0.0, 0.5, 0.5])
     for _ in range(STEPS):
         def terms(c, both=both):
-            return logistic_terms(model.log_odds(np.array(c["by_text"]), np.array(c["by_meta"])), np.array(c["y"], float), np.ones(len(c["y"])), both)
+            return logistic_terms(model.log_odds(c["by_text"], c["by_meta"]), c["y"].astype(float), np.ones(len(c["y"])), both)
 
         both = stepped(both, *totals(rows, terms))
     model.both = both
@@ -222,12 +233,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 def score(seen: DataFrame, model: QualityModel, *, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``key, text_score, meta_score, score, keep`` from the views of rows."""
-    def run(c):
-        a, b, both = model.scores(np.array(c["by_text"]), np.array(c["by_meta"]))
-        return {"k": c["k"], "text_score": a.tolist(), "meta_score": b.tolist(), "score": both.tolist()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c = arrays(batch.select(["by_text", "by_meta"]))
+                scores = [pa.array(x) for x in model.scores(c["by_text"], c["by_meta"])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *scores], names=["k", "text_score", "meta_score", "score"])
 
     kind = seen.schema[key].dataType.simpleString()
-    return (by_batch(seen.select(F.col(key).alias("k"), "by_text", "by_meta"), run, f"k {kind}, text_score double, meta_score double, score double")
+    return (seen.select(F.col(key).alias("k"), "by_text", "by_meta").mapInArrow(run, f"k {kind}, text_score double, meta_score double, score double")
             .withColumn("keep", F.col("score") >= threshold).withColumnRenamed("k", key))
 
 
