@@ -159,7 +159,10 @@ def link(entries: DataFrame, *, distance: int = DISTANCE, bucket_rows: int = BUC
         raise ValueError("two segments with one wildcard each cover up to three differing bits")
     spark = entries.sparkSession
     path = shared_path(spark, "simhash")
-    rows = entries.select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("seen"), "fp").where("fp IS NOT NULL").distinct()
+    # A fixed number of partitions: few bytes here become 64 times as many rows.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = (entries.where("fp IS NOT NULL").select("fp").repartition(parts, "fp").distinct()
+            .select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("seen"), "fp"))
     links = None
     for level in range(3):
         found = stored(compare_buckets(signatures(rows, level), distance, bucket_rows if level < 2 else None), "simhash", f"{path}/{level}")
