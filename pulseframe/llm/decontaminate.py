@@ -12,10 +12,16 @@ other numbers or names is caught, and a chance match of placeholders is not.  On
 matched a window with slots are looked at again for their values.  The share of the item's
 tokens covered by consistent windows decides.
 
+With ``by_window``, as the query and the pipeline ask for, a clash costs only the windows that hold
+it: changed values of an item value that stands for several, and changed names that stand for
+several item names; values equal to the item's never clash, and numbers and units may coincide.
+Windows with too few plain words are then indexed too, by their values as they stand, so that an
+item's own text covers all of it.
+
 Null and empty texts match nothing, nor do rows with a null id.  Repeated documents and items
 are matched one by one, by id.  An item shorter than a window is one window of all its tokens; an item
 without a window of at least ``literals`` plain words (all its tokens, if it has fewer) can't be
-recognised and matches nothing.
+recognised and matches nothing, unless ``by_window`` is set.
 """
 
 from __future__ import annotations
@@ -80,8 +86,12 @@ def is_slot(form: Column) -> Column:
     return form.isin(NAME, NUMBER, UNIT)
 
 
-def benchmark_windows(items: DataFrame, window: int, literals: int) -> DataFrame:
-    """``item_id, n_tokens, at, width, hash, form, raw, has_slots``: the windows of every item that can be recognised."""
+def benchmark_windows(items: DataFrame, window: int, literals: int, by_window: bool = False) -> DataFrame:
+    """``item_id, n_tokens, at, width, hash, form, raw, words, exact, has_slots``: the windows of every item that can be recognised.
+
+    ``words`` are what a document window must equal: the template, or the values as they stand
+    (``exact``, with ``by_window`` only) where plain words are too few.
+    """
     t = (items.where("item_id IS NOT NULL").select("item_id", text_or_empty().alias("text"))
          .select("item_id", template_tokens(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("whole")))
     w = windows(t, ["item_id", "whole"], window)
@@ -91,16 +101,21 @@ def benchmark_windows(items: DataFrame, window: int, literals: int) -> DataFrame
     out = wide.select("item_id", "n_tokens", F.col("p").alias("at"), "width", chosen.alias("hash"), form.alias("form"),
                       F.slice("whole", F.col("p") + 1, F.col("width")).alias("raw"))
     plain = F.size(F.filter("form", lambda f: ~is_slot(f)))
-    return (out.where((plain >= F.least(F.lit(literals), F.col("n_tokens"))) & (plain > 0))
-            .withColumn("has_slots", F.exists("form", is_slot)))
+    out = out.withColumns({"exact": (plain < F.least(F.lit(literals), F.col("n_tokens"))) | (plain == 0), "has_slots": F.exists("form", is_slot)})
+    out = out.withColumn("words", F.when(F.col("exact"), F.transform("raw", F.lower)).otherwise(F.col("form")))
+    if not by_window:
+        return out.where("NOT exact")
+    as_it_stands = F.coalesce(*[F.when(F.col("width") == i, F.xxhash64(F.lit(i), *[F.get("words", F.lit(j)) for j in range(i)])) for i in range(1, window + 1)])
+    return out.withColumn("hash", F.when(F.col("exact"), as_it_stands).otherwise(F.col("hash")))
 
 
-def matches(docs: DataFrame, known: DataFrame, *, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
-    """``key, p, item_id, n_tokens, at, width, has_slots, form, raw``: document windows equal to benchmark windows."""
+def matches(docs: DataFrame, known: DataFrame, *, window: int = WINDOW, key: str = "doc_id", exact: bool = False) -> DataFrame:
+    """``key, p, item_id, n_tokens, at, width, has_slots, form, raw``: document windows equal to benchmark windows, all ``exact`` or none."""
     small = known.count() <= SMALL_BENCHMARK
     widths = sorted(r.width for r in known.select("width").distinct().collect())  # at most ``window`` values
     bench = known.select(*[F.col(c).alias(f"b_{c}") for c in known.columns])
-    t = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), template_tokens(text_or_empty()).alias("t"))
+    tokens = (lambda text: F.transform(raw_tokens(text), F.lower)) if exact else template_tokens
+    t = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), tokens(text_or_empty()).alias("t"))
     w = windows(t, ["k"], window).drop("n_tokens")
     if widths in ([], [window]):
         rows = w.withColumn("width", F.lit(window)).withColumn("hash", window_hash(window))
@@ -109,7 +124,7 @@ def matches(docs: DataFrame, known: DataFrame, *, window: int = WINDOW, key: str
         rows = w.withColumn("h", F.explode(each)).select("*", "h.width", "h.hash").drop("h")
     same = (F.col("hash") == F.col("b_hash")) & (F.col("width") == F.col("b_width"))
     for i in range(1, window + 1):  # the hash only finds candidates
-        same = same & ((F.col("b_width") < i) | (F.col(f"w{i}") == F.get("b_form", F.lit(i - 1))))
+        same = same & ((F.col("b_width") < i) | (F.col(f"w{i}") == F.get("b_words", F.lit(i - 1))))
     joined = rows.where("hash IS NOT NULL").join(F.broadcast(bench) if small else bench, same)
     return joined.select(F.col("k").alias(key), "p", *[F.col(f"b_{c}").alias(c) for c in ("item_id", "n_tokens", "at", "width", "has_slots", "form", "raw")])
 
@@ -126,20 +141,46 @@ def slot_values(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return (slots.join(text, ["k", "place"]).select(F.col("k").alias(key), "item_id", "along", "form", "known", F.lower("here").alias("here")).distinct())
 
 
+def without_clashes(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Matched windows whose slots don't clash, with ``along, slots, same`` of their alignment."""
+    by = [key, "item_id", "along"]
+    text = (docs.join(found.where("has_slots").select(key).distinct(), key, "left_semi").select(key, raw_tokens(text_or_empty()).alias("t"))
+            .select(key, F.posexplode("t").alias("place", "here")))
+    slots = (found.where("has_slots").select(key, "item_id", "p", "at", "width", (F.col("p") - F.col("at")).alias("along"),
+                                             F.posexplode(F.arrays_zip("form", F.col("raw").alias("known"))).alias("i", "s"))
+             .select(*by, "p", "at", "width", (F.col("p") + F.col("i")).alias("place"), F.col("s.form").alias("form"), F.lower("s.known").alias("known"))
+             .where(is_slot(F.col("form"))).join(text, [key, "place"]).withColumn("here", F.lower("here")))
+    slots = stored(slots, "benchmark-slots")
+    pairs = slots.select(*by, "form", "known", "here").distinct()
+    several = pairs.groupBy(*by, "form", "known").agg(F.count("*").alias("n_here"))
+    shared = pairs.where(F.col("form") == NAME).groupBy(*by, "form", "here").agg(F.count("*").alias("n_known"))
+    clash = (pairs.where("known <> here").join(several, [*by, "form", "known"]).join(shared, [*by, "form", "here"], "left")
+             .where("n_here > 1 OR n_known > 1").select(*by, "form", "known", "here"))
+    bad = slots.join(clash, [*by, "form", "known", "here"], "left_semi").select(*by, "at", "width").distinct()
+    values = pairs.groupBy(*by).agg(F.count("*").alias("slots"), F.bool_and(F.col("known") == F.col("here")).alias("same"))
+    return (found.withColumn("along", F.col("p") - F.col("at")).join(bad, [*by, "at", "width"], "left_anti").join(values, by, "left")
+            .withColumns({"slots": F.coalesce("slots", F.lit(0).cast("long")), "same": F.coalesce("same", F.lit(True))}))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, literals: int = LITERALS,
-                 coverage: float = COVERAGE, key: str = "doc_id") -> DataFrame:
+                 coverage: float = COVERAGE, key: str = "doc_id", by_window: bool = False) -> DataFrame:
     """``key, item_id, coverage, n_windows, n_slots, same_values``: documents that hold a benchmark item.
 
     ``coverage`` is the share of the item's tokens in consistent windows; ``same_values`` is false
     where the item was found with other numbers, names or units.
     """
     prepare(docs.sparkSession)
-    known = stored(benchmark_windows(items, window, literals), "benchmark-windows")
-    found = stored(matches(docs, known, window=window, key=key).distinct(), "benchmark-matches")
+    known = stored(benchmark_windows(items, window, literals, by_window), "benchmark-windows")
+    found = matches(docs, known.where("NOT exact"), window=window, key=key)
+    if by_window and not (poor := known.where("exact")).isEmpty():
+        found = found.unionByName(matches(docs, poor, window=window, key=key, exact=True))
+    found = stored(found.distinct(), "benchmark-matches")
     by = [key, "item_id", "along"]
     kept = found.withColumn("along", F.col("p") - F.col("at"))
     if known.where("has_slots").isEmpty():
         kept = kept.withColumns({"slots": F.lit(0).cast("long"), "same": F.lit(True)})
+    elif by_window:
+        kept = without_clashes(docs, found, key)
     else:
         slots = stored(slot_values(docs, found, key), "benchmark-slots")
         clash = (slots.groupBy(*by, "form", "known").agg(F.count("*").alias("n")).where("n > 1").select(*by)
@@ -165,4 +206,4 @@ def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", **options)
 
 def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and its coverage."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_window=True)
