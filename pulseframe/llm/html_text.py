@@ -3,8 +3,9 @@
 The page is cut into blocks at block-level tags.  First pass, each block on its own: its
 surroundings (the article, or a menu, footer, form, advert and the like by tag or by class),
 density of links, density of stop words and length make it good, bad, nearly good or short.
-Second pass: nearly good and short blocks take the label of their nearest decided neighbours;
-headings go with good text that follows.  In a page with an article element its
+Second pass: nearly good blocks stay beside good ones, short blocks between good ones or between one
+and the page's edge or its surroundings; headings go with good text that follows.  Where no block
+is good, the nearly good ones are, else the short ones.  In a page with an article element its
 blocks are decided as good, whatever their length, and what is outside of it is not the article.
 
 Text is decoded once, white space in a block is one space, blocks are joined by a line feed.
@@ -51,7 +52,7 @@ aber als am auch auf aus bei bis das dass dem den der des die durch ein eine ein
 sich sie sind so um und uns unter vom von vor war was wie wird zu zum zur
 al como con cuando del el ella en entre era es esta este fue ha hay la las lo los más me muy no o para pero por que se si sin sobre su sus también un una y ya
 """.split())
-GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
+GOOD, BAD, NEAR, SHORT, OUT = "good", "bad", "near", "short", "outside"
 
 
 class Block:
@@ -129,7 +130,7 @@ def enter(tag: str, rest: str, inside: bool, outside: bool) -> list[bool]:
 def alone(text: str, linked: int, tag: str, inside: bool, outside: bool, has_article: bool) -> str:
     """The first pass: a block's label by itself."""
     if outside or has_article and not inside:
-        return BAD
+        return OUT
     if inside:
         return GOOD
     links = linked / len(text)
@@ -141,27 +142,30 @@ def alone(text: str, linked: int, tag: str, inside: bool, outside: bool, has_art
     stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
     if stops >= 0.32:
         return GOOD if len(text) > 200 else NEAR
-    return NEAR if stops >= 0.15 else BAD
+    return NEAR if stops >= 0.15 or not linked else BAD  # lists, tables, code and other languages have few stop words
 
 
 def with_neighbours(labels: list[str], tags: list[str]) -> list[bool]:
     """The second pass: which blocks are kept once undecided ones have looked at their neighbours."""
     n = len(labels)
-    before, after, last = [BAD] * n, [BAD] * n, BAD
+    if GOOD not in labels:  # no better block: the best of the undecided are the text
+        best = NEAR if NEAR in labels else SHORT
+        labels = [GOOD if label == best and (best == NEAR or tag not in HEADINGS) else label for label, tag in zip(labels, tags)]
+    before, after, last = [OUT] * n, [OUT] * n, OUT  # a page's edge is like what is outside
     for i in range(n):
         before[i] = last
-        last = labels[i] if labels[i] in (GOOD, BAD) else last
-    last = BAD
+        last = labels[i] if labels[i] in (GOOD, BAD, OUT) else last
+    last = OUT
     for i in range(n - 1, -1, -1):
         after[i] = last
-        last = labels[i] if labels[i] in (GOOD, BAD) else last
+        last = labels[i] if labels[i] in (GOOD, BAD, OUT) else last
     out = []
     for i, label in enumerate(labels):
         sides = (before[i] == GOOD) + (after[i] == GOOD)
         if label == SHORT and tags[i] in HEADINGS:
             out.append(after[i] == GOOD)
         elif label == SHORT:
-            out.append(sides == 2)
+            out.append(sides == 2 or sides == 1 and OUT in (before[i], after[i]))
         elif label == NEAR:
             out.append(sides >= 1)
         else:
