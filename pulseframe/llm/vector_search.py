@@ -5,8 +5,8 @@ integer-valued matrix product, from which each query's best are partially select
 lists are merged in a tree: first within groups of tiles, then across groups, so no task ever
 holds more than a group's lists for its queries.
 
-Vectors that are null, of another length than most tables' (``dim``), or hold null or non-finite
-components take no part.  Ties go to the smaller id; repeated rows are candidates of their own; a
+Vectors that are null, empty, of another length than the table's commonest (the larger of equally
+common ones), or hold null or non-finite components take no part.  Ties go to the smaller id; repeated rows are candidates of their own; a
 query has fewer than k results only if there are fewer candidates.  An empty table gives no row.
 """
 
@@ -27,8 +27,11 @@ def integer_vectors(df: DataFrame, scale: int, *, key: str = "vec_id", vector: s
     """``id, v``: ``floor(scale * x)`` of each component as double, for vectors that are whole."""
     x = F.col(vector).cast("array<double>")
     whole = F.col(key).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return df.where(F.coalesce(whole, F.lit(False))).select(F.col(key).cast("long").alias("id"),
-                                                           F.transform(x, lambda c: F.floor(c * float(scale)).cast("double")).alias("v"))
+    rows = df.where(F.coalesce(whole & (F.size(x) > 0), F.lit(False)))
+    common = rows.groupBy(F.size(vector).alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if common:
+        rows = rows.where(F.size(vector) == common.dim)
+    return rows.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * float(scale)).cast("double")).alias("v"))
 
 
 def packed(vectors: DataFrame, blocks: int) -> DataFrame:
