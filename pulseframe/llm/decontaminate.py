@@ -34,8 +34,9 @@ WINDOW, LITERALS, COVERAGE = 5, 3, 0.6
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"  # placeholders; also the mark before a name
 # A capitalised word that a letter, a digit, a comma or a semicolon precedes in the same sentence.
 NAME_START = r" (?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})"
-NAME_RUN = rf"{NAME}\p{{Lu}}[\p{{L}}\p{{M}}]*(?: {NAME}?\p{{Lu}}[\p{{L}}\p{{M}}]*)*"
-NUMERAL = r"\p{N}+(?:[.,:/]\p{N}+)*"
+# Possessive repeats: the others recurse once per word, which a long run of names would not survive.
+NAME_RUN = rf"{NAME}\p{{Lu}}[\p{{L}}\p{{M}}]*+(?: {NAME}?\p{{Lu}}[\p{{L}}\p{{M}}]*+)*+"
+NUMERAL = r"\p{N}++(?:[.,:/]\p{N}++)*+"
 WORD = r"[\p{L}\p{M}]+|[%°$€£]"
 # Unit words and signs.
 UNITS = ("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres "
