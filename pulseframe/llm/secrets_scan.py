@@ -131,21 +131,21 @@ def _oracle() -> str:
     conditions = {"assign": "length(regexp_extract(x, pattern, 2)) >= 6", "access": "length(x) >= 20", "hex": "true",
                   "account": "length(regexp_extract(x, pattern, 2)) >= 3",
                   "mixed": "regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]')", "address": "true"}
-    places = " UNION ALL ".join(f"""SELECT r, doc_id, {at} AS at, '{kind}' AS kind, '{KINDS[kind][0]}' AS role, $p${KINDS[kind][1]}$p$ AS pattern,
+    places = " UNION ALL ".join(f"""SELECT r, {at} AS place, '{kind}' AS kind, '{KINDS[kind][0]}' AS role, $p${KINDS[kind][1]}$p$ AS pattern,
   regexp_extract_all(t, $p${KINDS[kind][1]}$p$) AS m, string_split_regex(t, $p${KINDS[kind][1]}$p$) AS g FROM d""" for kind, at in ORDER.items())
     fits = " OR ".join(f"(kind = '{k}' AND {c})" for k, c in conditions.items())
     needs = " OR ".join(f"(w.kind = '{k}' AND " + " AND ".join(f"bool_or(o.role = '{r}')" for r in roles) + ")" for k, roles in NEEDS.items())
-    text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, at)"
+    text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place)"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({places}),
-u AS (SELECT r, at, kind, role, pattern, unnest(m) AS x, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM m),
+u AS (SELECT r, place, kind, role, pattern, unnest(m) AS x, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM m),
 z AS (SELECT *, CAST(sum(length(gap) + length(x)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS e FROM u),
-f AS (SELECT r, at, kind, role, e - length(x) AS s, e FROM z WHERE {fits}),
-k AS (SELECT w.r, w.at, w.kind, w.s, w.e FROM f w JOIN f o ON o.r = w.r AND o.s BETWEEN w.s - {SCOPE} AND w.s + {SCOPE}
+f AS (SELECT r, place, kind, role, e - length(x) AS s, e FROM z WHERE {fits}),
+k AS (SELECT w.r, w.place, w.kind, w.s, w.e FROM f w JOIN f o ON o.r = w.r AND o.s BETWEEN w.s - {SCOPE} AND w.s + {SCOPE}
   WHERE w.kind IN ({', '.join(f"'{x}'" for x in NEEDS)}) AND o.role <> w.role GROUP BY ALL HAVING {needs}),
-b AS (SELECT r, {', '.join(f"count(*) FILTER (WHERE kind = '{x}') AS n_{x}" for x in BASE)}, {text} AS strong FROM f WHERE at < {len(BASE)} GROUP BY r),
-a AS (SELECT r, {text} AS spans FROM (SELECT r, at, kind, s, e FROM f WHERE at < {len(BASE)} UNION ALL SELECT * FROM k) GROUP BY r)
+b AS (SELECT r, {', '.join(f"count(*) FILTER (WHERE kind = '{x}') AS n_{x}" for x in BASE)}, {text} AS strong FROM f WHERE place < {len(BASE)} GROUP BY r),
+a AS (SELECT r, {text} AS spans FROM (SELECT r, place, kind, s, e FROM f WHERE place < {len(BASE)} UNION ALL SELECT * FROM k) GROUP BY r)
 SELECT doc_id, {', '.join(f"coalesce(n_{x}, 0) AS n_{x}" for x in BASE)}, sha256(coalesce(strong, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN a ON a.r = d.r
 """
