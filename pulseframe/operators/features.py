@@ -1,5 +1,8 @@
 """Multi-scale neighbourhood features: one radius join, one set of sums per ring.
 
+Two engines give the same sums.  Where neighbourhoods are small, pairs are joined and summed up in generated code.  Where they are
+dense, and wherever percentiles are asked for, units of space are summed over a pyramid of cells (``pyramid``).
+
 Pairs are found once at the largest radius.  Each pair belongs to exactly one
 ring (the smallest requested radius that holds it), so it updates one group of
 partial sums; a radius then adds up its rings.  All moments are taken relative
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pulseframe.functions.eigen import eigenvalue_stages, leading_stages, normal_stages, run_stages
 from pulseframe.functions.scalar import EPSILON
-from pulseframe.operators import neighbours as nb
+from pulseframe.operators import neighbours as nb, pyramid
 from pulseframe.schema import feature_column
 
 SHAPE = ("eigenvalue_1", "eigenvalue_2", "eigenvalue_3", "eigenvalues_sum", "pca_1", "pca_2", "linearity",
@@ -46,13 +49,8 @@ SECOND = ("xx", "xy", "xz", "yy", "yz", "zz")
 # monomial up to degree four in two of the axes, and xyz.
 QUADRIC = tuple("x" * a + "y" * b + "z" * c for a, b, c in product(range(5), repeat=3)
                 if 3 <= a + b + c <= 4 and (0 in (a, b, c) or (a, b, c) == (1, 1, 1)))
-
-
-def quantile_text(array: str, p: float) -> str:
-    """Linear interpolation at ``p * (n - 1)`` in an ascending array; NULL when empty."""
-    at = f"({p!r}D * (size({array}) - 1))"
-    low, high = f"get({array}, int(floor({at})))", f"get({array}, int(ceil({at})))"
-    return f"CASE WHEN size({array}) > 0 THEN {low} + ({at} - floor({at})) * ({high} - {low}) END"
+# Candidates per query from which the pyramid is used.
+DENSE = 1_000
 
 
 def _curvature_kernel(radius: float):
@@ -117,7 +115,7 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
                      core: Column | None = None, support: DataFrame | None = None, carry: tuple[str, ...] = (),
                      dims: int | None = None, plan: nb.NeighbourPlan | None = None,
                      max_candidates: int | None = None,
-                     max_block_rows: int = nb.MAX_BLOCK_ROWS) -> DataFrame:
+                     max_block_rows: int = nb.MAX_BLOCK_ROWS, engine: str | None = None) -> DataFrame:
     """Features of every (core) point: one row per query, column ``<descriptor>_r<radius>``.
 
     ``core`` restricts the queries while all rows stay support.  ``support`` gives
@@ -125,7 +123,9 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
     every queried point (and the source columns).  ``sources`` maps
     another column to the source statistics wanted of it.  ``carry`` columns come
     along unchanged, which saves joining the result back to the points.  A ``plan``
-    made for the same support and largest radius saves the counting pass.
+    made for the same support and largest radius saves the counting pass.  ``engine``
+    is "pairs" or "pyramid", by default what the density and the descriptors call for;
+    percentiles need the pyramid.
     """
     radii = sorted({float(r) for r in radii})
     wanted = list(dict.fromkeys(descriptors))
@@ -145,11 +145,41 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
     need_zrange = bool({"z_minimum", "z_maximum", "z_range", "z_above_minimum", "z_below_maximum"} & set(wanted))
     need_zlist = bool(set(wanted) & set(QUANTILES))
 
+    need_ranks = need_zlist or any(set(stats) & set(SOURCE_QUANTILES) for stats in sources.values())
+    if engine not in (None, "pairs", "pyramid") or (engine == "pairs" and need_ranks):
+        raise ValueError("engine is 'pairs' or 'pyramid', and percentiles need the pyramid")
+
     support = points if support is None else support
-    plan = plan or nb.plan_neighbourhood(support, radii[-1], dims, max_candidates, max_block_rows)
+    summed = {"max_block_rows": min(max_block_rows, pyramid.MAX_UNIT_ROWS), "max_unit_pairs": pyramid.MAX_UNIT_PAIRS, "spatial": True}
+    by_cells = need_ranks or engine == "pyramid"
+    if plan is None:
+        plan = nb.plan_neighbourhood(support, radii[-1], dims, max_candidates, **summed if by_cells else {"max_block_rows": max_block_rows})
+        if engine is None and not by_cells and plan.pairs > DENSE * plan.rows:
+            by_cells = True
+            plan = nb.plan_neighbourhood(support, radii[-1], dims, max_candidates, **summed)
     carried = {f.name: f for f in points.schema.fields if f.name in carry and f.name not in ("point_id", "z")}
     queries = nb.as_queries(points if core is None else points.where(core), *carried)
-    pairs = nb.paired(queries, nb.as_support(support, *sources), plan)
+    moments = (FIRST if need_first else ()) + (
+        SECOND if need_pca else (("zz",) if "z_standard_deviation" in wanted else ())) + (QUADRIC if need_curve else ())
+    named = {(d, r): feature_column(d, r) for d in wanted for r in radii}
+    flags = _Needs(need_curve, need_moment, need_normal, need_pca, need_first)
+    if by_cells:
+        out = pyramid.neighbourhood_sums(
+            queries, nb.as_support(support, *sources), plan, radii, moments, radii[-1] if need_curve else 1.0,
+            {n: p for n, p in QUANTILES.items() if n in wanted}, {c: {n: p for n, p in SOURCE_QUANTILES.items() if n in stats} for c, stats in sources.items()})
+    else:
+        out = _paired_sums(queries, nb.as_support(support, *sources), plan, radii, moments, need_curve, need_zrange, carried, sources)
+    out = _describe(out, radii, wanted, named, flags)
+    out = _describe_sources(out, radii, sources)
+    return out.select(F.col("q_id").alias("point_id"),
+                      *[F.col(f"q_{c}").alias(c) for c in carry if c != "point_id"],
+                      *[F.col(feature_column(d, r)) for r in radii for d in wanted],
+                      *[F.col(feature_column(s, r, c)) for r in radii for c, stats in sources.items() for s in stats])
+
+
+def _paired_sums(queries: DataFrame, support: DataFrame, plan: nb.NeighbourPlan, radii, moments, need_curve: bool, need_zrange: bool, carried, sources) -> DataFrame:
+    """Sums of every query's pairs, by radius."""
+    pairs = nb.paired(queries, support, plan)
     pairs = pairs.withColumn("other", F.col("q_id") != F.col("s_id"))
     if len(radii) > 1:
         inner = " ".join(f"WHEN d2 <= {r * r!r}D THEN {i}" for i, r in enumerate(radii[:-1]))
@@ -159,56 +189,37 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
         scale = f" * {1.0 / radii[-1]!r}D" if need_curve else ""
         return F.expr(" * ".join(f"(d{axis}{scale})" for axis in name))
 
-    moments = (FIRST if need_first else ()) + (
-        SECOND if need_pca else (("zz",) if "z_standard_deviation" in wanted else ())) + (QUADRIC if need_curve else ())
     other = F.col("other")
     sums = [F.coalesce(F.sum(F.when(other, 1).otherwise(0)), F.lit(0)).alias("n")]
     sums += [F.coalesce(F.sum(monomial(m)), F.lit(0.0)).alias("s_" + m) for m in moments]
     if need_zrange:
         sums += [F.min(F.when(other, F.col("s_z"))).alias("zlo"), F.max(F.when(other, F.col("s_z"))).alias("zhi")]
-    lists = [F.collect_list(F.when(other, F.col("s_z"))).alias("zs")] if need_zlist else []
-    for i, (column, stats) in enumerate(sources.items()):
+    for i, column in enumerate(sources):
         value = F.when(other, F.col("s_" + column).cast("double"))
         value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
         sums += [F.count(value).alias(f"v{i}_n"), F.avg(value).alias(f"v{i}_m"), F.var_pop(value).alias(f"v{i}_v"),
                  F.min(value).alias(f"v{i}_lo"), F.max(value).alias(f"v{i}_hi")]
-        if set(stats) & set(SOURCE_QUANTILES):
-            lists.append(F.collect_list(value).alias(f"v{i}_l"))
     # Fixed-width carried columns ride in the aggregate, others in the key.
     in_key = [f"q_{n}" for n, f in carried.items() if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
     in_agg = ["q_z"] + [f"q_{n}" for n in carried if f"q_{n}" not in in_key]
     keys = [*plan.unit, "q_id", *in_key]
     ring_key = ["ring"] if len(radii) > 1 else []
-    # Lists and sums in one aggregate: the pairs are searched once.
-    grouped = pairs.groupBy(*keys, *ring_key).agg(*sums, *lists, *[F.max(c).alias(c) for c in in_agg])
+    grouped = pairs.groupBy(*keys, *ring_key).agg(*sums, *[F.max(c).alias(c) for c in in_agg])
 
-    aggregates = {"first": moments, "zrange": need_zrange, "zlist": need_zlist}
-    out = _merge_rings(grouped, keys, in_agg, len(radii), aggregates, sources)
-    named = {(d, r): feature_column(d, r) for d in wanted for r in radii}
-    flags = _Needs(need_curve, need_moment, need_normal, need_pca, need_first, need_zrange, need_zlist)
-    out = _describe(out, radii, wanted, named, flags)
-    out = _describe_sources(out, radii, sources)
-    return out.select(F.col("q_id").alias("point_id"),
-                      *[F.col(f"q_{c}").alias(c) for c in carry if c != "point_id"],
-                      *[F.col(feature_column(d, r)) for r in radii for d in wanted],
-                      *[F.col(feature_column(s, r, c)) for r in radii for c, stats in sources.items() for s in stats])
+    out = _merge_rings(grouped, keys, in_agg, len(radii), moments, need_zrange, sources)
+    return _merged_sources(out, len(radii), sources)
 
 
-def _merge_rings(grouped: DataFrame, keys, carried, rings: int, aggregates, sources) -> DataFrame:
+def _merge_rings(grouped: DataFrame, keys, carried, rings: int, moments, need_zrange: bool, sources) -> DataFrame:
     """Rings to radii.  The partitioning is the one of the pairs, so nothing is shuffled."""
-    moments = aggregates["first"]
     if rings == 1:
         out = [F.col(c) for c in keys + carried] + [F.col("n").alias("n_0")]
         out += [F.col("s_" + m).alias(f"s0_{m}") for m in moments]
-        if aggregates["zrange"]:
+        if need_zrange:
             out += [F.col("zlo").alias("zlo_0"), F.col("zhi").alias("zhi_0")]
-        if aggregates["zlist"]:
-            out.append(F.col("zs").alias("zs_0"))
-        for i, stats in enumerate(sources.values()):
+        for i in range(len(sources)):
             out += [F.col(f"v{i}_{s}").alias(f"v{i}_{s}_0") for s in ("n", "lo", "hi")]
             out.append(F.struct(*[F.col(f"v{i}_{s}").alias(s) for s in "nmv"]).alias(f"v{i}_ring0"))
-            if set(stats) & set(SOURCE_QUANTILES):
-                out.append(F.col(f"v{i}_l").alias(f"v{i}_l_0"))
         return grouped.select(*out)
 
     def inside(k: int, column: str) -> Column:
@@ -218,20 +229,32 @@ def _merge_rings(grouped: DataFrame, keys, carried, rings: int, aggregates, sour
     for k in range(rings):
         per.append(F.coalesce(F.sum(inside(k, "n")), F.lit(0)).alias(f"n_{k}"))
         per += [F.coalesce(F.sum(F.when(F.col("ring") <= k, F.col("s_" + m)).otherwise(0.0)), F.lit(0.0)).alias(f"s{k}_{m}") for m in moments]
-        if aggregates["zrange"]:
+        if need_zrange:
             per += [F.min(inside(k, "zlo")).alias(f"zlo_{k}"), F.max(inside(k, "zhi")).alias(f"zhi_{k}")]
-        if aggregates["zlist"]:
-            per.append(F.flatten(F.collect_list(F.when(F.col("ring") == k, F.col("zs")))).alias(f"zs_{k}"))
-        for i, stats in enumerate(sources.values()):
+        for i in range(len(sources)):
             per += [F.sum(inside(k, f"v{i}_n")).alias(f"v{i}_n_{k}"),
                     F.min(inside(k, f"v{i}_lo")).alias(f"v{i}_lo_{k}"),
                     F.max(inside(k, f"v{i}_hi")).alias(f"v{i}_hi_{k}"),
                     F.max(F.when(F.col("ring") == k, F.struct(*[F.col(f"v{i}_{s}").alias(s) for s in "nmv"]))).alias(f"v{i}_ring{k}")]
-            if set(stats) & set(SOURCE_QUANTILES):
-                per.append(F.flatten(F.collect_list(F.when(F.col("ring") == k, F.col(f"v{i}_l")))).alias(f"v{i}_l_{k}"))
     return grouped.groupBy(*keys).agg(*per)
 
 
+def _merged_sources(df: DataFrame, rings: int, sources) -> DataFrame:
+    """Mean and deviation of each radius: rings merge by the parallel variance rule."""
+    if not sources:
+        return df
+    count = range(rings)
+
+    def merged(i: int, k: int, term: str) -> str:
+        return " + ".join(f"coalesce({term.replace('@', f'v{i}_ring{j}')}, 0.0D)" for j in range(k + 1))
+
+    df = df.selectExpr("*", *[f"({merged(i, k, '@.n * @.m')}) / nullif(v{i}_n_{k}, 0) AS v{i}_mean_{k}"
+                              for i in range(len(sources)) for k in count])
+    return df.selectExpr("*", *[
+        f"sqrt(({merged(i, k, f'@.n * (@.v + (@.m - v{i}_mean_{k})*(@.m - v{i}_mean_{k}))')}) / nullif(v{i}_n_{k}, 0))"
+        f" AS v{i}_std_{k}" for i in range(len(sources)) for k in count])
+
+
 @dataclass(frozen=True)
 class _Needs:
     curve: bool
@@ -239,8 +262,6 @@ class _Needs:
     normal: bool
     pca: bool
     first: bool
-    zrange: bool
-    zlist: bool
 
 
 def _describe(df: DataFrame, radii, wanted, named, need: _Needs) -> DataFrame:
@@ -275,9 +296,6 @@ def _describe(df: DataFrame, radii, wanted, named, need: _Needs) -> DataFrame:
             curves[f"curve{k}"] = kernel(F.struct(F.col(f"n_{k}").alias("n"), axis.alias("axis"),
                                                   *[F.col(f"s{k}_{m}").alias(m) for m in sums]))
         df = df.withColumns(curves)
-    if need.zlist:
-        df = df.selectExpr("*", *[
-            f"array_sort(concat({', '.join(f'zs_{j}' for j in range(k + 1))})) AS zsort_{k}" for k in count])
     texts = []
     for k, r in enumerate(radii):
         for name in wanted:
@@ -295,7 +313,7 @@ def _descriptor_text(name: str, k: int, r: float, scale2: str) -> str:
         return f"coalesce(CASE WHEN {v} > 0 THEN {v} * ln({v}) END, 0.0D)"
 
     if name in QUANTILES:
-        return quantile_text(f"zsort_{k}", QUANTILES[name])
+        return f"zq{k}_{name}"
     text = {
         "neighbor_count": f"double(n_{k})",
         "density_2d": f"n_{k} / {math.pi * r * r!r}D",
@@ -327,29 +345,14 @@ def _descriptor_text(name: str, k: int, r: float, scale2: str) -> str:
 
 
 def _describe_sources(df: DataFrame, radii, sources) -> DataFrame:
-    """Statistics of other columns over the neighbours; rings merge by the parallel variance rule."""
+    """Statistics of other columns over the neighbours."""
     if not sources:
         return df
-    count = range(len(radii))
-
-    def merged(i: int, k: int, term: str) -> str:
-        return " + ".join(f"coalesce({term.replace('@', f'v{i}_ring{j}')}, 0.0D)" for j in range(k + 1))
-
-    df = df.selectExpr("*", *[f"({merged(i, k, '@.n * @.m')}) / nullif(v{i}_n_{k}, 0) AS v{i}_mean_{k}"
-                              for i in range(len(sources)) for k in count])
-    df = df.selectExpr("*", *[
-        f"sqrt(({merged(i, k, f'@.n * (@.v + (@.m - v{i}_mean_{k})*(@.m - v{i}_mean_{k}))')}) / nullif(v{i}_n_{k}, 0))"
-        f" AS v{i}_std_{k}" for i in range(len(sources)) for k in count])
-    df = df.selectExpr("*", *[
-        f"array_sort(concat({', '.join(f'v{i}_l_{j}' for j in range(k + 1))})) AS v{i}_sort_{k}"
-        for i, stats in enumerate(sources.values()) if set(stats) & set(SOURCE_QUANTILES) for k in count])
     texts = []
     for i, (column, stats) in enumerate(sources.items()):
         for k, r in enumerate(radii):
             forms = {"source_count": f"double(coalesce(v{i}_n_{k}, 0))", "source_minimum": f"v{i}_lo_{k}",
                      "source_maximum": f"v{i}_hi_{k}", "source_range": f"v{i}_hi_{k} - v{i}_lo_{k}",
                      "source_mean": f"v{i}_mean_{k}", "source_standard_deviation": f"v{i}_std_{k}"}
-            for s in stats:
-                text = forms.get(s) or quantile_text(f"v{i}_sort_{k}", SOURCE_QUANTILES[s])
-                texts.append(f"{text} AS `{feature_column(s, r, column)}`")
+            texts += [f"{forms.get(s, f'v{i}_{s}_{k}')} AS `{feature_column(s, r, column)}`" for s in stats]
     return df.selectExpr("*", *texts)

@@ -70,6 +70,8 @@ class NeighbourPlan:
     hot_cells: DataFrame | None  # cx, cy, splits: cells of over-full blocks
     hot_blocks: DataFrame | None  # bx, by
     partitions: int | None = None  # shuffle partitions the pairs need, where the session has fewer
+    pairs: float = 0.0  # candidate pairs to be expected
+    spatial: bool = False  # queries of a hot cell are divided by place, not by a hash of their id
 
     @property
     def side(self) -> float:
@@ -89,7 +91,7 @@ def _count_cells(points: DataFrame, side: float) -> DataFrame:
 
 def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None,
                        max_candidates: int | None = None,
-                       max_block_rows: int = MAX_BLOCK_ROWS, max_unit_pairs: int = MAX_UNIT_PAIRS) -> NeighbourPlan:
+                       max_block_rows: int = MAX_BLOCK_ROWS, max_unit_pairs: int = MAX_UNIT_PAIRS, spatial: bool = False) -> NeighbourPlan:
     """Count points per cell once: choose 2-D or 3-D cells, find hot blocks, guard density.
 
     The pass aggregates on the map side and returns a handful of scalars.
@@ -137,7 +139,8 @@ def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None
         unit = max(1, max_block_rows // 16)
         hot_cells = (counts.groupBy("cx", "cy").agg(F.sum("n").alias("n")).withColumns({"bx": _floor_div(F.col("cx"), cells), "by": _floor_div(F.col("cy"), cells)})
                      .join(hot_blocks, ["bx", "by"], "left_semi")
-                     .select("cx", "cy", F.ceil(F.greatest(F.col("n") / F.lit(float(unit)), 9.0 * n * n / F.lit(float(max_unit_pairs)), F.lit(1.0))).cast("int").alias("splits")))
+                     .withColumn("splits", F.ceil(F.greatest(F.col("n") / F.lit(float(unit)), 9.0 * n * n / F.lit(float(max_unit_pairs)), F.lit(1.0))).cast("int"))
+                     .select("cx", "cy", F.pow(F.ceil(F.sqrt("splits")), F.lit(2)).cast("int").alias("splits") if spatial else F.col("splits")))
         hot_cells, hot_blocks = cut_lineage(hot_cells), cut_lineage(hot_blocks)
         if hot * cells * cells <= BROADCAST_ROWS:
             hot_cells, hot_blocks = F.broadcast(hot_cells), F.broadcast(hot_blocks)
@@ -145,7 +148,7 @@ def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None
     pairs = 9.0 * row.q2 if dims == 2 else 27.0 * row.q3
     wanted = math.ceil(max(row.n / max_block_rows, pairs / (10.0 * max_unit_pairs)))
     return NeighbourPlan(radius, dims, row.n, bound, cells, pieces, hot_cells, hot_blocks,
-                         wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None)
+                         wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None, float(pairs), spatial)
 
 
 def cell_candidates(points: DataFrame, radius: float, queries: DataFrame | None = None) -> DataFrame:
@@ -183,9 +186,14 @@ def _place_queries(q: DataFrame, plan: NeighbourPlan) -> DataFrame:
     hot_key = [F.col("ux") == F.col("bx"), F.col("uy") == F.col("by")]
     normal = normal.join(plan.hot_blocks, hot_key, "left_anti")
     cells = plan.hot_cells.select(F.col("cx").alias("qcell_x"), F.col("cy").alias("qcell_y"), "splits")
+    if plan.spatial:
+        across = lambda a: F.least(F.floor((F.col(f"q_{a}") / F.lit(plan.side) - F.col(f"qcell_{a}")) * F.sqrt("splits")), F.sqrt("splits") - 1)
+        part = across("x") * F.sqrt("splits") + across("y")
+    else:
+        part = F.pmod(F.xxhash64("q_id"), F.col("splits"))
     hot = (q.join(cells, ["qcell_x", "qcell_y"])
            .withColumn("ux", F.col("qcell_x")).withColumn("uy", F.col("qcell_y"))
-           .withColumn("us", F.pmod(F.xxhash64("q_id"), F.col("splits")).cast("int")).drop("splits"))
+           .withColumn("us", part.cast("int")).drop("splits"))
     return normal.unionByName(hot)
 
 
@@ -257,6 +265,18 @@ def paired(queries: DataFrame, support: DataFrame, plan: NeighbourPlan, few_quer
     return out.selectExpr("*", *[f"s_{a} - q_{a} AS d{a}" for a in "xyz"], f"{near} AS d2")
 
 
+def met_by_unit(queries: DataFrame, support: DataFrame, plan: NeighbourPlan, function, schema) -> DataFrame:
+    """``function(queries, support)`` on the Arrow tables of each unit: all support rows within the radius of its queries and more.
+
+    The layout is that of :func:`paired`; a unit's rows are bounded by the plan.
+    """
+    queries = _place_queries(queries.withColumns({f"qcell_{a}": cell_index(f"q_{a}", plan.side) for a in "xy"}), plan)
+    support = _place_support(support.withColumns({f"scell_{a}": cell_index(f"s_{a}", plan.side) for a in "xy"}), plan)
+    parts = [plan.partitions] if plan.partitions else []
+    queries, support = (df.repartition(*parts, *plan.unit).groupBy(*plan.unit) for df in (queries, support))
+    return queries.cogroup(support).applyInArrow(function, schema)
+
+
 def as_queries(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("point_id").alias("q_id"), *[F.col(a).cast("double").alias(f"q_{a}") for a in "xyz"],
                      *[F.col(c).alias(f"q_{c}") for c in extra if c not in ("x", "y", "z")])
