@@ -153,10 +153,9 @@ def compute_features(points: DataFrame, radii, descriptors=DESCRIPTORS, *, sourc
     summed = {"max_block_rows": min(max_block_rows, pyramid.MAX_UNIT_ROWS), "max_unit_pairs": pyramid.MAX_UNIT_PAIRS, "spatial": True}
     by_cells = need_ranks or engine == "pyramid"
     if plan is None:
-        plan = nb.plan_neighbourhood(support, radii[-1], dims, max_candidates, **summed if by_cells else {"max_block_rows": max_block_rows})
-        if engine is None and not by_cells and plan.pairs > DENSE * plan.rows:
-            by_cells = True
-            plan = nb.plan_neighbourhood(support, radii[-1], dims, max_candidates, **summed)
+        limits = summed if by_cells else {"max_block_rows": max_block_rows} | ({"dense": DENSE, "dense_limits": summed} if engine is None else {})
+        plan = nb.plan_neighbourhood(support, radii[-1], dims, max_candidates, **limits)
+        by_cells = by_cells or (engine is None and plan.spatial)
     carried = {f.name: f for f in points.schema.fields if f.name in carry and f.name not in ("point_id", "z")}
     queries = nb.as_queries(points if core is None else points.where(core), *carried)
     moments = (FIRST if need_first else ()) + (

@@ -91,9 +91,11 @@ def _count_cells(points: DataFrame, side: float) -> DataFrame:
 
 def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None,
                        max_candidates: int | None = None,
-                       max_block_rows: int = MAX_BLOCK_ROWS, max_unit_pairs: int = MAX_UNIT_PAIRS, spatial: bool = False) -> NeighbourPlan:
+                       max_block_rows: int = MAX_BLOCK_ROWS, max_unit_pairs: int = MAX_UNIT_PAIRS, spatial: bool = False,
+                       dense: int | None = None, dense_limits: dict | None = None) -> NeighbourPlan:
     """Count points per cell once: choose 2-D or 3-D cells, find hot blocks, guard density.
 
+    From ``dense`` candidates per query on, ``dense_limits`` replace ``max_block_rows``, ``max_unit_pairs`` and ``spatial``.
     The pass aggregates on the map side and returns a handful of scalars.
     """
     spark = tune(points.sparkSession)
@@ -117,6 +119,9 @@ def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None
     if dims is None:
         # Expected probes + candidates per layout; the cheaper one wins.
         dims = 2 if 9.0 * (row.n + row.q2) <= 27.0 * (row.n + row.q3) else 3
+    pairs = 9.0 * row.q2 if dims == 2 else 27.0 * row.q3
+    if dense is not None and pairs > dense * row.n:
+        max_block_rows, max_unit_pairs, spatial = (dense_limits[k] for k in ("max_block_rows", "max_unit_pairs", "spatial"))
     bound = 27 * row.top3
     if max_candidates is not None and bound > max_candidates:
         bound = max_cell_candidates(points, radius)
@@ -145,8 +150,8 @@ def plan_neighbourhood(points: DataFrame, radius: float, dims: int | None = None
         if hot * cells * cells <= BROADCAST_ROWS:
             hot_cells, hot_blocks = F.broadcast(hot_cells), F.broadcast(hot_blocks)
     pieces = max(1, math.ceil((row.top_block if dims == 2 else row.top3) / CELL_ROW_POINTS))
-    pairs = 9.0 * row.q2 if dims == 2 else 27.0 * row.q3
-    wanted = math.ceil(max(row.n / max_block_rows, pairs / (10.0 * max_unit_pairs)))
+    # Units divided by place differ in work: two of them to a task at most, on average half of one.
+    wanted = math.ceil(max(row.n / max_block_rows, pairs / ((0.5 if spatial else 10.0) * max_unit_pairs)))
     return NeighbourPlan(radius, dims, row.n, bound, cells, pieces, hot_cells, hot_blocks,
                          wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None, float(pairs), spatial)
 
@@ -272,7 +277,8 @@ def met_by_unit(queries: DataFrame, support: DataFrame, plan: NeighbourPlan, fun
     """
     queries = _place_queries(queries.withColumns({f"qcell_{a}": cell_index(f"q_{a}", plan.side) for a in "xy"}), plan)
     support = _place_support(support.withColumns({f"scell_{a}": cell_index(f"s_{a}", plan.side) for a in "xy"}), plan)
-    parts = [plan.partitions] if plan.partitions else []
+    # Few rows may be much work: their number of tasks isn't left to the size of the shuffle.
+    parts = [plan.partitions or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if plan.pairs > MAX_UNIT_PAIRS else []
     queries, support = (df.repartition(*parts, *plan.unit).groupBy(*plan.unit) for df in (queries, support))
     return queries.cogroup(support).applyInArrow(function, schema)
 

@@ -26,10 +26,10 @@ TILE_QUERIES = 128
 CELL_POINTS = 8  # the finest cells hold about as many points at least
 FINEST = 6  # halvings of the largest radius
 RUN = 64  # candidates in a run of ascending values
-WALKED = 2_000_000  # distances held at once
+WALKED = 500_000  # distances held at once: what about fits in a cache
 MARGIN = 1e-12  # rounding of cell distances
 # What one unit of work may pair up; products of whole matrices are far cheaper than joined rows.
-MAX_UNIT_PAIRS = 150_000_000
+MAX_UNIT_PAIRS = 40_000_000
 MAX_UNIT_ROWS = 500_000
 SECOND = tuple(e for e in product(range(3), repeat=3) if sum(e) == 2)
 
@@ -104,13 +104,13 @@ class Pyramid:
         code = interleaved(cells)
         order = np.argsort(code, kind="stable")
         code, out = code[order], []
-        todo = [(0, len(code), 60)]
+        todo = [(0, len(code), 62)]
         while todo:
             a, b, bits = todo.pop()
             if b - a <= TILE_QUERIES or bits == 0:
                 out += [order[i:min(i + TILE_QUERIES, b)] for i in range(a, b, TILE_QUERIES)]
                 continue
-            bits -= 3
+            bits -= 1
             part = code[a:b] >> bits
             cuts = [a, *(np.flatnonzero(np.diff(part)) + a + 1), b]
             todo += [(x, y, bits) for x, y in zip(cuts, cuts[1:])]
