@@ -224,7 +224,8 @@ def convert(spark: SparkSession, arc: str, warc: str, *, min_bytes: int = 0) ->
     records = arc_records(spark, arc)
     names = stored(records.select("key", "digest", "bytes"), "payload-names")
     last = names.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("key").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = names.join(last, "digest").where("key <> last").select("key", F.col("last").alias("refers")).distinct()
+    # One key may have several payloads.
+    refers = names.join(last, "digest").where("key <> last").select("key", "digest", F.col("last").alias("refers")).distinct()
     schema = pa.schema([("part", pa.binary())])
 
     def run(batches):
@@ -234,7 +235,7 @@ def convert(spark: SparkSession, arc: str, warc: str, *, min_bytes: int = 0) ->
                     yield (warc_record(u, date, head, payload, k, digest, to),)
         return batches_of(rows(), schema)
 
-    parts = (records.join(refers, "key", "left").select("key", "url", "date", "head", "payload", "digest", "refers").mapInArrow(run, "part binary"))
+    parts = (records.join(refers, ["key", "digest"], "left").select("key", "url", "date", "head", "payload", "digest", "refers").mapInArrow(run, "part binary"))
     written(parts, warc, WARC_END)
 
 

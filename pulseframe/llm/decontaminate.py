@@ -10,18 +10,16 @@ Slots are then compared: within one alignment of document and item each benchmar
 stand for one document value and the other way round, so that a question asked again with
 other numbers or names is caught, and a chance match of placeholders is not.  Only documents that
 matched a window with slots are looked at again for their values.  The share of the item's
-tokens covered by consistent windows decides.
+tokens covered by consistent windows decides, counted within one stretch of the document three times as long as
+the item: pieces of an item scattered over a long text don't add up.
 
-With ``by_window``, as the query and the pipeline ask for, a clash costs only the windows that hold
-it: changed values of an item value that stands for several, and changed names that stand for
-several item names; values equal to the item's never clash, and numbers and units may coincide.
-Windows with too few plain words are then indexed too, by their values as they stand, so that an
-item's own text covers all of it.
+A clash costs only the windows that hold it: changed values of an item value that stands for several, and changed
+names that stand for several item names; values equal to the item's never clash, and numbers and units may coincide.
+Windows with too few plain words are indexed too, by their values as they stand, so that an item's own text covers all of it.
 
 Null and empty texts match nothing, nor do rows with a null id.  Repeated documents and items
-are matched one by one, by id.  An item shorter than a window is one window of all its tokens; an item
-without a window of at least ``literals`` plain words (all its tokens, if it has fewer) can't be
-recognised and matches nothing, unless ``by_window`` is set.
+are matched one by one, by id.  An item shorter than a window is one window of all its tokens; an item without a token
+matches nothing.  Empty tables give no row.
 """
 
 from __future__ import annotations
@@ -87,11 +85,11 @@ def is_slot(form: Column) -> Column:
     return form.isin(NAME, NUMBER, UNIT)
 
 
-def benchmark_windows(items: DataFrame, window: int, literals: int, by_window: bool = False) -> DataFrame:
+def benchmark_windows(items: DataFrame, window: int, literals: int) -> DataFrame:
     """``item_id, n_tokens, at, width, hash, form, raw, words, exact, has_slots``: the windows of every item that can be recognised.
 
     ``words`` are what a document window must equal: the template, or the values as they stand
-    (``exact``, with ``by_window`` only) where plain words are too few.
+    (``exact``) where plain words are too few.
     """
     t = (items.where("item_id IS NOT NULL").select("item_id", text_or_empty().alias("text"))
          .select("item_id", template_tokens(F.col("text")).alias("t"), raw_tokens(F.col("text")).alias("whole")))
@@ -104,8 +102,6 @@ def benchmark_windows(items: DataFrame, window: int, literals: int, by_window: b
     plain = F.size(F.filter("form", lambda f: ~is_slot(f)))
     out = out.withColumns({"exact": (plain < F.least(F.lit(literals), F.col("n_tokens"))) | (plain == 0), "has_slots": F.exists("form", is_slot)})
     out = out.withColumn("words", F.when(F.col("exact"), F.transform("raw", F.lower)).otherwise(F.col("form")))
-    if not by_window:
-        return out.where("NOT exact")
     as_it_stands = F.coalesce(*[F.when(F.col("width") == i, F.xxhash64(F.lit(i), *[F.get("words", F.lit(j)) for j in range(i)])) for i in range(1, window + 1)])
     return out.withColumn("hash", F.when(F.col("exact"), as_it_stands).otherwise(F.col("hash")))
 
@@ -130,18 +126,6 @@ def matches(docs: DataFrame, known: DataFrame, *, window: int = WINDOW, key: str
     return joined.select(F.col("k").alias(key), "p", *[F.col(f"b_{c}").alias(c) for c in ("item_id", "n_tokens", "at", "width", "has_slots", "form", "raw")])
 
 
-def slot_values(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """``key, item_id, along, form, known, here``: for each slot of the matched windows its value in the item and in the document."""
-    with_slots = found.where("has_slots")
-    text = (docs.join(with_slots.select(key).distinct(), key, "left_semi").select(F.col(key).alias("k"), raw_tokens(text_or_empty()).alias("t"))
-            .select("k", F.posexplode("t").alias("place", "here")))
-    slots = (with_slots.select(F.col(key).alias("k"), "item_id", "p", (F.col("p") - F.col("at")).alias("along"),
-                               F.posexplode(F.arrays_zip("form", F.col("raw").alias("known"))).alias("i", "s"))
-             .select("k", "item_id", "along", (F.col("p") + F.col("i")).alias("place"), F.col("s.form").alias("form"), F.lower("s.known").alias("known"))
-             .where(is_slot(F.col("form"))).distinct())
-    return (slots.join(text, ["k", "place"]).select(F.col("k").alias(key), "item_id", "along", "form", "known", F.lower("here").alias("here")).distinct())
-
-
 def without_clashes(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Matched windows whose slots don't clash, with ``along, slots, same`` of their alignment."""
     by = [key, "item_id", "along"]
@@ -164,39 +148,35 @@ def without_clashes(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, literals: int = LITERALS,
-                 coverage: float = COVERAGE, key: str = "doc_id", by_window: bool = False) -> DataFrame:
+                 coverage: float = COVERAGE, key: str = "doc_id") -> DataFrame:
     """``key, item_id, coverage, n_windows, n_slots, same_values``: documents that hold a benchmark item.
 
     ``coverage`` is the share of the item's tokens in consistent windows; ``same_values`` is false
     where the item was found with other numbers, names or units.
     """
     prepare(docs.sparkSession)
-    known = stored(benchmark_windows(items, window, literals, by_window), "benchmark-windows")
+    known = stored(benchmark_windows(items, window, literals), "benchmark-windows")
     found = matches(docs, known.where("NOT exact"), window=window, key=key)
-    if by_window and not (poor := known.where("exact")).isEmpty():
+    if not (poor := known.where("exact")).isEmpty():
         found = found.unionByName(matches(docs, poor, window=window, key=key, exact=True))
     found = stored(found.distinct(), "benchmark-matches")
-    by = [key, "item_id", "along"]
-    kept = found.withColumn("along", F.col("p") - F.col("at"))
     if known.where("has_slots").isEmpty():
-        kept = kept.withColumns({"slots": F.lit(0).cast("long"), "same": F.lit(True)})
-    elif by_window:
-        kept = without_clashes(docs, found, key)
+        kept = found.withColumns({"slots": F.lit(0).cast("long"), "same": F.lit(True)})
     else:
-        slots = stored(slot_values(docs, found, key), "benchmark-slots")
-        clash = (slots.groupBy(*by, "form", "known").agg(F.count("*").alias("n")).where("n > 1").select(*by)
-                 .unionByName(slots.groupBy(*by, "form", "here").agg(F.count("*").alias("n")).where("n > 1").select(*by)).distinct())
-        values = slots.groupBy(*by).agg(F.count("*").alias("slots"), F.bool_and(F.col("known") == F.col("here")).alias("same"))
-        kept = (kept.join(clash, by, "left_anti").join(values, by, "left")
-                .withColumns({"slots": F.coalesce("slots", F.lit(0).cast("long")), "same": F.coalesce("same", F.lit(True))}))
-    covered = (kept.select(key, "item_id", "n_tokens", "at", "slots", "same", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("token"))
-               .groupBy(key, "item_id", "n_tokens", "token")
+        kept = without_clashes(docs, found, key)
+    # A stretch begins at every multiple of the item's length and is three lengths long: a copy with as much again put in between lies within one.
+    stretch = F.floor(F.col("p") / F.col("n_tokens"))
+    covered = (kept.withColumn("stretch", F.explode(F.sequence(stretch - 2, stretch)))
+               .select(key, "item_id", "n_tokens", "stretch", "at", "slots", "same", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("token"))
+               .groupBy(key, "item_id", "n_tokens", "stretch", "token")
                .agg(F.max(F.when(F.col("token") == F.col("at"), 1).otherwise(0)).alias("window"), F.max("slots").alias("slots"), F.bool_and("same").alias("same")))
-    return (covered.groupBy(key, "item_id", "n_tokens")
-            .agg((F.count("*") / F.col("n_tokens")).alias("coverage"), F.sum("window").alias("n_windows"), F.max("slots").alias("n_slots"),
-                 F.bool_and("same").alias("same_values"))
-            .where(F.col("coverage") >= coverage)
-            .select(key, "item_id", F.round("coverage", 6).alias("coverage"), "n_windows", "n_slots", "same_values"))
+    stretches = (covered.groupBy(key, "item_id", "n_tokens", "stretch")
+                 .agg((F.count("*") / F.col("n_tokens")).alias("coverage"), F.sum("window").alias("n_windows"), F.max("slots").alias("n_slots"),
+                      F.bool_and("same").alias("same_values"))
+                 .where(F.col("coverage") >= coverage))
+    best = F.max_by(F.struct("coverage", "n_windows", "n_slots", "same_values"), F.struct("coverage", "n_windows", "same_values", -F.col("stretch")))
+    return (stretches.groupBy(key, "item_id").agg(best.alias("b"))
+            .select(key, "item_id", F.round("b.coverage", 6).alias("coverage"), "b.n_windows", "b.n_slots", "b.same_values"))
 
 
 def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
@@ -207,4 +187,4 @@ def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", **options)
 
 def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and its coverage."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_window=True)
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -6,8 +6,8 @@ lists are merged in a tree: first within groups of tiles, then across groups, so
 holds more than a group's lists for its queries.
 
 Vectors that are null, empty, of another length than the table's commonest (the larger of equally
-common ones), or hold null or non-finite components take no part.  Ties go to the smaller id; repeated rows are candidates of their own; a
-query has fewer than k results only if there are fewer candidates.  An empty table gives no row.
+common ones), or hold null or non-finite components take no part.  Ties go to the smaller id; repeated rows are candidates of their own;
+query rows of one id are searched each for itself, equal ones once, and rows of a query's id are never its candidates; a query has fewer than k results only if there are fewer candidates.  An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pulseframe.llm.common import prepare
@@ -69,7 +70,7 @@ def numbers(n: int) -> Column:
 
 
 def best_of(scores: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
-    """Each query's k best candidates of one tile (ids ascending); ties to the smaller id."""
+    """``(query's place, id, score)``: each query's k best candidates of one tile (ids ascending); ties to the smaller id."""
     scores = np.where(queries[:, None] == ids[None, :], -np.inf, scores)
     out = []
     if scores.shape[1] > k:
@@ -77,10 +78,10 @@ def best_of(scores: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int) ->
         bound = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
     else:
         bound = np.full(len(queries), -np.inf)
-    for q, row, least in zip(queries.tolist(), scores, bound):
+    for place, (row, least) in enumerate(zip(scores, bound)):
         at = np.flatnonzero(row >= least)
         at = at[np.argsort(-row[at], kind="stable")][:k]
-        out.extend((q, int(ids[i]), int(row[i])) for i in at if row[i] > -np.inf)
+        out.extend((place, int(ids[i]), int(row[i])) for i in at if row[i] > -np.inf)
     return out
 
 
@@ -91,6 +92,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, block_rows: int = B
     2**53.  The number of tiles is queries x rows / block_rows**2, each of bounded size.
     """
     prepare(vectors.sparkSession)
+    queries = queries.dropDuplicates(["id", "v"])
     n, m = vectors.count(), queries.count()
     if n == 0 or m == 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -106,34 +108,35 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, block_rows: int = B
                 shard, q_ids, q_matrix, ids, matrix = (batch.column(c)[i].as_py() for c in range(5))
                 q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
                 a, b = np.frombuffer(q_matrix, "<f8").reshape(len(q_ids), -1), np.frombuffer(matrix, "<f8").reshape(len(ids), -1)
+                prints = np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in a], np.uint64).view(np.int64)  # tells rows of one id apart
                 # Queries in strips: the scores held at once stay near two million.
                 step = max(1, 2_000_000 // len(ids))
                 for s in range(0, len(q_ids), step):
                     found = best_of(a[s:s + step] @ b.T, q_ids[s:s + step], ids, k)
                     if found:
-                        q, v, score = (np.array(x, np.int64) for x in zip(*found))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), shard)), pa.array(q), pa.array(v), pa.array(score)],
-                                                         names=["shard", "query_id", "vec_id", "score"])
+                        row, v, score = (np.array(x, np.int64) for x in zip(*found))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), shard)), pa.array(q_ids[s + row]), pa.array(prints[s + row]), pa.array(v), pa.array(score)],
+                                                         names=["shard", "query_id", "print", "vec_id", "score"])
 
     tiles = left.join(right, ["block", "shard"]).select("shard", "q_ids", "q_matrix", "ids", "matrix")
-    lists = tiles.mapInArrow(run, "shard long, query_id long, vec_id long, score long")
+    lists = tiles.mapInArrow(run, "shard long, query_id long, print long, vec_id long, score long")
     order = [F.desc("score"), F.asc("vec_id")]
     while shards > 1:  # one level of the tree: groups of ``fan`` lists become one
         shards = -(-shards // fan)
         group = F.floor(F.col("shard") / fan).cast("long")
         lists = (lists.withColumn("shard", group)
-                 .withColumn("place", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order)))
+                 .withColumn("place", F.row_number().over(Window.partitionBy("query_id", "print", "shard").orderBy(*order)))
                  .where(f"place <= {k}").drop("place"))
-    return (lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return (lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "print").orderBy(*order)))
             .where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score"))
 
 
 ORACLE = """
 WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+s AS (SELECT q.vec_id AS query_id, q.v, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 

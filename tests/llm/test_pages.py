@@ -89,3 +89,13 @@ def test_arc_lines_of_both_versions_and_members():
         list(archives.read_arc(archives.arc_start(1) + b"\nhttp://x 0.0.0.0 2024 text/html 99\nshort\n"))
     spaced = archives.arc_start(1) + b"\nhttp://x/a b 0.0.0.0 2024 text/html 2\nok\n"
     assert next(iter(archives.read_arc(spaced)))[0][0] == "http://x/a b"
+
+
+def test_one_key_with_several_payloads(spark):
+    """Each row is one record, and refers to the record of its own payload."""
+    path = shared_path(spark, "t")
+    rows = [(5, "http://a", "A"), (5, "http://b", "B"), (9, "http://c", "A"), (10, "http://d", "B")]
+    archives.write_arc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{path}/arc")
+    archives.convert(spark, f"{path}/arc", f"{path}/warc")
+    got = sorted((r.key, r.url, r.type, r.refers_to) for r in archives.warc_records(spark, f"{path}/warc").collect())
+    assert got == [(5, "http://a", "revisit", 9), (5, "http://b", "revisit", 10), (9, "http://c", "response", None), (10, "http://d", "response", None)]

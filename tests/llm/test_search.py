@@ -111,3 +111,11 @@ def test_connected_groups_of_a_chain_and_a_star(spark):
     assert got == {i: 0 if i < 20 else 30 if i >= 30 else i for i in range(60)}
     empty = connected_groups(nodes, spark.createDataFrame([], "a long, b long"))
     assert empty.where("node <> root").count() == 0 and empty.count() == 60
+
+
+def test_one_id_with_several_vectors(spark):
+    """Each row of a repeated query id has a list of its own; equal rows have one."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (2, [2.0, 1.0]), (3, [1.0, 3.0]), (3, [1.0, 3.0])]
+    v = vector_search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1)
+    found = sorted(map(tuple, vector_search.top_k(v.where("id = 0"), v, 2, block_rows=2, fan=2).collect()))
+    assert found == [(0, 1, 2, 2), (0, 1, 3, 3), (0, 2, 3, 1), (0, 2, 3, 3)]
