@@ -309,64 +309,122 @@ def radius_join(queries: DataFrame, support: DataFrame, radius: float, *, dims:
                     *[f"q_{c}" for c in q_columns], *[f"s_{c}" for c in s_columns]))
 
 
+def _box(df: DataFrame) -> dict[str, float]:
+    return df.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{g}_{a}") for a in "xyz" for g, f in (("lo", F.min), ("hi", F.max))]).first().asDict()
+
+
+def count_pyramid(support: DataFrame, corner: dict[str, float], side: float, levels: int) -> DataFrame:
+    """``level, cx, cy, cz, n, lo_*, hi_*``: occupied cells of side ``side * 2**level`` with their points and extent."""
+    finest = [F.floor((F.col(a) - F.lit(corner[a])) / F.lit(side)).cast("long").alias(f"c{a}") for a in "xyz"]
+    cells = support.groupBy(*finest).agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{g}_{a}") for a in "xyz" for g, f in (("lo", F.min), ("hi", F.max))])
+    cells = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    above = [F.expr(f"shiftright(c{a}, level)").alias(f"c{a}") for a in "xyz"]
+    return (cells.groupBy("level", *above).agg(F.sum("n").alias("n"), *[f(f"{g}_{a}").alias(f"{g}_{a}") for a in "xyz" for g, f in (("lo", F.min), ("hi", F.max))]))
+
+
+def _own_levels(todo: DataFrame, pyramid: DataFrame, corner: dict[str, float], side: float, levels: int, enough: int) -> DataFrame:
+    """Query rows with the ``level`` of the smallest cell around them that holds ``enough`` points, and what its sphere may hold at most (``near``)."""
+    cells = [F.floor((F.col(a) - F.lit(corner[a])) / F.lit(side)).cast("long").alias(f"f{a}") for a in "xyz"]
+    placed = todo.select("*", *cells)
+    own = placed.select("fx", "fy", "fz").distinct()
+    ladder = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({f"c{a}": F.expr(f"shiftright(f{a}, level)") for a in "xyz"})
+    full = pyramid.where(F.col("n") >= enough).select("level", "cx", "cy", "cz")
+    level = ladder.join(full, ["level", "cx", "cy", "cz"]).groupBy("fx", "fy", "fz").agg(F.min("level").alias("level"))
+    # A sphere of 1.74 sides lies within the cells of double side around the query's.
+    around = (level.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(26)))).withColumn("up", F.col("level") + 1)
+              .select("fx", "fy", "fz", "level", F.col("up").alias("l2"), *[F.expr(f"shiftright(f{a}, up) + (k div {3 ** i}) % 3 - 1").alias(f"c{a}") for i, a in enumerate("xyz")]))
+    near = (around.join(pyramid.select(F.col("level").alias("l2"), "cx", "cy", "cz", "n"), ["l2", "cx", "cy", "cz"])
+            .groupBy("fx", "fy", "fz", "level").agg(F.sum("n").alias("near")))
+    return placed.join(near, ["fx", "fy", "fz"], "left").drop("fx", "fy", "fz")
+
+
+def _descended(crowded: DataFrame, support: DataFrame, pyramid: DataFrame, corner: dict[str, float], side: float, levels: int, enough: int) -> DataFrame:
+    """``q_id, s_id, d2``: candidates of queries whose spheres would hold too many, found by going down the pyramid.
+
+    A query keeps the cells that begin no farther than the distance within which the cells seen so far hold ``enough`` points for certain.
+    """
+    gap = " + ".join(f"pow(greatest(lo_{a} - q_{a}, q_{a} - hi_{a}, 0.0D), 2)" for a in "xyz")
+    far = " + ".join(f"pow(greatest(hi_{a} - q_{a}, q_{a} - lo_{a}), 2)" for a in "xyz")
+    front = crowded.select(F.col("point_id").alias("q_id"), *[F.col(a).cast("double").alias(f"q_{a}") for a in "xyz"], *[F.lit(0).cast("long").alias(f"p{a}") for a in "xyz"])
+    query = ["q_id", "q_x", "q_y", "q_z"]
+    reached = Window.partitionBy("q_id").orderBy("far").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    for level in range(levels, -1, -1):
+        cells = pyramid.where(F.col("level") == level).withColumns({f"p{a}": F.expr(f"shiftright(c{a}, 1)") if level < levels else F.lit(0).cast("long") for a in "xyz"})
+        seen = (front.join(cells, ["px", "py", "pz"]).selectExpr(*query, "cx", "cy", "cz", "n", f"{gap} AS gap", f"{far} AS far")
+                .withColumn("held", F.sum("n").over(reached)))
+        bound = F.min(F.when(F.col("held") >= enough, F.col("far"))).over(Window.partitionBy("q_id"))
+        front = cut_lineage(seen.withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("gap") <= F.col("bound") * (1 + 1e-9)))
+                            .select(*query, *[F.col(f"c{a}").alias(f"p{a}") for a in "xyz"]))
+    cell = [F.floor((F.col(a) - F.lit(corner[a])) / F.lit(side)).cast("long").alias(f"p{a}") for a in "xyz"]
+    points = support.select(F.col("point_id").alias("s_id"), *[F.col(a).cast("double").alias(f"s_{a}") for a in "xyz"], *cell)
+    d2 = " + ".join(f"(s_{a} - q_{a}) * (s_{a} - q_{a})" for a in "xyz")
+    return front.join(points, ["px", "py", "pz"]).selectExpr("q_id", "s_id", f"{d2} AS d2")
+
+
 def knn_join(queries: DataFrame, support: DataFrame, k: int, *, start_radius: float | None = None,
-             positive_only: bool = False, max_rounds: int = 64) -> DataFrame:
+             positive_only: bool = False, crowded: int = CROWDED) -> DataFrame:
     """The ``k`` nearest support points per query, ties by id: ``q_id, s_id, d2, rank``.
 
-    Each round searches one radius.  A query with at least ``k`` hits inside it is
-    finished, because no closer point can lie outside; only the others go on with
-    a doubled radius.  ``positive_only`` skips coincident points.
+    One search at the radius that the mean density suggests finishes most queries: with ``k`` hits inside it no closer point
+    can lie outside.  For the others a pyramid of cell counts tells how far each must look: the smallest
+    cell around a query that holds enough points.  They are searched once more, level by level, each with its own radius.  A query
+    whose sphere would hold more than ``crowded`` points (a far one before a dense place, say) goes down the pyramid instead and opens only the
+    cells in which its nearest points can lie.  ``positive_only`` skips coincident points.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    box = support.agg(F.count(F.lit(1)).alias("n"),
-                      *[f(a).alias(f"{g}_{a}") for a in "xyz" for g, f in (("lo", F.min), ("hi", F.max))]).first()
-    if not box.n:
+    box = _box(support)
+    if not box["n"]:
         raise ValueError("support is empty")
+    q_box = _box(queries)
+    both = {a: (min(v for v in (box[f"lo_{a}"], q_box[f"lo_{a}"]) if v is not None), max(v for v in (box[f"hi_{a}"], q_box[f"hi_{a}"]) if v is not None)) for a in "xyz"}
+    reach = math.sqrt(sum((hi - lo) ** 2 for lo, hi in both.values())) or 1.0
     ex, ey, ez = (float(box[f"hi_{a}"] - box[f"lo_{a}"]) for a in "xyz")
-    q_box = queries.agg(*[f(a).alias(f"{g}_{a}") for a in "xyz" for g, f in (("lo", F.min), ("hi", F.max))]).first()
-    if q_box["lo_x"] is None:
-        reach = 1.0
-    else:
-        reach = math.sqrt(sum((max(box[f"hi_{a}"], q_box[f"hi_{a}"]) - min(box[f"lo_{a}"], q_box[f"lo_{a}"])) ** 2
-                              for a in "xyz")) or 1.0
     if start_radius is None:
         area = max(ex * ey, max(ex, ey, ez) ** 2 * 1e-3) or 1.0
-        start_radius = math.sqrt(2.0 * (k + 1) * area / (math.pi * box.n))
+        start_radius = math.sqrt(2.0 * (k + 1) * area / (math.pi * box["n"]))
     radius = min(start_radius, reach)
     # Where points crowd, the mean density suggests too wide a start: begin finer, so that
-    # crowded queries finish early and only sparse ones see the wider rounds.
+    # crowded queries finish early.
     plan = plan_neighbourhood(support, radius, max_candidates=None)
     for _ in range(12):
-        if plan.max_candidates <= max(CROWDED, 100 * k):
+        if plan.max_candidates <= max(crowded, 100 * k):
             break
         radius /= 4.0
         plan = plan_neighbourhood(support, radius, max_candidates=None)
-    todo, done, found = queries.select("point_id", "x", "y", "z"), [], None
-    for turn in range(max_rounds):
-        if turn:
-            plan = plan_neighbourhood(support, radius, max_candidates=None)
-        pairs = paired(as_queries(todo), as_support(support.select("point_id", "x", "y", "z")), plan, bool(done))
+    columns = ["point_id", "x", "y", "z"]
+    support = support.select(*columns)
+
+    def best(pairs: DataFrame, *by: str) -> DataFrame:
         pairs = pairs.where(F.col("q_id") != F.col("s_id"))
         if positive_only:
             pairs = pairs.where(F.col("d2") > 0)
-        order = Window.partitionBy(*plan.unit, "q_id").orderBy("d2", "s_id")
-        ranked = (pairs.select(*plan.unit, "q_id", "s_id", "d2")
-                  .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-                  .select("q_id", "s_id", "d2", "rank"))
-        last = radius >= reach
-        if last:
-            done.append(ranked)
-            break
-        ranked = cut_lineage(ranked)
-        full = ranked.where(F.col("rank") == k).select("q_id")
-        done.append(ranked.join(full, "q_id", "left_semi"))
-        todo = cut_lineage(todo.join(full, todo.point_id == full.q_id, "left_anti"))
-        if todo.isEmpty():
-            break
-        radius = min(radius * 2.0, reach)
-    else:
-        raise RuntimeError("nearest-neighbour search did not finish; raise start_radius")
-    for part in done:
-        found = part if found is None else found.unionByName(part)
+        order = Window.partitionBy(*by, "q_id").orderBy("d2", "s_id")
+        return (pairs.select(*by, "q_id", "s_id", "d2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                .select("q_id", "s_id", "d2", "rank"))
+
+    def within(rows: DataFrame, plan: NeighbourPlan, few: bool) -> DataFrame:
+        return best(paired(as_queries(rows), as_support(support), plan, few), *plan.unit)
+
+    first = cut_lineage(within(queries.select(*columns), plan, False))
+    full = first.where(F.col("rank") == k).select("q_id")
+    todo = cut_lineage(queries.select(*columns).join(full, F.col("point_id") == F.col("q_id"), "left_anti"))
+    if todo.isEmpty():
+        return first
+    found = first.join(full, "q_id", "left_semi")
+    # The query itself and points in its place may be among those counted: one more is needed, of different places if asked for.
+    counted = support.dropDuplicates(["x", "y", "z"]) if positive_only else support
+    corner = {a: lo for a, (lo, _) in both.items()}
+    side = radius / 2.0
+    levels = max(1, math.ceil(math.log2(max(hi - lo for lo, hi in both.values()) / side + 1)) + 1)
+    pyramid = cut_lineage(count_pyramid(counted, corner, side, levels))
+    todo = cut_lineage(_own_levels(todo, pyramid, corner, side, levels, k + 1))
+    # Without enough points anywhere every point is a neighbour.
+    easy = todo.where(F.col("near") <= max(crowded, 100 * k))
+    for level in sorted(r.level for r in easy.select("level").distinct().collect()):  # one row per level
+        r = min(side * 2 ** level * math.sqrt(3.0) * (1 + 1e-9), reach)
+        found = found.unionByName(within(easy.where(F.col("level") == level).select(*columns), plan_neighbourhood(support, r), True))
+    hard = todo.where(F.col("near").isNull() | (F.col("near") > max(crowded, 100 * k))).select(*columns)
+    if not hard.isEmpty():
+        found = found.unionByName(best(_descended(hard, support, pyramid, corner, side, levels, k + 1)))
     return found
