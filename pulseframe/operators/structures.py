@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pulseframe.functions.scalar import finite_or_null
 from pulseframe.operators.neighbours import cell_index
@@ -73,14 +75,35 @@ def patches(df: DataFrame, rules: StructureRules = StructureRules()) -> DataFram
             .agg(F.count_if(wall).alias("wall"), F.count_if(roof).alias("roof")))
 
 
-def components(cells: DataFrame, kind: str | None = None, *, max_rounds: int = 60) -> DataFrame:
+BLOCK = 32  # voxels along a block
+HALF = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
+
+
+def joined_sets(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Disjoint sets of ``0..n-1`` under the edges ``a, b``: each element's smallest member.
+
+    Roots hang on smaller roots, then every path is halved; all edges move at once.
+    """
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        open_ = low != high
+        if not open_.any():
+            return root
+        np.minimum.at(root, high[open_], low[open_])
+        while not np.array_equal(shorter := root[root], root):
+            root = shorter
+        a, b = a[open_], b[open_]
+
+
+def components(cells: DataFrame, kind: str | None = None, *, block: int = BLOCK, max_rounds: int = 60) -> DataFrame:
     """26-neighbour connected components of voxels: ``vx, vy, vz, component``.
 
     ``kind`` (a small integer column) keeps sets of voxels apart, so that several
-    sets are labelled in one run.  Star contraction: each round hangs every node on
-    the smallest node it can see, first for its larger neighbours, then for its
-    smaller ones.  The number of rounds grows with the logarithm of the size, group
-    minima combine on the map side, and no component is ever gathered in one place.
+    sets are labelled in one run.  Voxels meet in spatial blocks, where disjoint sets join them in
+    one task.  Only edges between blocks are left, and of those only what they say of the blocks' sets: these few are settled by star
+    contraction, whose minima combine on the map side.  A component of any size is never gathered.
     Fails, rather than returning partial labels, when ``max_rounds`` does not suffice.
     """
     key = ([kind] if kind else []) + list(VOXEL)
@@ -97,13 +120,42 @@ def components(cells: DataFrame, kind: str | None = None, *, max_rounds: int = 6
     if kind:
         text = f"(({kind} - {box[f'lo_{kind}']}L) * {nx}L + {text})"
     number = F.expr(f"({text} * {ny}L + (vy - {box.lo_vy - 1}L)) * {nz}L + (vz - {box.lo_vz - 1}L)")
-
-    nodes = cut_lineage(cells.withColumn("u", number))
-    # Half of the 26 offsets; the other half is the same edge seen from its far end.
-    half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
-    steps = F.array(*[F.lit(i * ny * nz + j * nz + k).cast("long") for i, j, k in half])
-    far = nodes.select("u", F.explode(steps).alias("step")).select("u", (F.col("u") + F.col("step")).alias("v"))
-    edges = cut_lineage(far.join(nodes.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v"))
+    steps = [i * ny * nz + j * nz + k for i, j, k in HALF]
+
+    def label(table: pa.Table) -> pa.Table:
+        u = table.column("u").to_numpy()
+        order = np.argsort(u)
+        numbers, ends = u[order], []
+        for step in steps:
+            at = np.minimum(np.searchsorted(numbers, numbers + step), len(numbers) - 1)
+            near = np.flatnonzero(numbers[at] == numbers + step)
+            ends.append((near, at[near]))
+        root = joined_sets(len(numbers), *(np.concatenate(e) for e in zip(*ends)))
+        found = np.empty(len(u), np.int64)
+        found[order] = numbers[root]
+        return table.select([*key, "u"]).append_column("part", pa.array(found))
+
+    numbered = cells.withColumn("u", number)
+    of_block = [F.floor(F.col(v) / block).alias(f"b{v}") for v in VOXEL]
+    schema = T.StructType([*[f for f in numbered.schema.fields], T.StructField("part", T.LongType())])
+    nodes = cut_lineage(numbered.groupBy(*([kind] if kind else []), *of_block).applyInArrow(label, schema))
+    # Edges that leave a block, between the sets they join.
+    rim = " OR ".join(f"pmod({v}, {block}) IN (0, {block - 1})" for v in VOXEL)
+    border = nodes.where(rim)
+    offsets = F.array(*[F.struct(*[F.lit(o).alias(f"o{v}") for o, v in zip(h, VOXEL)], F.lit(s).cast("long").alias("step")) for h, s in zip(HALF, steps)])
+    leaves = " OR ".join(f"floor(({v} + o.o{v}) / {block}) <> floor({v} / {block})" for v in VOXEL)
+    out = border.withColumn("o", F.explode(offsets)).where(leaves).select(F.col("part").alias("a"), (F.col("u") + F.col("o.step")).alias("v"))
+    edges = cut_lineage(out.join(border.select(F.col("u").alias("v"), F.col("part").alias("b")), "v").where("a <> b")
+                        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.isEmpty():
+        return nodes.select(*key, F.col("part").alias("component"))
+    roots = _star_roots(edges, max_rounds)
+    return nodes.join(roots, "part", "left").select(*key, F.coalesce("component", "part").alias("component"))
+
+
+def _star_roots(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """``part, component`` of the ends of ``edges(u, v)``: each round hangs every node on the smallest it can see, first
+    for its larger neighbours, then for its smaller ones."""
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -117,8 +169,7 @@ def components(cells: DataFrame, kind: str | None = None, *, max_rounds: int = 6
             edges.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
         loose = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 OR (hangs = 1 AND holds = 1)")
         if loose.isEmpty():
-            roots = edges.select("u", F.col("v").alias("component"))
-            return nodes.join(roots, "u", "left").select(*key, F.coalesce("component", "u").alias("component"))
+            return edges.select(F.col("u").alias("part"), F.col("v").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
