@@ -1,16 +1,16 @@
 """Main text of web pages by two passes of block rules.
 
-The page is cut into blocks at block-level tags.  First pass, each block on its own: its
-surroundings (the article, or a menu, footer, form, advert and the like by tag or by class),
-density of links, density of stop words and length make it good, bad, nearly good or short.
+The page is cut into blocks at block-level tags.  First pass, each block on its own: density of links, density of
+stop words and length make it good, bad, nearly good or short; elements that are menus, footers, forms, adverts
+and the like by tag, or that a whole class word, id or role names so, are outside.  An article element is one feature among
+these: inside it fewer stop words and letters are asked for, beside it no block can be better than nearly good.
 Second pass: nearly good blocks stay beside good ones, short blocks between good ones or between one
-and the page's edge or its surroundings; headings go with good text that follows.  Where no block
-is good, the nearly good ones are, else the short ones.  In a page with an article element its
-blocks are decided as good, whatever their length, and what is outside of it is not the article.
+and an edge (of the page, of the article or of what is outside); headings go with good text that follows.  Where no block
+is good, the nearly good ones are, else the short ones (of the article, if there is one).
 
 Text is decoded once, white space in a block is one space, blocks are joined by a line feed.
 A null or empty page has an empty text; unclosed elements end with the page; repeated rows
-give repeated results.
+give repeated results; an empty table gives no row.  Rows with a null id or address are kept.
 """
 
 from __future__ import annotations
@@ -37,10 +37,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OUTSIDE = frozenset("aside button dialog footer form head menu nav".split())
 NESTED = BLOCKS - VOID - frozenset("p li dd dt td th tr option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words in class, id or role that mark what is not the article.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|"
-                   r"footer|header|masthead|comments?|disqus|replies|respond|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|"
-                   r"signup|share|sharing|social|related|recommended|toolbar|pagination|pager|widget|login|search|complementary)(?:$|[\s_-]|\d)", re.I)
+ITEMS = frozenset("p li dd dt td th".split())
+# Words of a class, id or role that name what is not the article; a word of what an element merely has or lacks doesn't count.
+MARKS = re.compile(r"(?<![^\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|"
+                   r"footer|comments?|disqus|replies|respond|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|"
+                   r"signup|share|sharing|social|related|recommended|toolbar|pagination|pager|widget|login|search|complementary)(?![^\s_\d-])", re.I)
+HEAD_MARKS = re.compile(r"(?<![^\s_-])(?:header|masthead)(?![^\s_\d-])", re.I)
+OWNED = re.compile(r"(?:^|[_-])(?:has|have|with|without|no|not|non|hide|hides)[_-]", re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 # Frequent words of the languages read.
@@ -68,13 +71,15 @@ def blocks_of(page: str) -> list[tuple[str, int, str, bool, bool]]:
     """``text, letters in links, tag, in the article, in menus and the like`` of each block that has text."""
     found, stack, links = [], [], 0
     state = [False, False]  # in the article; outside it
+    seen = False  # an article or main element
+    items: dict[int, tuple[str, bool]] = {}  # the open paragraph or list item of each depth, and whether it is outside
     block = Block("", False, False)
 
     def end(tag: str = "") -> Block:
         text = " ".join(html.unescape("".join(block.parts)).split())
         if text:
             found.append((text, block.linked, block.tag, block.inside, block.outside))
-        return Block(tag, *state)
+        return Block(tag, state[0], state[1] or any(i[1] for i in items.values()))
 
     def add(text: str) -> None:
         if text:
@@ -97,6 +102,11 @@ def blocks_of(page: str) -> list[tuple[str, int, str, bool, bool]]:
             links = max(0, links - 1) if closes else links + 1
         elif tag in BLOCKS:
             links = 0
+            rest, depth = m["rest"] or m["rest2"] or "", len(stack)
+            if tag in ITEMS or items.get(depth, ("",))[0] == "p":
+                items.pop(depth, None)  # a paragraph ends at any block, an item at the next or at its end
+            if tag in ITEMS and not closes:
+                items[depth] = tag, marked(rest, state[0])
             if tag in NESTED:
                 if closes:
                     if any(s[0] == tag for s in stack):
@@ -105,9 +115,11 @@ def blocks_of(page: str) -> list[tuple[str, int, str, bool, bool]]:
                             state = was
                             if name == tag:
                                 break
+                        items = {d: i for d, i in items.items() if d <= len(stack)}
                 else:
                     stack.append((tag, state))
-                    state = enter(tag, m["rest"] or m["rest2"] or "", *state)
+                    state = enter(tag, rest, *state, first=not seen)
+                    seen = seen or tag in ("article", "main")
             block = end("" if closes else tag)
     if at < len(page):
         add(page[at:])
@@ -115,55 +127,71 @@ def blocks_of(page: str) -> list[tuple[str, int, str, bool, bool]]:
     return found
 
 
-def enter(tag: str, rest: str, inside: bool, outside: bool) -> list[bool]:
-    """Whether a nested element's text is in the article, and in what is not the article."""
+def marked(rest: str, inside: bool) -> bool:
+    """Whether an element's attributes hide it or name it as something else than the article."""
+    if not rest:
+        return False
+    if HIDDEN.search(rest):
+        return True
+    words = [w for _, v in ATTRIBUTE.findall(rest) for w in v.strip("\"'").split() if not OWNED.search(w)]
+    return any(MARKS.search(w) or (not inside and HEAD_MARKS.search(w)) for w in words)
+
+
+def enter(tag: str, rest: str, inside: bool, outside: bool, first: bool = True) -> list[bool]:
+    """Whether a nested element's text is in the article, and in what is not the article.
+
+    The page's first article or main element is taken out of whatever class words its surroundings have.
+    """
     if tag in ("article", "main"):
-        inside = True
-    elif tag in OUTSIDE or tag == "header" and not inside:
+        return [True, outside and not first or not first and marked(rest, True)]
+    if tag in OUTSIDE or tag == "header" and not inside:
+        outside = True
+    if tag not in ("html", "body") and tag not in HEADINGS and marked(rest, inside):
+        outside = True
+    if tag in HEADINGS and rest and HIDDEN.search(rest):
         outside = True
-    if rest and tag not in ("html", "body", "article", "main"):
-        if HIDDEN.search(rest) or any(MARKS.search(v.strip("\"'")) for _, v in ATTRIBUTE.findall(rest)):
-            outside = True
     return [inside, outside]
 
 
 def alone(text: str, linked: int, tag: str, inside: bool, outside: bool, has_article: bool) -> str:
     """The first pass: a block's label by itself."""
-    if outside or has_article and not inside:
+    if outside:
         return OUT
-    if inside:
-        return GOOD
-    links = linked / len(text)
-    if links > 0.3:
+    links, beside = linked / len(text), has_article and not inside
+    if links > (0.6 if inside else 0.3):
         return BAD
-    if tag in HEADINGS or len(text) < 70:
-        return BAD if links > 0 else SHORT
+    if tag in HEADINGS or len(text) < (25 if inside else 70):
+        return BAD if links > 0 and not inside else SHORT
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if stops >= 0.32:
-        return GOOD if len(text) > 200 else NEAR
-    return NEAR if stops >= 0.15 or not linked else BAD  # lists, tables, code and other languages have few stop words
+    if stops >= (0.1 if inside else 0.32) and not beside:
+        return GOOD if inside or len(text) > 200 else NEAR
+    return NEAR if inside or stops >= 0.15 or not linked else BAD  # lists, tables, code and other languages have few stop words
 
 
-def with_neighbours(labels: list[str], tags: list[str]) -> list[bool]:
-    """The second pass: which blocks are kept once undecided ones have looked at their neighbours."""
+def with_neighbours(labels: list[str], tags: list[str], inside: list[bool]) -> list[bool]:
+    """The second pass: which blocks are kept once undecided ones have looked at their neighbours on the same side of the article's edge."""
     n = len(labels)
     if GOOD not in labels:  # no better block: the best of the undecided are the text
-        best = NEAR if NEAR in labels else SHORT
-        labels = [GOOD if label == best and (best == NEAR or tag not in HEADINGS) else label for label, tag in zip(labels, tags)]
-    before, after, last = [OUT] * n, [OUT] * n, OUT  # a page's edge is like what is outside
-    for i in range(n):
-        before[i] = last
-        last = labels[i] if labels[i] in (GOOD, BAD, OUT) else last
-    last = OUT
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = labels[i] if labels[i] in (GOOD, BAD, OUT) else last
-    out = []
+        where = any(i and label in (NEAR, SHORT) for i, label in zip(inside, labels))
+        best = NEAR if any(label == NEAR and i == where for i, label in zip(inside, labels)) else SHORT
+        labels = [GOOD if label == best and i == where and (best == NEAR or tag not in HEADINGS) else label for label, tag, i in zip(labels, tags, inside)]
+
+    def nearest(order) -> list[str]:
+        out, last, side = [OUT] * n, OUT, None
+        for i in order:
+            if side != inside[i]:  # an edge is like what is outside
+                last, side = OUT, inside[i]
+            out[i] = last
+            # Adverts and the like inside an article don't part its blocks.
+            last = labels[i] if labels[i] in (GOOD, BAD) or labels[i] == OUT and not inside[i] else last
+        return out
+
+    before, after, out = nearest(range(n)), nearest(range(n - 1, -1, -1)), []
     for i, label in enumerate(labels):
         sides = (before[i] == GOOD) + (after[i] == GOOD)
         if label == SHORT and tags[i] in HEADINGS:
-            out.append(after[i] == GOOD)
+            out.append(after[i] == GOOD or inside[i] and before[i] == GOOD)
         elif label == SHORT:
             out.append(sides == 2 or sides == 1 and OUT in (before[i], after[i]))
         elif label == NEAR:
@@ -177,7 +205,7 @@ def main_text(page: str) -> str:
     found = blocks_of(page)
     has_article = any(b[3] and not b[4] for b in found)
     labels = [alone(*b, has_article) for b in found]
-    keep = with_neighbours(labels, [b[2] for b in found])
+    keep = with_neighbours(labels, [b[2] for b in found], [b[3] for b in found])
     return "\n".join(b[0] for b, k in zip(found, keep) if k)
 
 
