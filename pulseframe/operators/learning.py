@@ -5,15 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from pulseframe.functions.scalar import finite_or_null
-from pulseframe.operators import metrics
+from pulseframe.operators import fitting, metrics
 from pulseframe.operators.attach import assert_disjoint, buffer_exclude
 from pulseframe.operators.ranking import exact_quantiles, smallest_per_group
 from pulseframe.operators.selection import mix
@@ -162,21 +163,21 @@ class TrainedModel:
     features: list[str]
     classes: list[int]
     prep: Preprocessor | None
-    calibrated: bool = True
 
 
 KINDS = ("random_forest", "boosted_trees", "multilayer")
-REPEAT = 50  # copies of a rare class's row at most when weights must be copies
+# Depth of trees where none is asked for.
+DEPTH = {"random_forest": 10, "boosted_trees": 6}
 
 
 def train_classifier(train: DataFrame, features: list[str], kind: str = "random_forest", *, label: str = "classification",
-                     impute: bool = False, balanced: bool = True, trees: int = 50, depth: int = 10, min_leaf: int = 1,
+                     impute: bool = False, balanced: bool = True, trees: int = 50, depth: int | None = None, min_leaf: int = 1,
                      criterion: str = "gini", iterations: int = 20, hidden: tuple[int, ...] | None = None, max_features: str = "auto", step: float = 0.1,
-                     subsample: float = 1.0, seed: int = 42) -> TrainedModel:
+                     subsample: float = 1.0, column_sample: float = 1.0, seed: int = 42) -> TrainedModel:
     """Fit a classifier on rows with finite features (or imputed ones).
 
-    ``balanced`` weights classes inversely to their size.  The network takes no weights: rows of
-    a class are repeated instead, up to ``REPEAT`` times.
+    ``balanced`` weights classes inversely to their size, whatever the ratio.  ``iterations`` are rounds of boosting
+    or steps of the network.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown classifier {kind!r}")
@@ -191,25 +192,20 @@ def train_classifier(train: DataFrame, features: list[str], kind: str = "random_
     index = F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, float(i))])
     weight = F.create_map(*[F.lit(v) for c in classes for v in (c, total / (len(classes) * counts[c]) if balanced else 1.0)])
     ready = prep.apply(train).withColumns({"_y": F.try_element_at(index, F.col(label)), "_w": F.try_element_at(weight, F.col(label))})
-    ready = VectorAssembler(inputCols=prep.columns, outputCol="_x", handleInvalid="skip").transform(ready).select("_x", "_y", "_w")
-    common = dict(featuresCol="_x", labelCol="_y")
     if kind == "random_forest":
-        fitted = RandomForestClassifier(**common, weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
+        ready = VectorAssembler(inputCols=prep.columns, outputCol="_x", handleInvalid="skip").transform(ready).select("_x", "_y", "_w")
+        fitted = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, maxDepth=depth or DEPTH[kind], minInstancesPerNode=min_leaf,
                                         impurity=criterion, featureSubsetStrategy=max_features, seed=seed).fit(ready)
-    elif kind == "boosted_trees":
-        one = GBTClassifier(**common, maxIter=iterations, maxDepth=depth, stepSize=step, subsamplingRate=subsample, weightCol="_w", seed=seed)
-        fitted = OneVsRest(classifier=one, weightCol="_w", **common).fit(ready)
+        return TrainedModel(kind, fitted, list(features), classes, prep)
+    whole = ready.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in prep.columns]))
+    rows = cut_lineage(whole.select(F.array(*[F.col(c).cast("double") for c in prep.columns]).alias("x"), F.col("_y").cast("int").alias("y"), F.col("_w").alias("w")))
+    if kind == "boosted_trees":
+        fitted = fitting.fit_boosted(rows, len(classes), len(prep.columns), rounds=iterations, depth=depth or DEPTH[kind], rate=step, subsample=subsample,
+                                     column_sample=column_sample, seed=seed)
     else:
         wide = max(32, min(256, 4 * len(prep.columns)))
-        layers = [len(prep.columns), *(hidden or (wide, wide // 2)), len(classes)]
-        if balanced:
-            share = F.col("_w") / F.lit(min(total / (len(classes) * c) for c in counts.values()))
-            whole = F.least(F.floor(share), F.lit(REPEAT)).cast("int")
-            # The fraction left over is drawn by a repeatable hash of the row.
-            more = (F.pmod(F.xxhash64(vector_to_array("_x"), F.lit(seed)), F.lit(1000)) < (share - F.floor(share)) * 1000).cast("int")
-            ready = ready.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(whole + more, F.lit(REPEAT))))).drop("_n")
-        fitted = MultilayerPerceptronClassifier(**common, layers=layers, maxIter=iterations, seed=seed).fit(ready)
-    return TrainedModel(kind, fitted, list(features), classes, prep, calibrated=kind != "boosted_trees")
+        fitted = fitting.fit_network(rows, [len(prep.columns), *(hidden or (wide, wide // 2)), len(classes)], iterations=iterations, seed=seed)
+    return TrainedModel(kind, fitted, list(features), classes, prep)
 
 
 def argmax_class(probabilities: Column, classes: list[int]) -> Column:
@@ -229,16 +225,12 @@ def predict(model: TrainedModel, df: DataFrame, features: list[str] | None = Non
     ready = prep.apply(df.select("point_id", *model.features))
     usable = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in prep.columns])
     ready = ready.withColumn("_ok", usable).na.fill(0.0, prep.columns)
-    vectors = VectorAssembler(inputCols=prep.columns, outputCol="_x").transform(ready)
-    scored = model.model.transform(vectors)
-    if model.kind == "boosted_trees":
-        raw = vector_to_array(F.col("rawPrediction"))
-        sig = F.transform(raw, lambda v: 1.0 / (1.0 + F.exp(-2.0 * v)))
-        scored = scored.withColumn("_s", sig)
-        probs = F.transform("_s", lambda v: v / F.aggregate("_s", F.lit(0.0), lambda a, b: a + b))
+    if model.kind == "random_forest":
+        vectors = VectorAssembler(inputCols=prep.columns, outputCol="_x").transform(ready)
+        scored = model.model.transform(vectors).select("point_id", "_ok", vector_to_array(F.col("probability")).alias("probabilities"))
     else:
-        probs = vector_to_array(F.col("probability"))
-    scored = scored.select("point_id", "_ok", probs.alias("probabilities"))
+        scored = ready.select("point_id", "_ok", F.array(*[F.col(c).cast("double") for c in prep.columns]).alias("x")).select(
+            "point_id", "_ok", model.model.column("x").alias("probabilities"))
     best = F.array_max("probabilities")
     return scored.select(
         "point_id", F.when(F.col("_ok"), argmax_class(F.col("probabilities"), model.classes)).otherwise(-1).cast("smallint").alias("pred_class"),
@@ -308,7 +300,7 @@ def cluster(df: DataFrame, features: list[str], k: int, algorithm: str = "kmeans
             ground: str | None = None, seed: int = 42) -> DataFrame:
     """Add ``cluster_id, cluster_confidence``.
 
-    ``algorithm``: kmeans, hierarchical (bisecting) or mixture.  The fit uses all
+    ``algorithm``: kmeans, hierarchical (clustering features) or mixture (diagonal covariances).  The fit uses all
     rows without ground; columns empty there are ignored; the rest is imputed by the median and
     standardised.
     """
@@ -332,19 +324,20 @@ def cluster(df: DataFrame, features: list[str], k: int, algorithm: str = "kmeans
     scaled = prep.apply(inner)
     restored = {f: F.col(f"_in_{f}") for f in active}
     drop = ["_usable", "_x", "_raw", "_conf", "_d", *[f"_in_{f}" for f in active], *[f"{f}_missing" for f in prep.indicators]]
+    rows = fit_on.select(vector_to_array("_x").alias("x"))
     if algorithm == "mixture":
-        fitted = GaussianMixture(featuresCol="_x", k=k, seed=seed, maxIter=200).fit(fit_on)
-        scored = fitted.setPredictionCol("_raw").setProbabilityCol("_p").transform(assembler.transform(scaled))
-        scored = scored.withColumn("_conf", F.array_max(vector_to_array(F.col("_p")))).drop("_p")
+        starts = [np.array(KMeans(featuresCol="_x", k=k, seed=seed + i).fit(fit_on).clusterCenters()) for i in range(2)]
+        fitted = fitting.fit_mixture(cut_lineage(rows), starts)
+        scored = scaled.withColumn("_x", F.array(*prep.columns)).withColumn("_d", fitted.column("_x"))
+        scored = scored.withColumn("_conf", F.array_max("_d")).withColumn("_raw", F.array_position("_d", F.col("_conf")).cast("int") - 1)
     elif algorithm in ("kmeans", "hierarchical"):
-        method = KMeans(featuresCol="_x", k=k, seed=seed) if algorithm == "kmeans" else BisectingKMeans(featuresCol="_x", k=k, seed=seed)
-        fitted = method.fit(fit_on)
         if algorithm == "kmeans":
-            scored = scaled.withColumn("_d", centre_distances(prep.columns, fitted.clusterCenters()))
-            scored = scored.withColumn("_raw", F.array_position("_d", F.array_min("_d")).cast("int") - 1)
+            centres = KMeans(featuresCol="_x", k=k, seed=seed).fit(fit_on).clusterCenters()
+            scored = scaled.withColumn("_d", centre_distances(prep.columns, centres))
         else:
-            scored = fitted.setPredictionCol("_raw").transform(assembler.transform(scaled))
-            scored = scored.withColumn("_d", centre_distances(prep.columns, fitted.clusterCenters()))
+            # Distance to the nearest leaf of each cluster.
+            scored = scaled.withColumn("_x", F.array(*prep.columns)).withColumn("_d", fitting.fit_leaves(rows, k, len(prep.columns)).column("_x"))
+        scored = scored.withColumn("_raw", F.array_position("_d", F.array_min("_d")).cast("int") - 1)
         ordered = F.array_sort("_d")
         ratio = F.get(ordered, F.lit(0)) / F.greatest(F.get(ordered, F.lit(1)), F.lit(1e-12))
         scored = scored.withColumn("_conf", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - ratio)))

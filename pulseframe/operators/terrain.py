@@ -420,6 +420,21 @@ def terrain_preset(name: str, complexity: str = "medium", microrelief: str = "me
     return out
 
 
+def preset_surfaces(df: DataFrame, presets: dict[str, dict]) -> DataFrame:
+    """What each preset makes of a cloud: ``preset, cells, mean_low, near_ground``.
+
+    ``cells`` of the preset's resolution hold points, ``mean_low`` is the mean of their lowest heights, and ``near_ground`` points
+    lie no more than the preset's threshold above the lowest of their cell.
+    """
+    each = F.array(*[F.struct(F.lit(n).alias("preset"), F.lit(float(p["resolution"])).alias("step"), F.lit(float(p["threshold"])).alias("limit"))
+                     for n, p in presets.items()])
+    placed = (df.select("x", "y", "z", F.inline(each)).withColumns({"col": F.floor(F.col("x") / F.col("step")), "row": F.floor(F.col("y") / F.col("step"))}))
+    lows = placed.groupBy("preset", "col", "row").agg(F.min("z").alias("low"))
+    cells = lows.groupBy("preset").agg(F.count(F.lit(1)).alias("cells"), F.avg("low").alias("mean_low"))
+    near = placed.join(lows, ["preset", "col", "row"]).groupBy("preset").agg(F.count_if(F.col("z") - F.col("low") <= F.col("limit")).alias("near_ground"))
+    return cells.join(near, "preset").select("preset", "cells", "mean_low", "near_ground")
+
+
 def outliers_sor(df: DataFrame, k: int = 6, sigma: float = 1.0) -> DataFrame:
     """Add ``mean_distance`` and ``is_outlier``: mean k-NN distance above mean + sigma * std."""
     pts = df.select("point_id", "x", "y", "z")

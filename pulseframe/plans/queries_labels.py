@@ -205,15 +205,15 @@ def _learn(kind, **options):
     return run
 
 
-query("random_forest_evaluation")(_learn("random_forest", trees=10, depth=6))
-query("boosted_trees_evaluation")(_learn("boosted_trees", iterations=10, depth=3))
-query("multilayer_evaluation")(_learn("multilayer", iterations=15, hidden=(16,)))
+query("random_forest_evaluation")(_learn("random_forest"))
+query("boosted_trees_evaluation")(_learn("boosted_trees"))
+query("multilayer_evaluation")(_learn("multilayer"))
 
 
 @query("predict_all_rows")
 def _(spark, sf):
     cloud = training_cloud(spark, sf)
-    model = ml.train_classifier(ml.cap_per_class(cloud, 2000), FEATURES, "random_forest", trees=8, depth=5)
+    model = ml.train_classifier(ml.cap_per_class(cloud, 2000), FEATURES, "random_forest")
     return ml.predict(model, cloud)
 
 
@@ -221,20 +221,20 @@ def _(spark, sf):
 def _(spark, sf):
     cloud = training_cloud(spark, sf)
     middle = cloud.agg(F.percentile_approx("y", 0.5)).first()[0]
-    model = ml.train_classifier(ml.cap_per_class(cloud.where(F.col("y") < middle), 2000), FEATURES, "random_forest", trees=8, depth=5, impute=True)
+    model = ml.train_classifier(ml.cap_per_class(cloud.where(F.col("y") < middle), 2000), FEATURES, "random_forest", impute=True)
     return ml.external_test(model, cloud.where(F.col("y") >= middle), FEATURES, train_domain="asprs", test_domain="asprs")
 
 
 @query("compare_models")
 def _(spark, sf):
     split = ml.spatial_split(training_cloud(spark, sf), block_size=5.0, fraction=0.3)
-    return ml.compare_models(split, FEATURES, impute=True, trees=8, depth=5, iterations=10, hidden=(16,))
+    return ml.compare_models(split, FEATURES, impute=True)
 
 
 @query("feature_importance")
 def _(spark, sf):
     cloud = training_cloud(spark, sf)
-    model = ml.train_classifier(ml.cap_per_class(cloud, 2000), FEATURES, "random_forest", trees=8, depth=5, impute=True)
+    model = ml.train_classifier(ml.cap_per_class(cloud, 2000), FEATURES, "random_forest", impute=True)
     return ml.feature_importance(model, spark)
 
 
@@ -258,13 +258,42 @@ def _(spark, sf):
 @query("predict_contract", "SELECT count(*) AS n, 0::BIGINT AS bad_classes, 0::BIGINT AS bad_rows FROM pts", "pts")
 def _(spark, sf):
     cloud = training_cloud(spark, sf)
-    model = ml.train_classifier(ml.cap_per_class(cloud, 2000), FEATURES, "random_forest", trees=8, depth=5)
+    model = ml.train_classifier(ml.cap_per_class(cloud, 2000), FEATURES, "random_forest")
     out = ml.predict(model, cloud)
     scored_ = F.col("pred_class") >= 0
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("pred_class").isin(-1, 2, 5, 6)).alias("bad_classes"),
                    F.count_if(scored_ != F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False))).alias("bad_rows"))
 
 
+@query("learners_contract", "SELECT unnest(['boosted_trees', 'multilayer']) AS kind, count(*) AS n, 0::BIGINT AS bad_classes, 0::BIGINT AS bad_sums, true AS better_than_chance FROM pts GROUP BY ALL", "pts")
+def _(spark, sf):
+    """Both fitted models on every row: a known class, probabilities that add up to one, and more right than the commonest class would be."""
+    cloud = training_cloud(spark, sf)
+    common = cloud.groupBy("classification").count().agg(F.max("count") / F.sum("count")).first()[0]
+    out = None
+    for kind in ("boosted_trees", "multilayer"):
+        found = ml.predict(ml.train_classifier(ml.cap_per_class(cloud, 2000), FEATURES, kind, impute=True), cloud, keep_probabilities=True)
+        total = F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b)
+        row = found.join(cloud.select("point_id", "classification"), "point_id").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(~F.col("pred_class").isin(2, 5, 6)).alias("bad_classes"), F.count_if(~F.coalesce(F.abs(total - 1) < 1e-9, F.lit(False))).alias("bad_sums"),
+            (F.avg((F.col("pred_class") == F.col("classification")).cast("double")) > common).alias("better_than_chance")).select(F.lit(kind).alias("kind"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("clusterings_contract", "SELECT unnest(['hierarchical', 'mixture']) AS algorithm, count(*) AS n, count(*) FILTER (WHERE classification = 2) AS ground, 4::BIGINT AS clusters, 0::BIGINT AS bad_confidence FROM pts GROUP BY ALL", "pts")
+def _(spark, sf):
+    """Both clusterings of every row: ground apart, all four clusters in use, confidences in range."""
+    cloud = training_cloud(spark, sf).withColumn("is_ground", F.col("classification") == 2)
+    out = None
+    for algorithm in ("hierarchical", "mixture"):
+        row = ml.cluster(cloud, FEATURES, 4, algorithm, ground="is_ground").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if((F.col("cluster_id") == 0) & F.col("is_ground")).alias("ground"), F.countDistinct(F.when(F.col("cluster_id") > 0, F.col("cluster_id"))).alias("clusters"),
+            F.count_if(~F.coalesce(F.col("cluster_confidence").between(0.0, 1.0), F.lit(False))).alias("bad_confidence")).select(F.lit(algorithm).alias("algorithm"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("report_tables", f"WITH {SCORED} SELECT t AS true_class, p AS pred_class, count(*) AS n, count(*) AS n_json FROM s GROUP BY ALL", "lab")
 def _(spark, sf):
     # Written as CSV and JSON, read back and laid side by side.

@@ -220,15 +220,13 @@ def _(spark, sf):
     return fill(spark, sf, "kriging", variogram=te.Variogram("spherical", 0.01, 0.5, 3.0))
 
 
-@query("terrain_presets", """WITH p(name, resolution, rigidness, slope) AS (VALUES ('flat',2.0,3,false),('archaeological_site',1.0,2,false),('terraced',1.0,2,true),('hilly',1.0,1,true),('rocky',0.5,1,true),
- ('forest',2.0,2,false),('dense_vegetation',2.0,2,false),('reference',2.0,2,false)), o AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)
-SELECT o_orderpriority, name, n, (resolution*0.75*1.25)::DOUBLE AS resolution, 1::INT AS rigidness, true AS slope FROM p, o""")
+@query("terrain_presets", f"""WITH p(preset, step) AS (VALUES ('flat',2.0::DOUBLE),('archaeological_site',1.0),('terraced',1.0),('hilly',1.0),('rocky',0.5),('forest',2.0),('dense_vegetation',2.0),('reference',2.0)),
+q AS (SELECT preset, z, floor(x/(step*0.75*1.25)) AS c, floor(y/(step*0.75*1.25)) AS rr FROM pts, p), l AS (SELECT preset, c, rr, min(z) AS low FROM q GROUP BY ALL),
+a AS (SELECT preset, count(*) AS cells, {d('avg(low)')} AS mean_low FROM l GROUP BY 1), n AS (SELECT preset, count(*) FILTER (WHERE z - low <= 0.5) AS near_ground FROM q JOIN l USING (preset, c, rr) GROUP BY 1)
+SELECT preset, cells, mean_low, near_ground FROM a JOIN n USING (preset)""", "pts")
 def _(spark, sf):
-    counts = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    rows = [te.terrain_preset(n, "high", "high", "high") for n in te.TERRAIN_PRESETS]
-    presets = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p["resolution"]).alias("resolution"), F.lit(p["rigidness"]).alias("rigidness"),
-                                 F.lit(p["slope"]).alias("slope")) for n, p in zip(te.TERRAIN_PRESETS, rows)])
-    return counts.withColumn("p", F.explode(presets)).select("o_orderpriority", "n", "p.*")
+    made = te.preset_surfaces(points_view(spark, sf), {n: te.terrain_preset(n, "high", "high", "high") for n in te.TERRAIN_PRESETS})
+    return made.select("preset", "cells", r("mean_low").alias("mean_low"), "near_ground")
 
 
 @query("ground_review", f"""WITH {GP}, q AS (SELECT floor(x/2)::BIGINT cx, floor(y/2)::BIGINT cy, z, is_ground AS g, CASE WHEN classification = 5 THEN 4 ELSE classification END AS t FROM gp),
