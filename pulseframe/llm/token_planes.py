@@ -19,10 +19,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -138,36 +138,34 @@ class LibraryCoder:
 
     def code_words(self, words: list[str]) -> list[bytes | None]:
         """Ids of each word after a space; None for words that white space begins or ends."""
-        plain = [w for w in words if not odd(w)]
+        odd_at = [i for i, w in enumerate(words) if not w or w != w.strip()]
+        plain = words
+        if odd_at:
+            skipped = set(odd_at)
+            plain = [w for i, w in enumerate(words) if i not in skipped]
         runs = [plain[i:i + 256] for i in range(0, len(plain), 256)]
-        found = {}
+        out: list[bytes | None] = []
         for run, ids in zip(runs, self.code([" " + " ".join(run) for run in runs])):
             cuts = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])).tolist()
             if len(cuts) != len(run):
                 raise ValueError("the vocabulary does not begin words with a space")
-            found.update(zip(run, (ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)]))))
-        return [found.get(w) for w in words]
+            out += [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]
+        for i in odd_at:
+            out.insert(i, None)
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text.  Words are split and numbered by Arrow, so only distinct ones are looked up; ids are put together by place."""
-        if not texts:
-            return []
-        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        bounds, words = split.offsets.to_numpy(), split.values.dictionary_encode()
-        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
-        # A text's first word has no space before it: it is an entry of its own.
-        firsts = [distinct[c] for c in codes[bounds[:-1]]]
-        codes[bounds[:-1]] = len(distinct) + np.arange(len(texts))
-        known = [*self.words.values(distinct), *self.first.values(firsts)]
-        whole = np.array([k is None for k in known])
-        ids = np.frombuffer(b"".join(k or b"" for k in known), "<u4")
-        sizes = np.fromiter((len(k) // 4 if k else 0 for k in known), np.int64, len(known))
-        starts, size = np.cumsum(sizes) - sizes, sizes[codes]
-        ends = np.cumsum(size)
-        out = ids[np.repeat(starts[codes] - (ends - size), size) + np.arange(ends[-1])]
-        cuts = np.append(0, ends)[bounds]
-        odd_texts = np.add.reduceat(whole[codes], bounds[:-1]) > 0
-        return [b"" if not t else self.code([t])[0] if o else out[a:b].tobytes() for t, o, a, b in zip(texts, odd_texts, cuts, cuts[1:])]
+        split = [t.split(" ") for t in texts]
+        words = iter(self.words.values([w for s in split for w in s[1:]]))
+        firsts = self.first.values([s[0] for s in split])
+        out = []
+        for text, first, s in zip(texts, firsts, split):
+            ids = [first, *islice(words, len(s) - 1)]
+            if not text:
+                out.append(b"")
+            else:
+                out.append(self.code([text])[0] if None in ids else b"".join(ids))
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
