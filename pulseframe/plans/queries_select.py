@@ -270,7 +270,19 @@ def _(spark, sf):
     return ti.tile_counts(p, ti.TileGrid.over(p, 8.0), ti.tile_with_radius(1.0))
 
 
-@query("adaptive_tiles")
+IN_BOX = """count(*) FILTER (WHERE x >= "left" AND y >= bottom AND (x < "right" OR (close_right AND x = "right")) AND (y < top OR (close_top AND y = top))) AS core_points,
+ count(*) AS context_points FROM q JOIN pts ON x BETWEEN "left" - 0.5 AND "right" + 0.5 AND y BETWEEN bottom - 0.5 AND top + 0.5 GROUP BY ALL"""
+
+
+@query("adaptive_tiles", f"""SELECT * FROM (WITH RECURSIVE b AS (SELECT min(x) x0, min(y) y0, max(x) x1, max(y) y1 FROM pts),
+g AS (SELECT *, greatest(1, ceil((x1-x0)/50))::INT AS nc, greatest(1, ceil((y1-y0)/50))::INT AS nr FROM b),
+q AS (SELECT c || '_' || r AS tile_id, c*50.0::DOUBLE+x0 AS "left", r*50.0::DOUBLE+y0 AS bottom, least(x1, c*50.0::DOUBLE+x0+50) AS "right", least(y1, r*50.0::DOUBLE+y0+50) AS top, c = nc-1 AS close_right, r = nr-1 AS close_top
+ FROM g, unnest(range(nc)) a(c), unnest(range(nr)) e(r)),
+t AS (SELECT * FROM (SELECT q.*, {IN_BOX}) WHERE core_points > 0 UNION ALL
+ SELECT * FROM (WITH q AS (SELECT tile_id || '.' || k AS tile_id, CASE WHEN k % 2 = 1 THEN mx ELSE "left" END AS "left", CASE WHEN k >= 2 THEN my ELSE bottom END AS bottom,
+  CASE WHEN k % 2 = 1 THEN "right" ELSE mx END AS "right", CASE WHEN k >= 2 THEN top ELSE my END AS top, close_right AND k % 2 = 1 AS close_right, close_top AND k >= 2 AS close_top
+  FROM (SELECT *, "left" + ("right"-"left")/2 AS mx, bottom + (top-bottom)/2 AS my FROM t WHERE context_points > 6000) h, (VALUES (0),(1),(2),(3)) v(k)) SELECT q.*, {IN_BOX}) WHERE core_points > 0)
+SELECT tile_id, "left", bottom, "right", top, close_right, close_top, core_points, context_points FROM t WHERE context_points <= 6000)""", "pts")
 def _(spark, sf):
     p = points_view(spark, sf)
     grid = ti.TileGrid.over(p, 50.0)
@@ -367,10 +379,8 @@ SELECT tile_col, tile_row, points FROM n, m ORDER BY abs(points-med), tile_col,
 def _(spark, sf):
     p = points_view(spark, sf)
     counts = ti.assign_tile(p, ti.TileGrid.over(p, 5.0)).groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("points"))
-    # At most 10,000 tiles by the grid's own limit.
-    med = counts.agg(F.percentile("points", F.lit(0.5)).alias("med"))
-    return (counts.withColumn("_k", F.lit(1)).join(med.withColumn("_k", F.lit(1)), "_k")
-            .orderBy(F.abs(F.col("points") - F.col("med")), "tile_col", "tile_row").limit(1).select("tile_col", "tile_row", "points"))
+    median = ranking.exact_quantiles(counts, ["points"], [0.5]).first().q0
+    return counts.orderBy(F.abs(F.col("points") - median), "tile_col", "tile_row").limit(1).select("tile_col", "tile_row", "points")
 
 
 @query("class_catalogue", "SELECT classification, class_name, n FROM (SELECT classification, count(*) AS n FROM scene GROUP BY 1) JOIN (VALUES (2,'Ground'),(5,'High vegetation'),(6,'Building'),(14,'Wire - conductor (phase)'),(15,'Transmission tower')) v(c,class_name) ON c = classification", "scene")

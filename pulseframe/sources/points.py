@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import islice
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -59,6 +60,7 @@ def read_points(spark: SparkSession, path: str, columns: tuple[str, ...] | None
 
 # Rows decoded at once, at most.
 RECORD_ROWS = 65_536
+EVEN_ROWS = 256  # rows a divided record holds at least
 # Numpy type code -> Spark type.
 _RECORD_TYPES = {
     "<f4": T.FloatType(), "<f8": T.DoubleType(), "<u1": T.ShortType(), "<i2": T.ShortType(), "<i4": T.IntegerType(),
@@ -83,17 +85,19 @@ def read_fixed_records(spark: SparkSession, folder: str, layout: dict[str, tuple
             raise ValueError(f"{name}: {size} bytes, expected {rows} records of {length}")
         stem = PurePosixPath(name).stem
 
-        # One record of the file holds many rows, so that numpy decodes them at once; the number of rows is
-        # divided evenly, since every record of a file has the same length.
+        # A record read from the file holds many rows where their number divides evenly (every record of a file has the
+        # same length); else rows are read one by one and decoded many at a time.
         many = next(n for n in range(min(RECORD_ROWS, max(rows, 1)), 0, -1) if rows % n == 0)
+        many = many if many >= EVEN_ROWS else 1
 
         def decode(records, dtype=dtype, width=width, many=many):
-            for raw, number in records:
-                values = np.frombuffer(raw, dtype=dtype).reshape(many, width)
+            while some := list(islice(records, max(1, RECORD_ROWS // many))):
+                values = np.frombuffer(b"".join(raw for raw, _ in some), dtype=dtype).reshape(-1, width)
                 cells = values.astype(object)
                 if dtype.kind == "f":
                     cells[~np.isfinite(values)] = None
-                yield from zip(range(number * many, number * many + many), *(cells[:, i].tolist() for i in range(width)))
+                first = some[0][1] * many  # numbers follow one another within a partition
+                yield from zip(range(first, first + len(values)), *(cells[:, i].tolist() for i in range(width)))
 
         fields = [T.StructField("record", T.LongType(), False)]
         fields += [T.StructField(stem if width == 1 else f"{stem}_{i}", kind) for i in range(width)]

@@ -30,3 +30,19 @@ def start_progress(events: DataFrame, sink: str, checkpoint: str):
     """Keep the table ``sink`` (in memory) at the latest progress per command."""
     return (latest_progress(events).writeStream.outputMode("complete").format("memory").queryName(sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def store_progress(events: DataFrame, path: str, checkpoint: str):
+    """Write the commands that moved in each micro-batch under ``path``; a repeated batch overwrites its own rows."""
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (latest_progress(events).writeStream.outputMode("update").foreachBatch(each)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def stored_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The latest stored progress per command; nothing is held on the driver."""
+    rows = spark.read.schema("command STRING, phase STRING, progress DOUBLE, last_event TIMESTAMP, events LONG, batch LONG").parquet(path)
+    newest = F.max_by(F.struct("phase", "progress", "last_event", "events"), "batch")
+    return rows.groupBy("command").agg(newest.alias("m")).select("command", "m.*")

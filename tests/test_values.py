@@ -302,6 +302,12 @@ def test_streams(spark, tmp_path):
                                    '{"command":"predict","phase":"done","progress":1.7,"timestamp":"2024-01-01T00:00:05Z"}\n')
     progress.start_progress(progress.read_events(spark, str(events)), "latest", str(tmp_path / "c1")).awaitTermination()
     assert {r.command: (r.phase, r.progress) for r in spark.table("latest").collect()} == {"train": ("fit", 0.4), "predict": ("done", 1.0)}
+    store = lambda: progress.store_progress(progress.read_events(spark, str(events)), str(tmp_path / "kept"), str(tmp_path / "c3")).awaitTermination()
+    store()
+    (events / "b.json").write_text('{"command":"train","phase":"done","progress":1.0,"timestamp":"2024-01-01T00:00:09Z"}\n')
+    store()
+    kept = {r.command: (r.phase, r.progress, r.events) for r in progress.stored_progress(spark, str(tmp_path / "kept")).collect()}
+    assert kept == {"train": ("done", 1.0, 3), "predict": ("done", 1.0, 1)}
     source = str(tmp_path / "in")
     df = spark.range(300).select(F.col("id").alias("point_id"), (F.col("id") % 3).cast("int").alias("tile_col"), F.lit(0).alias("tile_row"))
     df.repartition(1).write.parquet(source)
@@ -323,6 +329,11 @@ def test_fixed_records_and_sinks(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [(0, 1.0, 2.0, 2), (1, 3.0, None, 6), (2, 5.0, 6.0, 5)]
     with pytest.raises(ValueError):
         src.read_fixed_records(spark, str(tmp_path), {"label.u1": ("<u1", 1)}, 4)
+    # A prime number of rows can't be divided into equal records; 1,200 can.
+    for n in (1201, 1200):
+        np.arange(2 * n, dtype="<i4").reshape(n, 2).tofile(tmp_path / f"n{n}.i4")
+        many = src.read_fixed_records(spark, str(tmp_path), {f"n{n}.i4": ("<i4", 2)}, n)
+        assert sorted(map(tuple, many.collect())) == [(i, 2 * i, 2 * i + 1) for i in range(n)]
     cloud = points(spark, [(float(i), 0.0, 0.0) for i in range(20)]).withColumns({"tile_col": (F.col("x") / 10).cast("int"), "tile_row": F.lit(0)})
     assert sinks.write_tiles(cloud, str(tmp_path / "tiles"), rows_per_file=4) == 20
     assert len(list((tmp_path / "tiles" / "tile_col=0" / "tile_row=0").glob("*.parquet"))) >= 1
