@@ -265,7 +265,7 @@ def _(spark, sf):
                    F.count_if(scored_ != F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False))).alias("bad_rows"))
 
 
-@query("learners_contract", "SELECT unnest(['boosted_trees', 'multilayer']) AS kind, count(*) AS n, 0::BIGINT AS bad_classes, 0::BIGINT AS bad_sums, true AS better_than_chance FROM pts GROUP BY ALL", "pts")
+@query("learners_contract", "SELECT kind, n, 0::BIGINT AS bad_classes, 0::BIGINT AS bad_sums, true AS better_than_chance FROM (SELECT count(*) AS n FROM pts), (VALUES ('boosted_trees'), ('multilayer')) k(kind)", "pts")
 def _(spark, sf):
     """Both fitted models on every row: a known class, probabilities that add up to one, and more right than the commonest class would be."""
     cloud = training_cloud(spark, sf)
@@ -281,7 +281,7 @@ def _(spark, sf):
     return out
 
 
-@query("clusterings_contract", "SELECT unnest(['hierarchical', 'mixture']) AS algorithm, count(*) AS n, count(*) FILTER (WHERE classification = 2) AS ground, 4::BIGINT AS clusters, 0::BIGINT AS bad_confidence FROM pts GROUP BY ALL", "pts")
+@query("clusterings_contract", "SELECT algorithm, n, ground, 4::BIGINT AS clusters, 0::BIGINT AS bad_confidence FROM (SELECT count(*) AS n, count(*) FILTER (WHERE classification = 2) AS ground FROM pts), (VALUES ('hierarchical'), ('mixture')) a(algorithm)", "pts")
 def _(spark, sf):
     """Both clusterings of every row: ground apart, all four clusters in use, confidences in range."""
     cloud = training_cloud(spark, sf).withColumn("is_ground", F.col("classification") == 2)
