@@ -60,3 +60,18 @@ def test_queries_apart_and_few_points(spark, uneven):
         assert found[q, 1] == pytest.approx(np.sort((d * d).sum(axis=1))[0])
     few = frame(spark, uneven[:3])
     assert nb.knn_join(few, few, 5).count() == 6
+
+
+def test_queries_of_a_cell_share_the_cells_around(spark, uneven):
+    """The 27 cells are listed once for each cell, not for each query's own finest cell, and hold what they should."""
+    df = frame(spark, uneven[:2800])
+    corner, side, levels = {a: float(uneven[:2800, i].min()) for i, a in enumerate("xyz")}, 0.05, 12
+    own = nb._own_levels(df, nb.count_pyramid(df, corner, side, levels), corner, side, levels, 5)
+    plan = own._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Generate explode" in line and "[k#" in line)
+    assert "Aggregate [up" in plan[at + 1]
+    cells = np.floor((uneven[:2800] - [corner[a] for a in "xyz"]) / side).astype(int)
+    for r in own.where("point_id % 211 = 0").collect():
+        up = cells >> (r.level + 1)
+        assert r.near == (np.abs(up - up[r.point_id]).max(axis=1) <= 1).sum()
+        assert (cells >> r.level == cells[r.point_id] >> r.level).all(axis=1).sum() >= 5
