@@ -116,3 +116,22 @@ def test_queries_apart_from_support(spark, heaps):
     for i in list(rows)[::400]:
         near = sum(1 for j, p in xyz.items() if j % 2 == 0 and j != i and math.dist(p, xyz[i]) <= 0.5)
         assert rows[i].neighbor_count_r0p5 == near
+
+
+def test_tiles_equal_joined_pairs(spark):
+    """Sparse neighbourhoods: many pairs in all are walked tile by tile, each query's own point left out, and never joined."""
+    rng = np.random.default_rng(31)
+    xyz = np.vstack([rng.random((1200, 3)) * [12, 9, 1] + [440000, 4130000, 580], [[440002, 4130002, 580.5]] * 3, [[440100, 4130100, 580]]])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "point_id long, x double, y double, z double")
+    names = (*fe.SHAPE, *fe.NORMAL, *fe.HEIGHT, "neighbor_count", "moment_order_1", "barycenter_offset_ratio")
+    pairs, tiles = (fe.compute_features(df, [0.4, 1.0], names, engine=e) for e in ("pairs", "tiles"))
+    assert_same(pairs, tiles, skip=("normal_", "dip", "verticality", "roughness", "signed", "moment", "omnivariance"))
+    assert_same(*(fe.compute_features(df, [1.0], fe.CURVATURE, engine=e, core=F.col("point_id") % 3 > 0) for e in ("pairs", "tiles")))
+    # Divided places.
+    assert_same(*(fe.compute_features(df, [1.0], ("neighbor_count", "planarity", "z_range"), engine=e, max_block_rows=60, carry=("x", "y")) for e in ("pairs", "tiles")))
+    points = points_view(spark, "/root/testdata/sf0.01")
+    for radii, names in (([1.5], fe.CURVATURE), ([0.5, 1.0], ("planarity", "z_range"))):
+        plan = fe.compute_features(points, radii, names)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "ShuffledHashJoin" not in plan
+    with pytest.raises(ValueError):
+        fe.compute_features(df, [1.0], ("z_median",), engine="tiles")
