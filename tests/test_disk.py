@@ -41,3 +41,15 @@ def test_the_first_search_says_which_queries_are_done(spark, monkeypatch):
     d2 = brute_pairs(xyz, 1)[0]
     want = {(q, int(s), r + 1) for q in range(len(xyz)) for r, s in enumerate(np.lexsort((np.arange(len(xyz)), d2[q]))[:4])}
     assert {(r.q_id, r.s_id, r["rank"]) for r in found.collect()} == want
+
+
+def test_tiles_are_read_back_once(spark, monkeypatch):
+    """Every folder is listed and opened once: the check of the rows and the counts of the query are one reading."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from pulseframe.plans.catalog import QUERIES
+    reads, plain = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **options: reads.append(paths[0]) or plain(self, *paths, **options))
+    found = QUERIES["tile_write_counts"](spark, "/root/testdata/sf0.001")
+    assert found.agg(F.sum("n")).first()[0] == 6000 and found.columns == ["tile_col", "tile_row", "n"]
+    assert sum("written-" in path for path in reads) == 1
