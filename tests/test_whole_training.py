@@ -19,6 +19,10 @@ def test_external_test_fits_on_every_row_below_the_middle(spark, monkeypatch):
     assert trained_on(monkeypatch, spark, "external_test").count() > 29_000
 
 
+def test_feature_importance_fits_on_every_row(spark, monkeypatch):
+    assert trained_on(monkeypatch, spark, "feature_importance").count() == 60_000
+
+
 def test_a_forest_takes_its_thresholds_from_all_rows(spark):
     """In 60,000 rows the library alone would look at a sixth of them."""
     rng = np.random.default_rng(3)
