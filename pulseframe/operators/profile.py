@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.functions.scalar import finite_or_null
-from pulseframe.operators.neighbours import cell_index, knn_join
+from pulseframe.operators.neighbours import cell_index, knn_summary
 from pulseframe.operators.ranking import exact_quantiles
 from pulseframe.session import cut_lineage
 
@@ -97,8 +97,8 @@ def spacing_queries(df: DataFrame, cell: float | None = None) -> DataFrame:
         b = df.agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("ex"), (F.max("y") - F.min("y")).alias("ey")).first()
         cell = math.sqrt(max((b.ex or 0.0) * (b.ey or 0.0), 1e-12) / max(1, b.n)) or 1.0
     cells = [cell_index("x", cell).alias("cx"), cell_index("y", cell).alias("cy")]
-    first = df.groupBy(*cells).agg(F.min(F.struct("point_id", "x", "y", "z")).alias("p"))
-    return first.select("p.point_id", "p.x", "p.y", "p.z")
+    # Plain values are kept by hash, a struct would sort the whole table.
+    return df.groupBy(*cells).agg(F.min("point_id").alias("point_id"), *[F.min_by(a, "point_id").alias(a) for a in "xyz"]).drop("cx", "cy")
 
 
 def spacing(df: DataFrame, cell: float | None = None) -> DataFrame:
@@ -108,13 +108,9 @@ def spacing(df: DataFrame, cell: float | None = None) -> DataFrame:
     median absolute deviation and ``ln 2 / (pi median^2)`` as density.  Quantiles are exact.
     """
     queries = cut_lineage(spacing_queries(df, cell))
-    nearest = knn_join(queries, df.select("point_id", "x", "y", "z"), 1, positive_only=True)
-    # Coincident points meet by counting, never in pairs.
-    shared = df.groupBy("x", "y", "z").agg(F.countDistinct("point_id").alias("_n")).where("_n > 1")
-    coincident = queries.join(shared, ["x", "y", "z"], "left_semi").select("point_id").distinct()
-    table = cut_lineage(
-        queries.select("point_id").join(nearest.select(F.col("q_id").alias("point_id"), F.sqrt("d2").alias("d")), "point_id", "left")
-        .join(coincident.withColumn("dup", F.lit(1)), "point_id", "left"))
+    # Coincident points are seen where a query's nearest point is: no table of all places is grouped for them.
+    found = knn_summary(queries, df.select("point_id", "x", "y", "z"), 1, positive_only=True)
+    table = cut_lineage(found.select(F.col("mean_distance").alias("d"), F.when(F.col("coincident"), 1).alias("dup")))
     one = table.agg(
         F.count(F.lit(1)).alias("sampled"), F.count("dup").alias("duplicate_samples"), F.count_if(F.col("d").isNull()).alias("unresolved_samples"),
         F.avg("d").alias("mean"), F.min("d").alias("minimum"), F.max("d").alias("maximum"))
