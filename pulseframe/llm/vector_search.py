@@ -118,7 +118,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, block_rows: int = B
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), shard)), pa.array(q_ids[s + row]), pa.array(prints[s + row]), pa.array(v), pa.array(score)],
                                                          names=["shard", "query_id", "print", "vec_id", "score"])
 
-    tiles = left.join(right, ["block", "shard"]).select("shard", "q_ids", "q_matrix", "ids", "matrix")
+    # Merged, never broadcast: Spark's estimate knows nothing of the copies that explode makes, so all tiles would pass for one block and go to the driver.
+    tiles = left.join(right.hint("merge"), ["block", "shard"]).select("shard", "q_ids", "q_matrix", "ids", "matrix")
     lists = tiles.mapInArrow(run, "shard long, query_id long, print long, vec_id long, score long")
     order = [F.desc("score"), F.asc("vec_id")]
     while shards > 1:  # one level of the tree: groups of ``fan`` lists become one
