@@ -232,7 +232,8 @@ def best_negatives(anchors: DataFrame, blocks: DataFrame, found: DataFrame, k: i
         # A block of anchors meets each lane once, and so each block of vectors once.
         numbers = F.array(F.lit(0).cast("long")) if first else F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))
         left = with_needs(needs).withColumn("lane", F.explode(numbers))
-        return left.join(right, "lane").where((F.col("label") != F.col("other")) & in_reach())
+        # Merged, never broadcast: anchors times lanes would pass for the anchors alone and go to the driver.
+        return left.join(right.hint("merge"), "lane").where((F.col("label") != F.col("other")) & in_reach())
 
     half = F.ceil(F.col("positive_score") / 2).cast("long")
     seen = merged(searched(tiles(wanted.withColumn("bound", half), True), look_for_negatives, k, focus), k)
